@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.secrets import op8_secrets
+from tidemark.llm.tokens import op5_token_files
+from tidemark.llm.warc import op9_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_secrets,)}
+    return {f.__name__: f for f in (op5_token_files, op8_secrets, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
