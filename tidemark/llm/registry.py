@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.ngram_join import op4_ngram_join
 from tidemark.llm.order_minhash import op2_order_minhash
+from tidemark.llm.pii import op6_pii
 from tidemark.llm.secrets import op8_secrets
 from tidemark.llm.tokens import op5_token_files
 from tidemark.llm.toxicity import op1_toxicity
@@ -15,7 +16,7 @@ from tidemark.llm.warc import op9_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_order_minhash, op4_ngram_join, op5_token_files, op8_secrets, op9_warc)}
+    return {f.__name__: f for f in (op1_toxicity, op2_order_minhash, op4_ngram_join, op5_token_files, op6_pii, op8_secrets, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
