@@ -1,12 +1,62 @@
-"""The corpus pipeline; filled in as its stages land."""
+"""From raw documents to packed batches: five stages, each an operator of ``tidemark.llm``.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame. :func:`run` writes each result as Parquet in the shared
+folder and reads it back as the next stage's documents. All stages but the last return the columns of the documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import common, mixing, ngram_join, packing, pii, toxicity
+from tidemark.llm.tokens import n_tokens
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored at one half or more go; those without words stay."""
+    model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
+    return model.score(docs, out="_score").where("_score < 0.5").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies (five words, Jaccard 0.8) the document with the least id stays."""
+    return ngram_join.drop_near_copies(docs)
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans are replaced by their kind, and n_chars is that of the new text; no document goes."""
+    found = pii.find_pii(docs, out="_pii")
+    masked = found.withColumn("text", pii.redact(found, "text", "_pii"))
+    return masked.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights: every document at least once, those of small sources again."""
+    plan, _ = mixing.mix(docs, n_tokens())
+    return mixing.mixed_rows(docs, plan).select(*docs.columns)
+
+
+def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document goes: its length bucket, batch and slot."""
+    sized = docs.select("doc_id", "lang", "source", (n_tokens() + 1).alias("n_tokens"))
+    return packing.pack(common.pin(sized, "pack-lengths"), "n_tokens", ["doc_id"])
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_join", drop_near_copies),
+    ("pii", redact_pii),
+    ("mixing", mix_sources),
+    ("packing", pack_batches),
+]
 
-STAGES: list = []
+#: Trained models, sketches and tokenizers cannot be stated in SQL; the tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.pin(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.mixing import op7_mixing
 from tidemark.llm.ngram_join import op4_ngram_join
 from tidemark.llm.order_minhash import op2_order_minhash
+from tidemark.llm.packing import op10_packing
 from tidemark.llm.pii import op6_pii
 from tidemark.llm.secrets import op8_secrets
 from tidemark.llm.tokens import op5_token_files
@@ -16,7 +18,7 @@ from tidemark.llm.warc import op9_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_order_minhash, op4_ngram_join, op5_token_files, op6_pii, op8_secrets, op9_warc)}
+    return {f.__name__: f for f in (op1_toxicity, op2_order_minhash, op4_ngram_join, op5_token_files, op6_pii, op7_mixing, op8_secrets, op9_warc, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
