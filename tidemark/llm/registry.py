@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.ann import op3_ann
 from tidemark.llm.mixing import op7_mixing
 from tidemark.llm.ngram_join import op4_ngram_join
 from tidemark.llm.order_minhash import op2_order_minhash
@@ -18,7 +19,7 @@ from tidemark.llm.warc import op9_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_order_minhash, op4_ngram_join, op5_token_files, op6_pii, op7_mixing, op8_secrets, op9_warc, op10_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_order_minhash, op3_ann, op4_ngram_join, op5_token_files, op6_pii, op7_mixing, op8_secrets, op9_warc, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
