@@ -88,8 +88,9 @@ def with_next(docs: DataFrame, ranges: int) -> DataFrame:
         "doc_id", common.text_or_empty("text").alias("text"), F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("_key")
     ).withColumn("_tie", F.xxhash64("text"))
     ids = docs.select("_key")
-    cuts = ids.select(F.col("_key").cast("double").alias("q")).approxQuantile("q", [i / ranges for i in range(1, ranges)], 0.25 / ranges)
-    cuts = sorted({int(c) for c in cuts}, reverse=True)
+    probabilities = [i / ranges for i in range(1, ranges)]
+    cuts = ids.select(F.col("_key").cast("double").alias("q")).approxQuantile("q", probabilities, 0.25 / ranges) if probabilities else []
+    cuts = sorted({max(-(1 << 63), min((1 << 63) - 1, int(c))) for c in cuts}, reverse=True)
     place = _place(cuts)
     # the greatest id of each range: as many rows as ranges
     tops = {r["r"]: r["top"] for r in ids.groupBy(place.alias("r")).agg(F.max("_key").alias("top")).collect()}
