@@ -219,8 +219,12 @@ def _logistic(rows: list[tuple], rounds: int = 300, ridge: float = 0.01) -> list
 
 
 def find_pii(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
-    """Adds ``out``, the spans (rank, start, end, base, votes...) of each text; the model is fitted on all the documents."""
-    found = with_candidates(docs, text, out)
+    """Adds ``out``, the spans (rank, start, end, base, votes...) of each text; the model is fitted on all the documents.
+
+    The candidates are pinned: they are read twice, and filters that the optimizer derives from the counting would otherwise
+    be pushed into the expressions that find them, once for each of their parts.
+    """
+    found = common.pin(with_candidates(docs, text, out), "pii-candidates")
     return found.withColumn(out, fit(found, out).spans(out))
 
 
