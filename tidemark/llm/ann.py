@@ -74,9 +74,11 @@ def balanced_cut(graph: np.ndarray, parts: int, seed: int = 5) -> np.ndarray:
     n, rng = len(graph), np.random.Generator(np.random.PCG64(seed))
     part = np.zeros(n, np.int64)
     for level in range(parts.bit_length() - 1):
+        halves = part.copy()
         for p in range(1 << level):
             nodes = np.flatnonzero(part == p)
-            part[nodes] = 2 * p + _bisect(graph, nodes, rng)
+            halves[nodes] = 2 * p + _bisect(graph, nodes, rng)
+        part = halves
     return part
 
 
