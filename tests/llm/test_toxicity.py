@@ -1,0 +1,78 @@
+"""Held-out accuracy, the smoothing against a plain Kneser-Ney, and edge cases."""
+
+from __future__ import annotations
+
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.conftest import SMALL
+from tidemark.llm import toxicity as tx
+
+BASE = "the river runs past old mills and quiet towns where people meet to trade and talk".split()
+BAD = ["vexling", "vexlings", "grobnak", "grobnaks"]
+
+
+def corpus(n=400):
+    rows = []
+    for i in range(n):
+        words = [BASE[(i * 7 + j * 5) % len(BASE)] for j in range(30)]
+        toxic = i % 5 in (0, 3)
+        if toxic:
+            words[3], words[17] = BAD[i % 4], BAD[(i + 1) % 4]
+        rows.append((i, " ".join(words), int(toxic)))
+    return rows
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    rows = corpus()
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    return tx.train(docs, labels, slots=1 << 18), rows
+
+
+def test_held_out(spark, model):
+    trained, rows = model
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int")  # a clashing name is overwritten in the result only
+    got = trained.score(docs.drop("score")).select("doc_id", (tx.fold() == tx.HELD_OUT).alias("held_out"), "score").collect()
+    for r in got:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+    held = [(r["score"] >= 0.5) == bool(rows[r["doc_id"]][2]) for r in got if r["held_out"]]
+    assert len(held) > 50 and sum(held) / len(held) >= 0.95
+
+
+def test_forms_of_a_stem_and_edges(spark, model):
+    texts = ["grobnakish vexlinger " + " ".join(BASE), " ".join(BASE), None, "", "!!! ???", "the " * 50_000, "x" * 100_000, "12345 67"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2, "doc_id long, text string")
+    got = {}
+    for r in model[0].score(docs).collect():
+        assert 0 <= r["score"] <= 1
+        assert got.setdefault(r["doc_id"], r["score"]) == r["score"]
+    assert got[0] > 0.5 > max(got[i] for i in (1, 2, 3, 4))
+    assert got[2] == got[3] == got[4]
+    assert model[0].score(docs.limit(0)).count() == 0
+
+
+def test_without_labels_of_both_classes(spark):
+    docs = spark.createDataFrame([(i, "some text") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i in range(20)], "doc_id long, toxic int")
+    assert {r["score"] < 0.2 for r in tx.train(docs, labels).score(docs).collect()} == {True}
+    assert {r["score"] for r in tx.train(docs, labels.limit(0)).score(docs).collect()} == {0.0}
+
+
+def test_shared_probabilities_sum_to_one(spark):
+    words = spark.createDataFrame([(0, "banana", 3), (0, "band", 2), (1, "bandana", 1), (1, "and", 4)], "toxic int, word string, n long")
+    grams = tx._grams(words, 3)
+    rows = tx._with_context(tx._shared(grams, 3).withColumnRenamed("p", "q"), F.sum("q").alias("seen")).select("context", "seen").distinct().collect()
+    assert all(0 < r["seen"] <= 1 + 1e-9 for r in rows)
+    seen, unseen = tx.log_ratios(words, 3)
+    ratios = {r["gram"].strip("\x02\x03"): r["ratio"] for r in seen.collect()}
+    assert ratios["nd"] > 0 > ratios["ba"] or ratios["b"] < 0
+    assert unseen.count() > 0
+
+
+def test_registered_query(spark):
+    got = tx.op1_toxicity(spark, SMALL).collect()
+    assert len(got) == 200 and all(r["predicted"] == (r["score"] >= 0.5) for r in got)

@@ -13,8 +13,8 @@ log-likelihood ratio of each n-gram and, for unseen ones, of each context, is fo
 A text's score is a logistic function of its log-likelihood ratio per word, of the part of it above EXCESS and of its
 length, fitted on a fold that the counts have not seen, at most ``CALIBRATION_ROWS`` rows of it.
 
-A null or empty text has no words and gets the score of that fit at ratio 0. Without labels of both classes every score
-is the smoothed share of toxic labels. Repeated rows are scored alike; a document labelled twice counts as toxic if either
+A null or empty text has no words; its score is the smoothed share of toxic labels, as is every score without labels of
+both classes. Repeated rows are scored alike; a document labelled twice counts as toxic if either
 label does.
 """
 
@@ -169,10 +169,11 @@ _models: dict[str, WordRatios] = {}
 
 @dataclass
 class ToxicityModel:
-    """Tables and weights; ``tables`` is a broadcast pair of fixed size, or None where no model could be made."""
+    """Tables, weights and the share of toxic labels; ``tables`` is a broadcast pair of fixed size, or None without a model."""
 
     tables: object
     weights: list[float]
+    share: float
     order: int = ORDER
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
@@ -200,10 +201,11 @@ class ToxicityModel:
     def score(self, df: DataFrame, text: str = "text", out: str = "score") -> DataFrame:
         """Adds the probability that a text is toxic."""
         if self.tables is None:
-            return df.withColumn(out, F.lit(self.weights[0]))
+            return df.withColumn(out, F.lit(self.share))
         seen = features(*(F.col(f"_toxicity.{c}") for c in ("ratio", "excess", "n")), F.sqrt, F.log1p)
         z = self.weights[0] + sum(F.lit(w) * f for w, f in zip(self.weights[1:], seen, strict=True))
-        return df.withColumn("_toxicity", self.ratios(F.col(text))).withColumn(out, 1 / (1 + F.exp(-z))).drop("_toxicity")
+        p = F.when(F.col("_toxicity.n") > 0, 1 / (1 + F.exp(-z))).otherwise(F.lit(self.share))
+        return df.withColumn("_toxicity", self.ratios(F.col(text))).withColumn(out, p).drop("_toxicity")
 
 
 def features(ratio, excess, n, sqrt, log1p) -> list:
@@ -213,10 +215,12 @@ def features(ratio, excess, n, sqrt, log1p) -> list:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Newton's method on standardised columns (the first is constant)."""
-    mean, sd = x.mean(0), x.std(0) + 1e-12
+    """Newton's method on standardised columns; the first is constant, others that are get no weight."""
+    mean, sd = x.mean(0), x.std(0)
     mean[0], sd[0] = 0, 1
-    z, w = (x - mean) / sd, np.zeros(x.shape[1])
+    still = sd <= 1e-9 * (1 + np.abs(mean))
+    still[0] = False
+    z, w = np.where(still, 0.0, (x - mean) / np.where(still, 1.0, sd)), np.zeros(x.shape[1])
     penalty = np.full(len(w), ridge)
     penalty[0] = 1e-6
     for _ in range(50):
@@ -225,7 +229,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
         w += step
         if abs(step).max() < 1e-8:
             break
-    w = w / sd
+    w = np.where(still, 0.0, w / np.where(still, 1.0, sd))
     w[0] -= (w[1:] * mean[1:]).sum()
     return w
 
@@ -238,10 +242,11 @@ def train(docs: DataFrame, labels: DataFrame, order: int = ORDER, slots: int = S
     known = common.pin(known.join(marks.hint("shuffle_hash"), "doc_id").select("doc_id", "fold", "toxic", "text"), "toxic-labelled")
     counted = known.where(F.col("fold") != CALIBRATION)
     n = known.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0), F.count_if((F.col("toxic") == 1) & (F.col("fold") == CALIBRATION)), F.count_if((F.col("toxic") == 0) & (F.col("fold") == CALIBRATION))).first()
+    share = (n[0] + 1) / (n[0] + n[1] + 2) if n[0] + n[1] else 0.0
     if not all(n):
-        return ToxicityModel(None, [(n[0] + 1) / (n[0] + n[1] + 2) if n[0] + n[1] else 0.0])
+        return ToxicityModel(None, [], share)
     seen, unseen = log_ratios(word_counts(counted), order)
-    model = ToxicityModel(spark.sparkContext.broadcast((_fold(seen, "gram", np.nan, slots), _fold(unseen, "context", 0.0, slots))), [], order)
+    model = ToxicityModel(spark.sparkContext.broadcast((_fold(seen, "gram", np.nan, slots), _fold(unseen, "context", 0.0, slots))), [], share, order)
     sample = known.where(F.col("fold") == CALIBRATION).orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows)
     rows = sample.select("toxic", model.ratios(F.col("text")).alias("r")).select("toxic", "r.*").toArrow()
     ratio, excess, n_words, y = (rows.column(c).to_numpy().astype(float) for c in ("ratio", "excess", "n", "toxic"))
