@@ -172,7 +172,7 @@ def fit(df: DataFrame, candidates: str = "candidates", rounds: int = 50) -> Span
     """Expectation-maximisation over the vote counts, then a logistic fit to the posteriors, for each kind.
 
     Every labeler starts as better than chance, with the weight of a few candidates, so that a kind with few candidates,
-    or none, keeps these.
+    or none, keeps these. ``df`` should be a pinned table of candidates, or its filters meet the patterns themselves.
     """
     counts = vote_counts(df, candidates)
     reliabilities, weights = {}, []
