@@ -6,8 +6,8 @@
 2. A small network learns, for each sampled vector, how its neighbours are spread over the parts.
 3. *Every* row is assigned to its most probable part. Parts are cut into blocks of bounded size by an id hash, so a part
    (or one vector) that holds a third of all rows is spread over tasks.
-4. A query goes to its ``probes`` most probable parts; each meets the blocks of the part as tiles, which keep the best k in
-   double precision. The best of all tiles are ranked by a window over a query's few candidates.
+4. A query goes to its ``probes`` most probable parts; each meets the blocks of the part as tiles, scored in double
+   precision. A task passes on a query's k best over all its tiles; these are ranked by a window.
 
 ``probes`` is the least number at which a bounded sample of queries, searched by brute force over all rows, finds ``recall``
 of its true neighbours: on vectors without structure it comes near the number of parts, on clustered ones it is small.
@@ -212,8 +212,36 @@ def _best(queries: np.ndarray, q_ids: np.ndarray, vectors: np.ndarray, ids: np.n
     return join(rows, np.int64), join(found, np.int64), join(scores, float)
 
 
+class _Best:
+    """The k best of each query over the tiles of a task, of which only they are passed on."""
+
+    def __init__(self, k: int, most: int = 200_000):
+        self.k, self.most, self.rows, self.n = k, most, [], 0
+
+    def add(self, *rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.rows.append(rows)
+        self.n += len(rows[0])
+        if self.n > self.most:
+            self.merge()
+            if self.n > self.most // 2:
+                yield from self.flush()
+
+    def merge(self) -> None:
+        q, v, s = (np.concatenate([r[i] for r in self.rows]) for i in range(3))
+        order = np.lexsort((v, -s, q))
+        q, v, s = q[order], v[order], s[order]
+        first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
+        keep = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < self.k
+        self.rows, self.n = [(q[keep], v[keep], s[keep])], int(keep.sum())
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            self.merge()
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in self.rows[0]], FOUND[:3])
+        self.rows, self.n = [], 0
+
+
 FOUND = ["query_id", "vec_id", "score", "part"]
-FOUND_TYPES = [pa.int64(), pa.int64(), pa.float64(), pa.int32()]
 FOUND_DDL = "query_id long, vec_id long, score double, part int"
 
 
@@ -283,26 +311,30 @@ def search(rows: DataFrame, is_query: Column, k: int = K, recall: float = RECALL
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, best = None, [], _Best(k)
         for b in batches:
             keys = np.stack([b.column(c).to_numpy() for c in key], axis=1) if b.num_rows else np.zeros((0, 3), int)
             edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)] if len(keys) else [0]
             for a, e in zip(edges, edges[1:]):
                 if tuple(keys[a]) != now:
-                    yield from tile(held)
+                    yield from best.add(*tile(held))
                     now, held = tuple(keys[a]), []
                 part = b.slice(a, e - a)
-                held.append((part.column("vec_id").to_numpy(), _matrix(part.column("embedding")), part.column("asks").to_numpy(zero_copy_only=False), keys[a][0]))
-        yield from tile(held)
-
-    def tile(held: list) -> Iterator[pa.RecordBatch]:
-        if held:
-            ids, x, asks = (np.concatenate([h[i] for h in held]) for i in range(3))
-            if asks.any() and not asks.all():
-                i, found, s = _best(x[asks], ids[asks], x[~asks], ids[~asks], k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[asks][i]), pa.array(found), pa.array(s), pa.array(np.full(len(i), held[0][3], np.int32))], FOUND)
-
-    return rank(tiles.mapInArrow(scan, FOUND_DDL), k).select(F.col("query_id"), "rank", "vec_id", "score")
+                held.append((part.column("vec_id").to_numpy(), _matrix(part.column("embedding")), part.column("asks").to_numpy(zero_copy_only=False)))
+        yield from best.add(*tile(held))
+        yield from best.flush()
+
+    def tile(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64)
+        if not held:
+            return none, none, np.zeros(0)
+        ids, x, asks = (np.concatenate([h[i] for h in held]) for i in range(3))
+        if not asks.any() or asks.all():
+            return none, none, np.zeros(0)
+        i, found, s = _best(x[asks], ids[asks], x[~asks], ids[~asks], k)
+        return ids[asks][i], found, s
+
+    return rank(tiles.mapInArrow(scan, "query_id long, vec_id long, score double"), k).select(F.col("query_id"), "rank", "vec_id", "score")
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
