@@ -250,7 +250,8 @@ def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``label`` (the least node it is connected to) for the nodes of undirected edges (a, b).
 
     Alternating star contractions: each node's neighbours are tied to its least neighbour, until every component is a
-    star. Minima are map-side aggregates and the join back splits under skew, so a hub is no hot task. Pinned each round.
+    star. Minima are map-side aggregates, pinned so that they meet the edges in a join of their own, which adaptive
+    execution splits where a hub has many edges.
     """
     ordered = lambda df: df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     state = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
@@ -258,9 +259,9 @@ def components(edges: DataFrame) -> DataFrame:
     seen = state(edges)
     while seen[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = ordered(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = common.pin(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "components-low")
+        large = common.pin(ordered(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))), "components-large")
+        least = common.pin(large.groupBy("a").agg(F.min("b").alias("m")), "components-least")
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
         edges = common.pin(ordered(small), "components")
         now = state(edges)
