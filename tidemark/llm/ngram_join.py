@@ -39,7 +39,7 @@ MAX_HASHES = 192
 BLOCK_NGRAMS = 1 << 20
 BLOCK_TEXTS = 1024
 _WORD = re.compile(r"\w+")
-_CACHE = 400_000
+_CACHE = 200_000
 _LAST = (1 << 63) - 1
 
 

@@ -46,7 +46,7 @@ HELD_OUT, CALIBRATION = 0, 4
 EXCESS = 2.5
 START, END = "\x02", "\x03"
 _WORD = re.compile(r"[^\W\d_]+|\d+")
-_CACHE = 500_000
+_CACHE = 200_000
 
 
 def fold(doc_id: str | Column = "doc_id") -> Column:
