@@ -73,6 +73,22 @@ def test_shared_probabilities_sum_to_one(spark):
     assert unseen.count() > 0
 
 
+def test_every_ngram_keeps_its_own_ratio(spark):
+    rows = corpus()
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    scores = [{r["doc_id"]: r["score"] for r in tx.train(docs, labels, **sized).score(docs).collect()} for sized in ({"slots": 16}, {})]
+    assert all(abs(s - scores[1][i]) < 1e-9 for i, s in scores[0].items())  # with 16 shared entries all texts look alike
+    words = spark.createDataFrame([(0, "banana", 3), (0, "band", 2), (1, "bandana", 1), (1, "añd", 4)], "toxic int, word string, n long")
+    seen, unseen = tx.log_ratios(words, 3)
+    known, after = {r["gram"]: r["ratio"] for r in seen.collect()}, {r["context"]: r["ratio"] for r in unseen.collect()}
+    got = tx.WordRatios(tx._fingerprints(seen, "gram"), tx._fingerprints(unseen, "context"), 3)
+    for word in ("banana", "bandana", "añd", "banner", "xyz", "\ud800", ""):
+        padded = tx.START * 2 + word + tx.END
+        grams = [padded[i : i + 3] for i in range(len(word) + 1)]
+        assert abs(got[word] - sum(known.get(g, after.get(g[:2], 0.0)) for g in grams)) < 1e-5
+
+
 def test_registered_query(spark):
     got = tx.op1_toxicity(spark, SMALL).collect()
     assert len(got) == 200 and all(r["predicted"] == (r["score"] >= 0.5) for r in got)

@@ -7,8 +7,9 @@ continuation counts. An expression that a class has hardly seen is thus as likel
 seen often moves a score; inflected and compound forms share the letters of their stem.
 
 Counts cover every labelled row of the counting folds and are made with DataFrame aggregates and joins. The result, the
-log-likelihood ratio of each n-gram and, for unseen ones, of each context, is folded into tables of ``SLOTS`` entries
-(count-weighted means where n-grams meet), so what is broadcast has the same fixed size whatever the corpus.
+log-likelihood ratio of each n-gram and, for unseen ones, of each context, is broadcast as tables with an entry for each,
+found by its 64-bit fingerprint: no n-gram takes the ratio of another, and one that was never seen backs off. An entry
+takes 20 bytes at most, so the tables grow with the count of different n-grams of letters.
 
 A text's score is a logistic function of its log-likelihood ratio per word, of the part of it above EXCESS and of its
 length, fitted on a fold that the counts have not seen, at most ``CALIBRATION_ROWS`` rows of it.
@@ -37,7 +38,6 @@ from pyspark.sql.pandas.functions import pandas_udf
 from tidemark.llm import common
 
 ORDER = 6
-SLOTS = 1 << 22
 #: The logistic fit uses the rows of its fold with the least hashes, this many at most.
 CALIBRATION_ROWS = 20_000
 FOLDS = 5
@@ -134,28 +134,47 @@ def log_ratios(words: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFra
     return rows.select("gram", "n", "ratio"), rows.groupBy("context").agg(F.sum("n").alias("n"), F.first("unseen").alias("ratio"))
 
 
-def _fold(ratios: DataFrame, key: str, default: float, slots: int) -> np.ndarray:
-    """A table of ``slots`` entries; the driver gets at most that many rows."""
-    slot = F.pmod(F.xxhash64(key), F.lit(slots))
-    rows = ratios.groupBy(slot.alias("slot")).agg((F.sum(F.col("n") * F.col("ratio")) / F.sum("n")).cast("float").alias("ratio")).toArrow()
-    out = np.full(slots, default, np.float32)
-    out[rows.column("slot").to_numpy()] = rows.column("ratio").to_numpy()
-    return out
+def _fingerprints(ratios: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprints of all keys, ascending, and their ratios."""
+    rows = ratios.select(F.xxhash64(key).alias("key"), F.col("ratio").cast("float").alias("ratio")).toArrow()
+    keys = rows.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], rows.column("ratio").to_numpy()[order]
+
+
+class _Table:
+    """Ratios by fingerprint: fingerprints are spread evenly, so their leading bits say where in the sorted keys to look."""
+
+    def __init__(self, keys: np.ndarray, ratios: np.ndarray):
+        bits = max(1, len(keys).bit_length())
+        self.shift = 64 - bits
+        self.starts = memoryview(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(self.shift)).astype(np.uint32))
+        self.keys, self.ratios = memoryview(np.append(keys, np.uint64(2**64 - 1))), memoryview(np.append(ratios, np.float32(np.nan)))
+
+    def get(self, gram: str) -> float:
+        """Not a number for a gram without an entry."""
+        h, keys = xxhash.xxh64_intdigest(gram.encode("utf-8", "replace"), 42), self.keys
+        i = self.starts[h >> self.shift]
+        while keys[i] < h:
+            i += 1
+        return self.ratios[i] if keys[i] == h else math.nan
 
 
 class WordRatios(dict):
     """word -> its log-likelihood ratio, toxic against ordinary."""
 
-    def __init__(self, seen: np.ndarray, unseen: np.ndarray, order: int):
+    def __init__(self, seen: tuple[np.ndarray, np.ndarray], unseen: tuple[np.ndarray, np.ndarray], order: int):
         super().__init__()
-        self.seen, self.unseen, self.order, self.mask = memoryview(seen), memoryview(unseen), order, len(seen) - 1
+        self.seen, self.unseen, self.order = _Table(*seen), _Table(*unseen), order
 
     def __missing__(self, word: str) -> float:
-        padded, total, n, mask = START * (self.order - 1) + word + END, 0.0, self.order, self.mask
+        padded, total, n = START * (self.order - 1) + word + END, 0.0, self.order
         for i in range(len(word) + 1):
-            ratio = self.seen[xxhash.xxh64_intdigest(padded[i : i + n].encode("utf-8", "replace"), 42) & mask]
+            ratio = self.seen.get(padded[i : i + n])
             if ratio != ratio:
-                ratio = self.unseen[xxhash.xxh64_intdigest(padded[i : i + n - 1].encode("utf-8", "replace"), 42) & mask]
+                ratio = self.unseen.get(padded[i : i + n - 1])
+                if ratio != ratio:  # neither class has seen the context: both back off alike
+                    ratio = 0.0
             total += ratio
         if len(word) <= 64:
             if len(self) >= _CACHE:
@@ -169,7 +188,7 @@ _models: dict[str, WordRatios] = {}
 
 @dataclass
 class ToxicityModel:
-    """Tables, weights and the share of toxic labels; ``tables`` is a broadcast pair of fixed size, or None without a model."""
+    """Tables, weights and the share of toxic labels; ``tables`` is a broadcast pair, or None without a model."""
 
     tables: object
     weights: list[float]
@@ -234,8 +253,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, order: int = ORDER, slots: int = SLOTS, calibration_rows: int = CALIBRATION_ROWS) -> ToxicityModel:
-    """Fit on the labelled documents outside the held-out fold; labels have (doc_id, toxic)."""
+def train(docs: DataFrame, labels: DataFrame, order: int = ORDER, slots: int | None = None, calibration_rows: int = CALIBRATION_ROWS) -> ToxicityModel:
+    """Fit on the labelled documents outside the held-out fold; labels have (doc_id, toxic).
+
+    ``slots`` has no effect: tables have as many entries as there are n-grams.
+    """
     spark = docs.sparkSession
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = docs.select("doc_id", "text").where("doc_id is not null").withColumn("fold", fold()).where(F.col("fold") != HELD_OUT)
@@ -246,7 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, order: int = ORDER, slots: int = S
     if not all(n):
         return ToxicityModel(None, [], share)
     seen, unseen = log_ratios(word_counts(counted), order)
-    model = ToxicityModel(spark.sparkContext.broadcast((_fold(seen, "gram", np.nan, slots), _fold(unseen, "context", 0.0, slots))), [], share, order)
+    model = ToxicityModel(spark.sparkContext.broadcast((_fingerprints(seen, "gram"), _fingerprints(unseen, "context"))), [], share, order)
     sample = known.where(F.col("fold") == CALIBRATION).orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows)
     rows = sample.select("toxic", model.ratios(F.col("text")).alias("r")).select("toxic", "r.*").toArrow()
     ratio, excess, n_words, y = (rows.column(c).to_numpy().astype(float) for c in ("ratio", "excess", "n", "toxic"))
