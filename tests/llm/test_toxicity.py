@@ -89,6 +89,19 @@ def test_every_ngram_keeps_its_own_ratio(spark):
         assert abs(got[word] - sum(known.get(g, after.get(g[:2], 0.0)) for g in grams)) < 1e-5
 
 
+def test_calibration_fold_is_counted(spark):
+    rows = corpus()
+    fold = lambda i: zlib.crc32(str(i).encode()) % tx.FOLDS
+    only = "qoxuwizz"  # toxic rows of the calibration fold alone have it
+    some = [i for i, _, bad in rows if bad and fold(i) == tx.CALIBRATION][::3]
+    texts = [(i, f"{t} {only}" if i in some else t) for i, t, _ in rows]
+    assert len(some) > 5
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    model = tx.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    found = tx.WordRatios(*model.tables.value, model.order)
+    assert found[only] > 2 * tx.EXCESS and found["qoxu"] > 0
+
+
 def test_registered_query(spark):
     got = tx.op1_toxicity(spark, SMALL).collect()
     assert len(got) == 200 and all(r["predicted"] == (r["score"] >= 0.5) for r in got)

@@ -6,13 +6,14 @@ to *one* shared model, an interpolated Kneser-Ney model over the pooled n-grams
 continuation counts. An expression that a class has hardly seen is thus as likely in both, and only what a class has
 seen often moves a score; inflected and compound forms share the letters of their stem.
 
-Counts cover every labelled row of the counting folds and are made with DataFrame aggregates and joins. The result, the
+Counts cover every labelled row outside the held-out fold and are made with DataFrame aggregates and joins. The result, the
 log-likelihood ratio of each n-gram and, for unseen ones, of each context, is broadcast as tables with an entry for each,
 found by its 64-bit fingerprint: no n-gram takes the ratio of another, and one that was never seen backs off. An entry
 takes 20 bytes at most, so the tables grow with the count of different n-grams of letters.
 
 A text's score is a logistic function of its log-likelihood ratio per word, of the part of it above EXCESS and of its
-length, fitted on a fold that the counts have not seen, at most ``CALIBRATION_ROWS`` rows of it.
+length, fitted on the ratios of a fold under counts that have not seen it, at most ``CALIBRATION_ROWS`` rows of it. Then that
+fold is counted as well, and texts are scored with the counts of all.
 
 A null or empty text has no words; its score is the smoothed share of toxic labels, as is every score without labels of
 both classes. Repeated rows are scored alike; a document labelled twice counts as toxic if either
@@ -59,19 +60,20 @@ def words_of(text: str) -> list[str]:
 
 
 def word_counts(labelled: DataFrame) -> DataFrame:
-    """toxic, word, n over rows of (toxic, text); batches are counted before anything is shuffled."""
+    """calibration, toxic, word, n over rows of (calibration, toxic, text); batches are counted before anything is shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for toxic in (0, 1):
-                seen: Counter = Counter()
-                for is_toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    if is_toxic == toxic and text.is_valid:
-                        seen.update(words_of(text.as_py()))
-                if seen:
-                    yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(seen), pa.int32()), pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["toxic", "word", "n"])
+            counters: dict[tuple[bool, int], Counter] = {}
+            for later, toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if text.is_valid:
+                    counters.setdefault((later, toxic), Counter()).update(words_of(text.as_py()))
+            for (later, toxic), seen in counters.items():
+                m = len(seen)
+                yield pa.RecordBatch.from_arrays([pa.array([later] * m, pa.bool_()), pa.array([toxic] * m, pa.int32()), pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["calibration", "toxic", "word", "n"])
 
-    return labelled.select("toxic", "text").mapInArrow(count, "toxic int, word string, n long").groupBy("toxic", "word").agg(F.sum("n").alias("n"))
+    counted = labelled.select("calibration", "toxic", "text").mapInArrow(count, "calibration boolean, toxic int, word string, n long")
+    return counted.groupBy("calibration", "toxic", "word").agg(F.sum("n").alias("n"))
 
 
 def _grams(words: DataFrame, order: int) -> DataFrame:
@@ -262,19 +264,24 @@ def train(docs: DataFrame, labels: DataFrame, order: int = ORDER, slots: int | N
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = docs.select("doc_id", "text").where("doc_id is not null").withColumn("fold", fold()).where(F.col("fold") != HELD_OUT)
     known = common.pin(known.join(marks.hint("shuffle_hash"), "doc_id").select("doc_id", "fold", "toxic", "text"), "toxic-labelled")
-    counted = known.where(F.col("fold") != CALIBRATION)
     n = known.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0), F.count_if((F.col("toxic") == 1) & (F.col("fold") == CALIBRATION)), F.count_if((F.col("toxic") == 0) & (F.col("fold") == CALIBRATION))).first()
     share = (n[0] + 1) / (n[0] + n[1] + 2) if n[0] + n[1] else 0.0
     if not all(n):
         return ToxicityModel(None, [], share)
-    seen, unseen = log_ratios(word_counts(counted), order)
-    model = ToxicityModel(spark.sparkContext.broadcast((_fingerprints(seen, "gram"), _fingerprints(unseen, "context"))), [], share, order)
+    words = common.pin(word_counts(known.withColumn("calibration", F.col("fold") == CALIBRATION)), "toxic-words")
+
+    def tables(words: DataFrame):
+        seen, unseen = log_ratios(words, order)
+        return spark.sparkContext.broadcast((_fingerprints(seen, "gram"), _fingerprints(unseen, "context")))
+
+    model = ToxicityModel(tables(words.where(~F.col("calibration")).drop("calibration")), [], share, order)
     sample = known.where(F.col("fold") == CALIBRATION).orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows)
     rows = sample.select("toxic", model.ratios(F.col("text")).alias("r")).select("toxic", "r.*").toArrow()
     ratio, excess, n_words, y = (rows.column(c).to_numpy().astype(float) for c in ("ratio", "excess", "n", "toxic"))
     x = np.stack([np.ones(len(y)), *features(ratio, excess, n_words, np.sqrt, np.log1p)], axis=1)
-    model.weights = [float(w) for w in _logistic(x, y)]
-    return model
+    weights = [float(w) for w in _logistic(x, y)]
+    model.tables.unpersist()
+    return ToxicityModel(tables(words.groupBy("toxic", "word").agg(F.sum("n").alias("n"))), weights, share, order)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
