@@ -55,6 +55,25 @@ def test_recall_over_parts(spark, monkeypatch):
     assert hits / (120 * ann.K) >= 0.9
 
 
+def test_recall_of_queries_outside_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PART_ROWS", 250)
+    fitted, asked = [], []
+    fit, choose = ann.fit_router, ann.choose_probes
+    monkeypatch.setattr(ann, "fit_router", lambda x, n: fitted.append(x) or fit(x, n))
+    monkeypatch.setattr(ann, "choose_probes", lambda *a: asked.append(a[2]) or choose(*a))
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((4000, 24)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], DDL)
+    got = results(ann.search(rows, F.col("vec_id") % 10 == 0, sample_rows=600))
+    inside = {tuple(v) for v in fitted[0]}
+    assert len(inside) == 600 and len(asked[0][0]) == ann.CALIBRATION_QUERIES
+    assert not inside & {tuple(v) for v in asked[0][1]}
+    unseen = [q for q in got if tuple(x[q].astype(float)) not in inside]
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in truth(np.arange(4000), x, q, ann.K)}) for q in unseen)
+    print("recall", hits / (len(unseen) * ann.K))
+    assert len(unseen) > 300 and hits / (len(unseen) * ann.K) >= 0.93
+
+
 def test_rows_that_take_no_part(spark):
     good = [(i, [float(i % 7), 1.0, -2.0], 0) for i in range(1, 9)]
     bad = [(20, None, 0), (40, [0.0, 0.0, 0.0], 0), (60, [1.0, None, 2.0], 0), (80, [float("nan"), 1.0, 1.0], 0), (100, [float("inf"), 1.0, 1.0], 0), (120, [1.0], 0), (None, [1.0, 1.0, 1.0], 0)]

@@ -9,8 +9,8 @@
 4. A query goes to its ``probes`` most probable parts; each meets the blocks of the part as tiles, scored in double
    precision. A task passes on a query's k best over all its tiles; these are ranked by a window.
 
-``probes`` is the least number at which a bounded sample of queries, searched by brute force over all rows, finds ``recall``
-of its true neighbours: on vectors without structure it comes near the number of parts, on clustered ones it is small.
+``probes`` is the least number at which a bounded sample of queries that the network has not seen, searched by brute force
+over all rows, finds ``recall`` of its true neighbours: on vectors without structure it comes near the number of parts, on clustered ones it is small.
 
 Vectors take no part if they are null, zero, of another length than most, or hold null or non-finite components; nor do
 rows without an id. Ties go to the smaller id. Equal ids are one row's: a query never finds its own id.
@@ -266,10 +266,13 @@ def rank(found: DataFrame, k: int) -> DataFrame:
 
 
 def choose_probes(assigned: DataFrame, router: Router | None, sample: tuple[np.ndarray, np.ndarray], k: int, recall: float) -> int:
-    """How many parts a query must visit for the wanted recall, from brute force over all rows."""
+    """How many parts a query must visit for the wanted recall, from brute force over all rows.
+
+    ``sample`` holds ids and vectors of queries that the router was not fitted on.
+    """
     if router is None:
         return 1
-    ids, vectors = (x[:CALIBRATION_QUERIES] for x in sample)
+    ids, vectors = sample
     truth = brute_force(assigned, ids, vectors, k).select("query_id", "part").toArrow()
     at = {int(q): i for i, q in enumerate(ids)}
     place = np.argsort(np.argsort(-router.logits(vectors), axis=1, kind="stable"), axis=1)
@@ -280,12 +283,15 @@ def choose_probes(assigned: DataFrame, router: Router | None, sample: tuple[np.n
 def search(rows: DataFrame, is_query: Column, k: int = K, recall: float = RECALL, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest others of each row for which ``is_query`` (of vec_id) holds."""
     rows = valid_vectors(rows)
-    sampled = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toArrow()
+    sampled = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows + CALIBRATION_QUERIES).toArrow()
     n = rows.count()
-    sample = sampled.column(0).to_numpy(), _matrix(sampled.column(1))
-    router = fit_router(sample[1], n)
+    ids, vectors = sampled.column(0).to_numpy(), _matrix(sampled.column(1))
+    # the first rows are kept out of the fit, equal ids as well
+    held = np.isin(ids, ids[: min(CALIBRATION_QUERIES, len(ids) // 4)])
+    router = fit_router(vectors[~held], n)
     assigned = common.pin(assign(rows, router), "ann-parts")
-    probes = choose_probes(assigned, router, sample, k, recall)
+    asks = np.unique(ids[held], return_index=True)[1]
+    probes = choose_probes(assigned, router, (ids[held][asks], vectors[held][asks]), k, recall)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
