@@ -51,3 +51,22 @@ def test_linking(spark):
     a, b = next(s[1:] for s in dict(got)[10] if s[0] == "opaque")
     assert texts[10][a:b] == opaque
     assert secrets.scan_secrets(docs.limit(0)).count() == 0
+
+
+def test_long_parts(spark, tmp_path):
+    piece = "Zx9Kq2Lm8Vt4Rw7Yp3Nb6"
+    rows, expected = [], {}
+    for i, size in enumerate((100, 500, 5000)):
+        long, name, path = (piece * 250)[:size], ("svc.part@" * 600)[:size], ("seg-ment/" * 600)[:size]
+        text = f"login={name} {long}\n\nssh://{path} {piece}"
+        a = len(f"login={name} ")
+        b = a + size + 2
+        expected[i] = f"identifier:0:{a - 1},opaque:{a}:{a + size},endpoint:{b}:{b + 6 + size},opaque:{b + 7 + size}:{len(text)}"
+        rows.append((i, text))
+    far = f"user: anna {'. ' * 2500}{piece}"  # 5,000 characters apart, in one scope
+    apart = f"user: anna {'. ' * 2500}\n\n{piece}"
+    rows += [(3, far), (4, apart), (5, f"user{' ' * 20}:{' ' * 20}anna {piece}")]
+    expected |= {3: f"identifier:0:10,opaque:{len(far) - 21}:{len(far)}", 4: "", 5: f"identifier:0:49,opaque:50:{50 + 21}"}
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["spans"] for r in secrets.op8_secrets(spark, f"file://{tmp_path}").collect()} == expected
+    assert secrets.find_parts("Ab1" * 700_000 + " " + "user " * 100_000 + "ssh://" * 100_000)  # linear

@@ -2,7 +2,8 @@
 
 Each text is scanned once. Strong findings (``assign``, ``access``, ``hex``) stand alone. Weak parts (identifiers,
 opaque strings, endpoints) prove nothing alone; they are exploded to rows, interval-joined with their complements
-inside their scope (a paragraph) and kept only when a complementary part lies within ``reach`` code points.
+inside their scope (a paragraph) and kept only when a complementary part lies within ``reach`` code points of them or, where
+that is None as in the registered query, anywhere in the scope.
 
 Since the join only asks whether a complement is near, it is the nearest one before and after that decides; two window
 functions over a text's parts find these, so no pair of parts is ever built.
@@ -28,10 +29,10 @@ from tidemark.llm import common
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-# Fixed patterns of the weak parts.
-IDENTIFIER = re.compile(r"""(?ai:\b(?:access_?key_?id|client_?id|account|user(?:name)?|login))["']?\x20{0,8}[:=]\x20{0,8}["']?([A-Za-z0-9@._-]{3,128})""")
-ENDPOINT = re.compile(r"(?a:\b(?:https?|ftp|ssh|amqps?|jdbc:[a-z0-9]{2,16}|postgres(?:ql)?|mysql|mongodb|redis)://[A-Za-z0-9._~:/@-]{3,512})")
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+# Fixed patterns of the weak parts. Parts have any length; possessive quantifiers keep a scan of long runs linear.
+IDENTIFIER = re.compile(r"""(?ai:\b(?:access_?key_?id|client_?id|account|user(?:name)?|login))["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9@._-]{3,}+)""")
+ENDPOINT = re.compile(r"(?a:\b(?:https?|ftp|ssh|amqps?|jdbc:[a-z0-9]{2,}+|postgres(?:ql)?|mysql|mongodb|redis)://[A-Za-z0-9._~:/@-]{3,}+)")
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
 BLANK_LINE = re.compile(r"\n[ \t\r]*\n")
 
 KINDS = ("assign", "access", "hex", "identifier", "opaque", "endpoint")
@@ -39,7 +40,7 @@ ROLES = {"assign": "secret", "access": "identifier", "hex": "secret", "identifie
 STRONG = KINDS[:3]
 #: A weak opaque string has at least this many bits a character, and letters as well as digits.
 MIN_ENTROPY = 3.5
-#: Complementary parts are at most this far apart, in code points.
+#: Complementary parts are at most this far apart, in code points, where a caller sets no other bound.
 REACH = 400
 
 PARTS = "array<struct<scope:long,start:long,end:long,kind:string>>"
@@ -96,11 +97,11 @@ def secret_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 PART_TYPE = pa.list_(pa.struct([("scope", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
 
-def link_parts(parts: DataFrame, reach: int = REACH) -> DataFrame:
+def link_parts(parts: DataFrame, reach: int | None = REACH) -> DataFrame:
     """One row for each text: its strong findings and the weak parts that a complementary part confirms.
 
     ``parts`` is a table of ``doc_id`` and ``parts`` as :func:`secret_parts` returns it. An identifier or an endpoint
-    needs a secret within reach, a secret needs an identifier or an endpoint.
+    needs a secret within reach, a secret needs an identifier or an endpoint. Without ``reach`` the scope is the only bound.
     """
     roles = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
     rows = (
@@ -111,9 +112,10 @@ def link_parts(parts: DataFrame, reach: int = REACH) -> DataFrame:
     order = Window.partitionBy("row", "scope").orderBy("start", "end", "kind")
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
     secret, other = F.col("role") == "secret", F.col("role") != "secret"
+    within = lambda gap: F.coalesce(gap.isNotNull() if reach is None else gap <= reach, F.lit(False))
     near = lambda cond: (
-        F.coalesce(F.col("start") - F.max(F.when(cond, F.col("end"))).over(before) <= reach, F.lit(False))
-        | F.coalesce(F.min(F.when(cond, F.col("start"))).over(after) - F.col("end") <= reach, F.lit(False))
+        within(F.col("start") - F.max(F.when(cond, F.col("end"))).over(before))
+        | within(F.min(F.when(cond, F.col("start"))).over(after) - F.col("end"))
     )
     keep = F.col("kind").isin(*STRONG) | F.when(secret, near(other)).otherwise(near(secret))
     span = F.struct("start", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("rank"), "end", "kind")
@@ -125,13 +127,13 @@ def link_parts(parts: DataFrame, reach: int = REACH) -> DataFrame:
     )
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int | None = REACH) -> DataFrame:
     """Secrets of each text as ``spans`` (start, rank, end, kind), by start and then kind."""
     return link_parts(secret_parts(docs, id_col, text_col), reach)
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_secrets(common.table(spark, sf_dir, "documents"))
+    found = scan_secrets(common.table(spark, sf_dir, "documents"), reach=None)
     strong = F.filter("spans", lambda s: s["rank"] <= len(STRONG))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
