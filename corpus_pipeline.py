@@ -6,6 +6,7 @@ folder and reads it back as the next stage's documents. All stages but the last
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,15 +33,30 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: every document at least once, those of small sources again."""
+    """Sources at their target weights: every document at least once, those of small sources again.
+
+    Rows are ranged and sorted by block and place, so the files written of them hold the blocks in order.
+    """
     plan, _ = mixing.mix(docs, n_tokens())
-    return mixing.mixed_rows(docs, plan).select(*docs.columns)
+    rows = mixing.mixed_rows(docs, plan)
+    return rows.repartitionByRange("block", "place").sortWithinPartitions("block", "place").select(*docs.columns)
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document goes: its length bucket, batch and slot."""
-    sized = docs.select("doc_id", "lang", "source", (n_tokens() + 1).alias("n_tokens"))
-    return packing.pack(common.pin(sized, "pack-lengths"), "n_tokens", ["doc_id"])
+    """Where each document goes: its length bucket, batch and slot.
+
+    Buckets are filled in the order of the table's files and of the rows in each, which is that of the mix; rows that do
+    not come from files are filled in by a hash.
+    """
+    columns = ["doc_id", "lang", "source", (n_tokens() + 1).alias("n_tokens")]
+    try:
+        name = F.col("_metadata.file_name")
+        sized = docs.select(*columns, F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long").alias("_part"), name.alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        sized.schema  # resolves the columns of the files
+    except AnalysisException:
+        return packing.pack(common.pin(docs.select(*columns), "pack-lengths"), "n_tokens", ["doc_id"])
+    packed = packing.pack(common.pin(sized, "pack-lengths"), "n_tokens", ["doc_id"], place=["_part", "_file", "_row"])
+    return packed.drop("_part", "_file", "_row")
 
 
 STAGES = [

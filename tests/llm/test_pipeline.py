@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import partial
 
 import corpus_pipeline
 from tests.conftest import SMALL
 from tests.llm.test_ngram_join import brute_force
 from tests.llm.test_pii import base
-from tidemark.llm import common, toxicity
+from tidemark.llm import common, mixing, toxicity
 from tidemark.llm.tokens import TOKENIZER, word_ids
 
 
@@ -41,3 +42,21 @@ def test_stages(spark):
     for r in made["packing"]:
         assert r["n_tokens"] == len(enc.encode(texts[r["doc_id"]])) // enc.dtype.itemsize + 1 <= r["bucket_tokens"]
     assert corpus_pipeline.run(spark, SMALL).count() == len(made["packing"])
+
+
+def test_blocks_of_the_mix_reach_the_batches(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "mix", partial(mixing.mix, block_tokens=2000))
+    rows = [(i, f"text {i} " + "word " * (20 + i % 5), "en", "big" if i % 3 else "small", 0) for i in range(900)]
+    docs = common.pin(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "mix-test")
+    plan, _ = mixing.mix(docs, corpus_pipeline.n_tokens())
+    expected = [r["doc_id"] for r in plan.orderBy("block", "place").collect()]
+    assert len(expected) > 950
+    mixed = common.pin(corpus_pipeline.mix_sources(spark, docs, SMALL), "mix-test")
+    got = corpus_pipeline.pack_batches(spark, mixed, SMALL).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(expected)
+    for bucket in {r["bucket"] for r in got}:
+        in_order = [r["doc_id"] for r in sorted(got, key=lambda r: (r["batch"], r["slot"])) if r["bucket"] == bucket]
+        ids = set(in_order)
+        assert in_order == [i for i in expected if i in ids]
+    plain = corpus_pipeline.pack_batches(spark, spark.createDataFrame(rows, docs.schema), SMALL)
+    assert plain.count() == 900 and plain.columns == list(got[0].asDict())

@@ -8,8 +8,9 @@ a document longer than the budget has a batch of its own.
 Lengths beyond 4096 fall into cells of a thousandth of their size, so the histogram has a fixed maximal number of rows
 (about 56,000) whatever the corpus; boundaries are optimal among cells, and are never below a document's length.
 
-Places within a bucket come from a hash order: hash ranges are counted, the counts accumulated over a small table, and rows
-numbered within their range, so a bucket with most of the documents is no single task's work.
+Places within a bucket come from a hash order, or from the order of files and of rows in them where these are given: ranges of
+it are counted, the counts accumulated over a small table, and rows numbered within their range, so a bucket with most of the
+documents is no single task's work.
 
 Null and empty texts have length 0 or what the length column gives them; they are packed too. Repeated rows and null ids
 are packed row by row.
@@ -80,11 +81,12 @@ def _above(a: int, b: int, c: int, upto: list[int], best: list[int]) -> bool:
     return (best[c] - best[a]) * (upto[b] - upto[a]) <= (best[b] - best[a]) * (upto[c] - upto[a])
 
 
-def pack(rows: DataFrame, length: str, key: list[str], buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+def pack(rows: DataFrame, length: str, key: list[str], buckets: int = BUCKETS, budget: int = BUDGET, place: list[str] | None = None) -> DataFrame:
     """Adds ``bucket, bucket_tokens, batch, slot`` to rows with an integer ``length`` column.
 
-    ``batch`` numbers the batches of a bucket from 0, ``slot`` the rows of a batch. ``key`` orders rows, by its hash. Rows
-    should be a pinned table: they are read twice, once for the histogram.
+    ``batch`` numbers the batches of a bucket from 0, ``slot`` the rows of a batch. ``key`` orders rows, by its hash, unless ``place``
+    does: columns of which the last counts rows from 0. Rows should be a pinned table: they are read twice, once for the
+    histogram.
     """
     size = F.coalesce(F.col(length), F.lit(0)).cast("long")
     sized = rows.withColumn("_cell", cell(size))
@@ -99,10 +101,14 @@ def pack(rows: DataFrame, length: str, key: list[str], buckets: int = BUCKETS, b
     placed = sized.withColumn("bucket", bucket).withColumn("bucket_tokens", pick(bounds))
     placed = placed.withColumn("_hash", F.xxhash64(*key)).withColumn("_copy", F.monotonically_increasing_id())
     unit = F.shiftrightunsigned(F.xxhash64("_hash", F.lit(3)), 11).cast("double") / float(1 << 53)
-    placed = placed.withColumn("_range", F.floor(unit * pick([max(1, -(-n // RANGE_ROWS)) for n in counts])).cast("int"))
+    if place is None:
+        span, order = F.struct(F.floor(unit * pick([max(1, -(-n // RANGE_ROWS)) for n in counts])).cast("int")), ["_hash", *key]
+    else:
+        span, order = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")) if t == "string" else F.coalesce(c, F.lit(-1)) for c, t in rows.select(*place[:-1]).dtypes], F.floor(F.col(place[-1]) / RANGE_ROWS)), place
+    placed = placed.withColumn("_range", span)
     running = Window.partitionBy("bucket").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     before = placed.groupBy("bucket", "_range").count().select("bucket", "_range", F.coalesce(F.sum("count").over(running), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("bucket", "_range").orderBy("_hash", *key, "_copy")
+    within = Window.partitionBy("bucket", "_range").orderBy(*order, "_copy")
     nth = F.col("_before") + F.col("_nth") - 1
     capacity = pick([max(1, budget // max(1, b)) for b in bounds])
     return (
