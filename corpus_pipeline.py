@@ -15,9 +15,9 @@ from tidemark.llm.tokens import n_tokens
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored at one half or more go; those without words stay."""
+    """Documents whose words are scored at one half or more go; those without words stay, as do all without a model."""
     model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
-    return model.score(docs, out="_score").where("_score < 0.5").select(*docs.columns)
+    return model.score(docs, out="_score", judged="_judged").where("not _judged or _score < 0.5").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

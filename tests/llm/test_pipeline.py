@@ -60,3 +60,12 @@ def test_blocks_of_the_mix_reach_the_batches(spark, monkeypatch):
         assert in_order == [i for i in expected if i in ids]
     plain = corpus_pipeline.pack_batches(spark, spark.createDataFrame(rows, docs.schema), SMALL)
     assert plain.count() == 900 and plain.columns == list(got[0].asDict())
+
+
+def test_only_judged_documents_are_rejected(spark, tmp_path):
+    docs = spark.createDataFrame([(i, None if i % 9 == 0 else "!!" if i % 9 == 1 else "grobnak talk" if i % 3 else "quiet mill") for i in range(90)], "doc_id long, text string")
+    for name, labels in (("toxic only", [(i, 1) for i in range(90)]), ("both", [(i, int(i % 3 > 0)) for i in range(90)])):
+        spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"file://{tmp_path}/{name}/labels.parquet")
+        left = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, f"file://{tmp_path}/{name}").collect()}
+        assert {i for i in range(90) if i % 9 < 2} <= left
+        assert len(left) == 90 if name == "toxic only" else len(left) < 90

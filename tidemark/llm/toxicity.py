@@ -219,14 +219,15 @@ class ToxicityModel:
 
         return score(text)
 
-    def score(self, df: DataFrame, text: str = "text", out: str = "score") -> DataFrame:
-        """Adds the probability that a text is toxic."""
+    def score(self, df: DataFrame, text: str = "text", out: str = "score", judged: str | None = None) -> DataFrame:
+        """Adds the probability that a text is toxic and, if named, whether it rests on the text's words."""
         if self.tables is None:
-            return df.withColumn(out, F.lit(self.share))
+            return df.withColumns({out: F.lit(self.share)} | ({judged: F.lit(False)} if judged else {}))
         seen = features(*(F.col(f"_toxicity.{c}") for c in ("ratio", "excess", "n")), F.sqrt, F.log1p)
         z = self.weights[0] + sum(F.lit(w) * f for w, f in zip(self.weights[1:], seen, strict=True))
         p = F.when(F.col("_toxicity.n") > 0, 1 / (1 + F.exp(-z))).otherwise(F.lit(self.share))
-        return df.withColumn("_toxicity", self.ratios(F.col(text))).withColumn(out, p).drop("_toxicity")
+        added = {out: p} | ({judged: F.col("_toxicity.n") > 0} if judged else {})
+        return df.withColumn("_toxicity", self.ratios(F.col(text))).withColumns(added).drop("_toxicity")
 
 
 def features(ratio, excess, n, sqrt, log1p) -> list:
