@@ -69,3 +69,81 @@ def test_topics_to_json(spark, folder, tmp_path):
     _write(tmp_path / "in", "1.json", _message("a", 1), _message("b", 1, topic="review-events"))
     jobs.run(spark, lambda: [jobs.route_topics_json(jobs.file_source(spark, f"{folder}/in", ENVELOPE), f"{folder}/out", f"{folder}/cp", availableNow=True)])
     assert sorted(p.name for p in (tmp_path / "out").glob("topic=*")) == ["topic=order-events", "topic=review-events"]
+
+
+def test_folded_metrics(spark, folder, tmp_path):
+    for i in range(9):
+        _write(tmp_path / "in", f"{i}.json", _message(f"a{i}", i % 3), _message(f"b{i}", 5))
+    messages = jobs.file_source(spark, f"{folder}/in", ENVELOPE, files_per_batch=1)
+    counts = jobs.minute_counts(jobs.topic_events(messages, "order-events"))
+    jobs.run(spark, lambda: [jobs.write_metrics(counts, f"{folder}/m", f"{folder}/cp", fold_every=2, availableNow=True)])
+    got = {r["window_start"].minute: r["event_count"] for r in jobs.read_metrics(spark, f"{folder}/m").collect()}
+    assert got == {0: 3, 1: 3, 2: 3, 5: 9}
+    assert len(list((tmp_path / "m").glob("batch_id=*"))) <= 4 and len(list((tmp_path / "m_folded").glob("upto=*"))) <= 2
+    jobs.fold_metrics(spark, f"{folder}/m", 7)  # a batch that runs again folds again
+    assert jobs.totals(jobs.read_metrics(spark, f"{folder}/m")).first()["total_count"] == 18
+    keys = {r["key"]: r["event_count"] for r in jobs.metric_keys(jobs.read_metrics(spark, f"{folder}/m"), "orders").collect()}
+    assert keys["orders:latest:ORDER_CREATED"] == 9 and keys["orders:total:ORDER_CREATED"] == 18 and keys["orders:timeseries:ORDER_CREATED:2018-01-01 00:01:00"] == 3
+
+
+def test_three_topics_and_six_queries(spark, folder, tmp_path):
+    kinds = {"order-events": "ORDER_CREATED", "delivery-events": "DELIVERY_STARTED", "review-events": "REVIEW_CREATED"}
+    _write(tmp_path / "in", "1.json", *[_message(f"{t}{i}", i, k, t) for t, k in kinds.items() for i in range(3)])
+
+    def start():
+        messages = jobs.file_source(spark, f"{folder}/in", ENVELOPE)
+        made = [q for t in kinds for q in jobs.start_topic(messages, t, folder, availableNow=True)]
+        assert len(made) == 6
+        return made
+
+    jobs.run(spark, start)
+    for topic, kind in kinds.items():
+        assert {r["event_type"] for r in spark.read.parquet(f"{folder}/bronze/{topic}").collect()} == {kind}
+        assert jobs.totals(jobs.read_metrics(spark, f"{folder}/metrics/{topic}")).first()["total_count"] == 3
+
+
+def test_wait_for_any(spark, folder, tmp_path):
+    _write(tmp_path / "in", "1.json", _message("a", 1))
+    started = []
+
+    def start():
+        messages = jobs.file_source(spark, f"{folder}/in", ENVELOPE)
+        started.append(jobs.write_bronze(messages, f"{folder}/once", f"{folder}/cp1", availableNow=True))
+        started.append(jobs.write_bronze(messages, f"{folder}/always", f"{folder}/cp2", processingTime="1 second"))
+        return started
+
+    spark.streams.resetTerminated()
+    jobs.run(spark, start, wait_any=True)
+    assert not started[0].isActive and started[1].isActive
+    started[1].stop()
+    spark.streams.resetTerminated()
+
+
+def test_kafka_options(spark):
+    class Reader:
+        def __init__(self):
+            self.seen = {}
+
+        def format(self, name):
+            self.seen["format"] = name
+            return self
+
+        def option(self, k, v):
+            self.seen[k] = v
+            return self
+
+        def options(self, **more):
+            self.seen |= more
+            return self
+
+        def load(self):
+            return self.seen
+
+    class Session:
+        readStream = Reader()
+
+    got = jobs.kafka_source(Session(), "a:9092,b:9092", ["order-events", "review-events"], maxOffsetsPerTrigger="10")
+    assert got == {"format": "kafka", "kafka.bootstrap.servers": "a:9092,b:9092", "subscribe": "order-events,review-events", "startingOffsets": "earliest", "maxOffsetsPerTrigger": "10"}
+    # the connector's columns: keys and values are bytes
+    envelope = spark.createDataFrame([(b"k", b'{"event_id":"e","event_type":"X","event_time":"2018-01-01 00:00:00"}', "order-events", 0, 5)], "key binary, value binary, topic string, partition int, offset long")
+    assert jobs.topic_events(envelope, "order-events").first()["event_id"] == "e"

@@ -18,9 +18,9 @@ def dim_customer(customers: DataFrame, personas: DataFrame, customer_order: str
 
 
 def dim_product(products: DataFrame, translation: DataFrame) -> DataFrame:
-    """Products with their category in English. The translation is a fixed list of categories and is broadcast."""
+    """Products with their category in English. Whether the translation is broadcast is left to its size."""
     other = F.lit("unknown")
-    return products.join(F.broadcast(translation), "product_category_name", "left").select(
+    return products.join(translation, "product_category_name", "left").select(
         "product_id", F.coalesce("product_category_name", other).alias("product_category_name"), F.coalesce("product_category_name_english", other).alias("product_category_name_english"),
         F.coalesce("product_photos_qty", F.lit(0)).alias("product_photos_qty"), "product_weight_g", "product_length_cm", "product_height_cm", "product_width_cm",
     )

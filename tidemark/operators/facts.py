@@ -29,9 +29,11 @@ def fact_order_item(order_events: DataFrame, items: DataFrame, payments: DataFra
 
     Of repeated events the first counts, of repeated items the one least by its other columns. Orders without items have
     no rows; orders without payments have a null total (per order: never sum it over items).
+
+    Events and items are dealt by order once; what is first of a key, the joins and aggregates by order that follow all hold there.
     """
-    events = first_per_key(order_events, ["order_id", "event_type"], "event_time", "event_id")
-    unique = first_per_key(items, ["order_id", "order_item_id"], "shipping_limit_date", "product_id", "seller_id", "price", "freight_value")
+    events = first_per_key(order_events.repartition("order_id"), ["order_id", "event_type"], "event_time", "event_id")
+    unique = first_per_key(items.repartition("order_id"), ["order_id", "order_item_id"], "shipping_limit_date", "product_id", "seller_id", "price", "freight_value")
     joined = events.join(unique, "order_id").join(payments_total(payments), "order_id", "left")
     return joined.select(
         *ITEM_KEY[:2], "customer_id", "product_id", "seller_id", "event_type", "event_time", "order_status", "shipping_limit_date",

@@ -1,20 +1,31 @@
-"""Marts of the gold layer. Rows are unordered: sort on read."""
+"""Marts of the gold layer. Rows are unordered unless ``ordered`` asks for the order they are read in."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import mean, month_of, ratio, total
+from tidemark.functions.scalars import amount, mean, month_of, ratio
 
+AMOUNTS = {"total_sales_amount": "item_total_amount", "total_product_sales_amount": "item_price", "total_freight_amount": "item_freight_value"}
 
-def _amounts() -> list[Column]:
-    names = {"total_sales_amount": "item_total_amount", "total_product_sales_amount": "item_price", "total_freight_amount": "item_freight_value"}
-    return [total(c).alias(name) for name, c in names.items()]
 
+def _sales(rows: DataFrame, *keys: str) -> DataFrame:
+    """Amounts, item_count, order_count, customer_count and the count of prices, by ``keys``.
+
+    Items are first added up by order, where the fact already lies by order, so that only a row for each order is counted
+    distinctly and shuffled by the keys. Partial sums are exact decimals.
+    """
+    orders = rows.groupBy(*keys, "order_id", "customer_id").agg(*[F.sum(amount(c)).alias(name) for name, c in AMOUNTS.items()], F.count("*").alias("item_count"), F.count("item_price").alias("price_count"))
+    exact = {f"exact_{name}": F.sum(name) for name in AMOUNTS}
+    return orders.groupBy(*keys).agg(
+        *[F.round(e, 2).cast("double").alias(name) for name, e in zip(AMOUNTS, exact.values(), strict=True)], *[e.alias(name) for name, e in exact.items()],
+        F.count_distinct("order_id").alias("order_count"), F.sum("item_count").alias("item_count"), F.count_distinct("customer_id").alias("customer_count"), F.sum("price_count").alias("price_count"),
+    )
 
-def _distinct(c: str) -> Column:
-    return F.count_distinct(c)
+
+def _in_order(rows: DataFrame, ordered: bool, *order: Column) -> DataFrame:
+    return rows.orderBy(*order) if ordered else rows
 
 
 def net_of_cancellations(fact: DataFrame) -> DataFrame:
@@ -22,35 +33,46 @@ def net_of_cancellations(fact: DataFrame) -> DataFrame:
     return fact.where((F.col("event_type") == "ORDER_CREATED") & ~F.col("order_status").eqNullSafe("canceled"))
 
 
-def daily_sales(fact: DataFrame) -> DataFrame:
-    """By day of the event. All event types of an item count, as the source's mart has it; see
+def daily_sales(fact: DataFrame, ordered: bool = False) -> DataFrame:
+    """By day of the event, in order of days. All event types of an item count, as the source's mart has it; see
     :func:`net_of_cancellations` for the corrected input."""
-    made = fact.groupBy("order_event_date").agg(*_amounts(), _distinct("order_id").alias("order_count"), F.count("*").alias("item_count"), _distinct("customer_id").alias("customer_count"))
-    return made.withColumns({"avg_order_amount": ratio(F.col("total_sales_amount"), F.col("order_count"), 2), "order_month": month_of("order_event_date")})
+    made = _sales(fact, "order_event_date").select(
+        "order_event_date", *AMOUNTS, "order_count", "item_count", "customer_count",
+        ratio(F.col("total_sales_amount"), F.col("order_count"), 2).alias("avg_order_amount"), month_of("order_event_date").alias("order_month"),
+    )
+    return _in_order(made, ordered, F.col("order_event_date"))
 
 
-def category_sales(fact: DataFrame, dim_product: DataFrame) -> DataFrame:
-    """By category in English; items of products that the dimension lacks have a null category, apart from unknown."""
+def category_sales(fact: DataFrame, dim_product: DataFrame, ordered: bool = False) -> DataFrame:
+    """By category in English, the largest sales first; items of products that the dimension lacks have a null category,
+    apart from unknown."""
     rows = fact.join(dim_product.select("product_id", "product_category_name_english"), "product_id", "left")
-    return rows.groupBy("product_category_name_english").agg(*_amounts(), _distinct("order_id").alias("order_count"), F.count("*").alias("item_count"), mean("item_price").alias("avg_item_price"))
+    made = _sales(rows, "product_category_name_english").select(
+        "product_category_name_english", *AMOUNTS, "order_count", "item_count", ratio(F.col("exact_total_product_sales_amount"), F.col("price_count"), 2).alias("avg_item_price")
+    )
+    return _in_order(made, ordered, F.desc("total_sales_amount"), F.col("product_category_name_english"))
 
 
-def customer_segment_sales(fact: DataFrame, dim_customer: DataFrame) -> DataFrame:
+def customer_segment_sales(fact: DataFrame, dim_customer: DataFrame, ordered: bool = False) -> DataFrame:
+    """By age group, sex and occupation, the largest sales first."""
     keys = ["age_group", "sex", "occupation"]
     rows = fact.join(dim_customer.select("customer_id", *keys), "customer_id", "left")
-    made = rows.groupBy(*keys).agg(*_amounts(), _distinct("order_id").alias("order_count"), _distinct("customer_id").alias("customer_count"), F.count("*").alias("item_count"))
-    return made.withColumn("avg_customer_amount", ratio(F.col("total_sales_amount"), F.col("customer_count"), 2))
+    made = _sales(rows, *keys).select(*keys, *AMOUNTS, "order_count", "customer_count", "item_count", ratio(F.col("total_sales_amount"), F.col("customer_count"), 2).alias("avg_customer_amount"))
+    return _in_order(made, ordered, F.desc("total_sales_amount"), *map(F.col, keys))
 
 
-def delivery_kpi(fact: DataFrame) -> DataFrame:
+def delivery_kpi(fact: DataFrame, ordered: bool = False) -> DataFrame:
+    """By day of the delivery event, in order of days."""
     made = fact.groupBy("delivery_event_date").agg(
         F.count("*").alias("delivery_event_count"), F.count_if(F.col("event_type") == "DELIVERY_COMPLETED").alias("completed_delivery_count"),
         F.count_if("is_delayed").alias("delayed_delivery_count"), mean("shipping_days").alias("avg_days_to_carrier"), mean("delivery_days").alias("avg_total_delivery_days"),
     )
-    return made.withColumns({"delay_rate": ratio(F.col("delayed_delivery_count"), F.col("delivery_event_count"), 4), "delivery_month": month_of("delivery_event_date")})
+    made = made.withColumns({"delay_rate": ratio(F.col("delayed_delivery_count"), F.col("delivery_event_count"), 4), "delivery_month": month_of("delivery_event_date")})
+    return _in_order(made, ordered, F.col("delivery_event_date"))
 
 
-def review_kpi(fact: DataFrame) -> DataFrame:
+def review_kpi(fact: DataFrame, ordered: bool = False) -> DataFrame:
+    """By day of the review event, in order of days."""
     scores = [F.count_if(F.col("review_score") == s).alias(f"score_{s}_count") for s in range(1, 6)]
     made = fact.groupBy("review_event_date").agg(F.count("*").alias("review_count"), mean("review_score").alias("avg_review_score"), *scores, mean("review_answer_days").alias("avg_review_answer_days"))
-    return made.withColumn("review_month", month_of("review_event_date"))
+    return _in_order(made.withColumn("review_month", month_of("review_event_date")), ordered, F.col("review_event_date"))

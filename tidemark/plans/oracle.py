@@ -24,6 +24,9 @@ _AMOUNTS = f"""{_sum('item_total_amount')} AS total_sales_amount, {_sum('item_pr
 _DAILY = f"""SELECT *, {_r('(total_sales_amount / nullif(order_count, 0))', 2)} AS avg_order_amount, strftime(order_event_date, '%Y-%m') AS order_month FROM (
     SELECT order_event_date, {_AMOUNTS}, count(DISTINCT order_id) AS order_count, count(*) AS item_count, count(DISTINCT customer_id) AS customer_count FROM {{}} GROUP BY 1)"""
 _RATIOS = ", ".join(f"('{k}', {r}::DOUBLE)" for k, r in AGE_RATIOS.items())
+_CATEGORY = f"SELECT product_category_name_english, {_AMOUNTS}, count(DISTINCT order_id) AS order_count, count(*) AS item_count, {_mean('item_price')} AS avg_item_price FROM q_fact_item f LEFT JOIN q_dim_product d ON f.product_id = d.product_id GROUP BY 1"
+_SEGMENT = f"""SELECT *, {_r('(total_sales_amount / nullif(customer_count, 0))', 2)} AS avg_customer_amount FROM (SELECT age_group, sex, occupation, {_AMOUNTS}, count(DISTINCT order_id) AS order_count,
+        count(DISTINCT f.customer_id) AS customer_count, count(*) AS item_count FROM q_fact_item f LEFT JOIN q_dim_customer d ON f.customer_id = d.customer_id GROUP BY 1, 2, 3)"""
 
 CTES = {
     "b_orders": """SELECT o_orderkey::VARCHAR AS order_id, o_custkey::VARCHAR AS customer_id,
@@ -108,9 +111,11 @@ SELECTS = {
     "incr_review": f"SELECT * FROM q_fact_review WHERE review_month >= '{LOADED_BEFORE}'",
     "mart_daily_sales": _DAILY.format("q_fact_item"),
     "mart_daily_sales_net": _DAILY.format("(SELECT * FROM q_fact_item WHERE event_type = 'ORDER_CREATED' AND order_status IS DISTINCT FROM 'canceled')"),
-    "mart_category_sales": f"SELECT product_category_name_english, {_AMOUNTS}, count(DISTINCT order_id) AS order_count, count(*) AS item_count, {_mean('item_price')} AS avg_item_price FROM q_fact_item f LEFT JOIN q_dim_product d ON f.product_id = d.product_id GROUP BY 1",
-    "mart_customer_segment_sales": f"""SELECT *, {_r('(total_sales_amount / nullif(customer_count, 0))', 2)} AS avg_customer_amount FROM (SELECT age_group, sex, occupation, {_AMOUNTS}, count(DISTINCT order_id) AS order_count,
-        count(DISTINCT f.customer_id) AS customer_count, count(*) AS item_count FROM q_fact_item f LEFT JOIN q_dim_customer d ON f.customer_id = d.customer_id GROUP BY 1, 2, 3)""",
+    "mart_category_sales": _CATEGORY,
+    "mart_customer_segment_sales": _SEGMENT,
+    "mart_daily_sales_ordered": f"SELECT *, row_number() OVER (ORDER BY order_event_date) AS position FROM ({_DAILY.format('q_fact_item')})",
+    "mart_category_sales_ordered": f"SELECT *, row_number() OVER (ORDER BY total_sales_amount DESC, product_category_name_english NULLS FIRST) AS position FROM ({_CATEGORY})",
+    "mart_segment_sales_ordered": f"SELECT *, row_number() OVER (ORDER BY total_sales_amount DESC, age_group NULLS FIRST, sex NULLS FIRST, occupation NULLS FIRST) AS position FROM ({_SEGMENT})",
     "mart_delivery_kpi": f"""SELECT *, {_r('(delayed_delivery_count / delivery_event_count)', 4)} AS delay_rate, strftime(delivery_event_date, '%Y-%m') AS delivery_month FROM (SELECT delivery_event_date, count(*) AS delivery_event_count,
         count(*) FILTER (event_type = 'DELIVERY_COMPLETED') AS completed_delivery_count, count(*) FILTER (is_delayed) AS delayed_delivery_count, {_mean('shipping_days')} AS avg_days_to_carrier, {_mean('delivery_days')} AS avg_total_delivery_days FROM q_fact_delivery GROUP BY 1)""",
     "mart_review_kpi": f"""SELECT review_event_date, count(*) AS review_count, {_mean('review_score')} AS avg_review_score, {', '.join(f'count(*) FILTER (review_score = {s}) AS score_{s}_count' for s in range(1, 6))},
@@ -121,6 +126,13 @@ SELECTS = {
     "stream_totals": "SELECT event_type, count(*) AS total_count FROM events GROUP BY 1",
     "latest_window": "SELECT event_type, window_start, window_end, event_count FROM q_minutes QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY window_start DESC) = 1",
     "series_retention": "SELECT * FROM q_minutes WHERE window_start >= (SELECT max(window_start) - INTERVAL '24 hours' FROM q_minutes)",
+    "metric_keys": f"""SELECT concat('metrics:timeseries:', event_type, ':', strftime(window_start, {_TEXT})) AS key, event_count FROM q_minutes
+        UNION ALL SELECT concat('metrics:latest:', event_type), event_count FROM q_minutes QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY window_start DESC) = 1
+        UNION ALL SELECT concat('metrics:total:', event_type), sum(event_count)::BIGINT FROM q_minutes GROUP BY event_type""",
+    "orders_head": "SELECT * FROM b_orders ORDER BY order_purchase_timestamp, order_id LIMIT 100",
+    "orders_from_csv": "SELECT * FROM b_orders",
+    "events_from_jsonl": "SELECT * FROM q_order_events",
+    "persona_normalized": "SELECT persona_id, sex, age, age_group, customer_name, persona FROM b_personas",
     "persona_age_group": "SELECT persona_id, age, age_group FROM b_personas",
     "persona_name": "SELECT persona_id, customer_name FROM b_personas",
     "persona_by_sex": "SELECT sex, count(*) AS persona_count FROM b_personas GROUP BY 1",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import dims, events, facts, incremental, indexing, marts, quality, sampling
 from tidemark.session import scratch
 from tidemark.sources import bindings as b
+from tidemark.sources import readers, sinks
 from tidemark.streaming import jobs
 
 #: What the incremental queries take as loaded already: facts of months before this one.
@@ -170,7 +171,7 @@ def stream_dedup(s: SparkSession, d: str) -> DataFrame:
 def stream_totals(s: SparkSession, d: str) -> DataFrame:
     root = scratch(s, "totals")
     jobs.run(s, lambda: [jobs.write_totals(_event_stream(s, d), f"{root}/totals", f"{root}/checkpoint", availableNow=True)])
-    return s.read.parquet(f"{root}/totals")
+    return jobs.read_totals(s, f"{root}/totals")
 
 
 def latest_window(s: SparkSession, d: str) -> DataFrame:
@@ -215,6 +216,49 @@ def silver_profile(s: SparkSession, d: str) -> DataFrame:
     return events.timeline(*[quality.profile(name, f(s, d), keys) for name, (f, keys) in tables.items()])
 
 
+def mart_daily_sales_ordered(s: SparkSession, d: str) -> DataFrame:
+    """The mart in its reading order, with the place of each row."""
+    return indexing.with_row_index(mart_daily_sales(s, d), "order_event_date", name="position")
+
+
+def mart_category_sales_ordered(s: SparkSession, d: str) -> DataFrame:
+    return indexing.with_row_index(mart_category_sales(s, d), F.desc("total_sales_amount"), "product_category_name_english", name="position")
+
+
+def mart_segment_sales_ordered(s: SparkSession, d: str) -> DataFrame:
+    return indexing.with_row_index(mart_customer_segment_sales(s, d), F.desc("total_sales_amount"), "age_group", "sex", "occupation", name="position")
+
+
+def metric_keys(s: SparkSession, d: str) -> DataFrame:
+    return jobs.metric_keys(_metrics(s, d))
+
+
+def orders_head(s: SparkSession, d: str) -> DataFrame:
+    """The first hundred orders: a limit is what the operator is for."""
+    return quality.sample(b.orders(s, d).orderBy("order_purchase_timestamp", "order_id"), 100)
+
+
+def orders_from_csv(s: SparkSession, d: str) -> DataFrame:
+    """The orders by way of CSV text, whose timestamps are read leniently."""
+    path, rows = scratch(s, "orders-csv"), b.orders(s, d)
+    times = [f.name for f in rows.schema if f.dataType.typeName() == "timestamp_ntz"]
+    rows.select(*[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if c in times else F.col(c) for c in rows.columns]).write.option("header", True).csv(path)
+    return readers.coerce_timestamps(readers.read_csv(s, path, ", ".join(f"{c} string" for c in rows.columns)), *times)
+
+
+def events_from_jsonl(s: SparkSession, d: str) -> DataFrame:
+    """The order events by way of JSON lines."""
+    path = scratch(s, "events-jsonl")
+    sinks.write_jsonl(order_events(s, d), path)
+    return readers.read_event_jsonl(s, path, events.ORDER_SCHEMA)
+
+
+def persona_normalized(s: SparkSession, d: str) -> DataFrame:
+    """Personas as they are published, with other column names and the age as text."""
+    rows = b.personas(s, d).select("persona_id", F.col("sex").alias("gender"), F.col("age").cast("string").alias("age"), F.col("persona").alias("professional_persona"))
+    return sampling.normalize_persona(rows, "professional_persona").select("persona_id", "sex", "age", "age_group", "customer_name", "persona")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -223,5 +267,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         incr_delivery, incr_review, mart_daily_sales, mart_daily_sales_net, mart_category_sales, mart_customer_segment_sales,
         mart_delivery_kpi, mart_review_kpi, minute_counts, stream_minute_counts, stream_dedup, stream_totals, latest_window,
         series_retention, persona_age_group, persona_name, persona_by_sex, persona_age_share, persona_quota_sample, persona_shuffle, silver_profile,
+        mart_daily_sales_ordered, mart_category_sales_ordered, mart_segment_sales_ordered, metric_keys, orders_head, orders_from_csv, events_from_jsonl, persona_normalized,
     )
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def overwrite(df: DataFrame, path: str, partition_by: str | None = None) -> None:
@@ -26,3 +26,11 @@ def jdbc_overwrite(df: DataFrame, url: str, table: str, properties: Mapping[str,
 def write_jsonl(df: DataFrame, path: str, *order: str) -> None:
     """JSON lines in the given order; nulls are left out, text is kept as it is."""
     (df.orderBy(*order) if order else df).write.mode("overwrite").json(path)
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete files or folders of any file system that the session can reach; missing ones are passed over."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
