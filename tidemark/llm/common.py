@@ -1,4 +1,4 @@
-"""What the operators share: the input tables, the shared work folder, pinned intermediate tables and small joins."""
+"""What the operators share: the input tables, the shared work folder, pinned intermediate tables and names of helpers."""
 
 from __future__ import annotations
 
@@ -10,10 +10,6 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Tables of at most this many rows are broadcast; larger ones go through a shuffle join.
-SMALL_ROWS = 100_000
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,10 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def workdir(spark: SparkSession, name: str) -> str:
     """A new folder for one run below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is absent (a local session, as in tests) a temporary folder is used and set.
+    Only where that setting is absent in a local session, as in tests, a temporary folder is used and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -33,7 +31,7 @@ def workdir(spark: SparkSession, name: str) -> str:
 def pin(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there and survives lost executors."""
     path = workdir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -46,12 +44,19 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def join_small(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", limit: int = SMALL_ROWS) -> DataFrame:
-    """Join a table that is expected to be small. It is broadcast only if a count shows at most ``limit`` rows."""
-    if small.limit(limit + 1).count() <= limit:
-        small = F.broadcast(small)
-    return big.join(small, on, how)
+def free_name(df: DataFrame, stem: str, *taken: str) -> str:
+    """A name for a helper column that neither a column of ``df`` nor ``taken`` has; names differ by more than case."""
+    names = {c.lower() for c in (*df.columns, *taken)}
+    name = f"_{stem}"
+    while name.lower() in names:
+        name += "_"
+    return name
 
 
 def text_or_empty(c: str | Column = "text") -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns that can be hashed, to choose one of several rows alike at every run."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()])
