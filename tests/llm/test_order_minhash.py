@@ -72,15 +72,18 @@ def test_sensitive_to_order_and_repeats(spark):
     assert 0 < near["base", "twice"] < 0.7
 
 
-def sketch_of(words, hash_kmer, hash_element):
-    """The definition, one step at a time: bins of the least elements, in text order."""
-    seen, bins = {}, {}
+def tuples_of(words, hash_kmer, hash_element):
+    """The definition, one step at a time: the least elements from each starting point on, in text order."""
+    seen, elements = {}, []
     kmers = [tuple(words[i : i + om.K]) for i in range(max(1, len(words) - om.K + 1))] if words else []
     for at, kmer in enumerate(kmers):
         n = seen[kmer] = seen.get(kmer, -1) + 1
-        value = hash_element(hash_kmer(kmer), n)
-        bins.setdefault(value >> (36 - 5), []).append((value, at))
-    return {b: [v for v, _ in sorted(sorted(found)[: om.L], key=lambda x: x[1])] for b, found in bins.items()}
+        elements.append((hash_element(hash_kmer(kmer), n), at))
+    out = []
+    for start in range(om.TUPLES):
+        turned = sorted(elements, key=lambda x: ((x[0] - start * (1 << 36) // om.TUPLES) % (1 << 36), x[1]))
+        out.append([v for v, _ in sorted(turned[: om.L], key=lambda x: x[1])])
+    return out
 
 
 def test_against_the_definition(spark):
@@ -101,10 +104,37 @@ def test_against_the_definition(spark):
     for i, t in enumerate(texts):
         # an occurrence number is hashed as a 4-byte int after the 8-byte k-mer hash
         element = lambda h, n: xxhash.xxh64_intdigest(n.to_bytes(4, "little"), xxhash.xxh64_intdigest(h.to_bytes(8, "little"), 42)) >> 28
-        bins = sketch_of(t.split(), kmer_hash, element)
-        assert {b for b, v in enumerate(got[i]) if v is not None} == set(bins)
-        for b, values in bins.items():
+        assert len(got[i]) == om.TUPLES
+        for b, values in enumerate(tuples_of(t.split(), kmer_hash, element)):
             h = 0
             for v in values:
                 h = signed(xxhash.xxh64_intdigest(v.to_bytes(8, "little"), xxhash.xxh64_intdigest(h.to_bytes(8, "little", signed=True), 42)))
-            assert got[i][b] == h
+            assert got[i][b] == (h if values else None)
+
+
+def test_moved_halves_of_a_short_text(spark):
+    near = []
+    for seed in range(40):
+        words = [f"w{seed}x{i}" for i in range(20)]
+        near.append((" ".join(words), " ".join(words[10:] + words[:10]), " ".join(sorted(words, key=lambda w: w[::-1]))))
+    df = spark.createDataFrame(near, "a string, b string, c string")
+    for c in "abc":
+        df = om.with_fingerprint(df, c, f"s{c}")
+    got = df.select(om.likeness("sa", "sb", F.lit(False)).alias("moved"), om.likeness("sa", "sc", F.lit(False)).alias("mixed"), om.likeness("sa", "sa", F.lit(True)).alias("same")).collect()
+    mean = lambda c: sum(r[c] for r in got) / len(got)
+    assert mean("same") == 1 and 0.2 < mean("moved") < 0.65 and mean("mixed") < 0.2  # about half of the pairs keep their order
+
+
+def test_hot_ids_fill_several_ranges(spark):
+    rows = [(None, f"no id {i}") for i in range(400)] + [(7, f"seven {i}") for i in range(400)] + [(100 + i, f"own {i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = om.with_next(docs, 24)
+    sizes = [r["count"] for r in placed.where("not _visitor").groupBy("_range").count().collect()]
+    assert sum(sizes) == 1200 and len(sizes) > 18 and max(sizes) < 120
+    got = [(r["text"], r["_next"]) for r in placed.where("not _visitor").collect()]
+    assert {t for t, _ in got} == {n for _, n in got} == {t for _, t in rows}  # one ring through all rows
+    after, at, seen = dict(got), rows[0][1], set()
+    while at not in seen:
+        seen.add(at)
+        at = after[at]
+    assert len(seen) == 1200

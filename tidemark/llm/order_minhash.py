@@ -2,21 +2,28 @@
 
 A text is a sequence of words (runs of letters or digits, single ideographs, single other signs). Its k-mers are ``K``
 words in a row; the n-th repeat of a k-mer in a text is an element of its own (occurrence numbering). Every element gets
-one hash, whose leading part assigns it to one of ``BINS`` bins and whose rest orders the bin. Of each bin the ``L`` least
-elements are kept, put back into text order, and their tuple is hashed: the value of the bin. Two texts agree in a bin only
-if they share the bin's least elements *and* have them in the same order, so likeness falls with edits and with moved
-passages, where a plain MinHash does not see the latter.
+one hash. ``TUPLES`` starting points lie evenly on the ring of hashes: from each, the ``L`` elements that come next are the
+minimal ones under the hash turned to begin there. They are put back into text order and their tuple is hashed. Two texts
+agree in a tuple only if they share its elements *and* have them in the same order, so likeness falls with edits and with
+moved passages, where a plain MinHash does not see the latter. Every tuple has L elements, however short the text: where
+few elements lie between two starting points, neighbouring tuples share some.
 
-Likeness is the share of equal bins among those that either text fills; two texts without words are alike if equal.
+Likeness is the share of equal tuples; of two texts without words it is 1 if they are equal and else 0.
 
 Cost: a text of n words is handled in its own row by two sorts of long arrays (one that numbers occurrences, one that
 selects) and passes linear in n. Values are packed into longs (hash above, position below) so that sorting stays on
 primitive arrays. Positions wrap beyond 2^27 words, hashes keep 36 bits: an equal pair within one text then shares a
 numbering, which changes neither determinism nor equality.
+
+A null text is an empty one, and an empty one has no tuples. Rows that repeat an id follow each other by a hash of their text;
+rows without an id come last. Repeated rows are alike but for the last one's next text. An empty table gives no rows. Only the
+id and the text are read, whatever other columns are called; :func:`with_fingerprint` replaces a column named as its result.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +31,10 @@ from tidemark.llm import common
 
 K = 3
 L = 2
-BINS = 32
+TUPLES = 32
 WORD = r"[\p{L}\p{M}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]+|[^\s]"
 _POS = 27
-_BIN = 58  # of the 63 bits of a packed value, the upper five are the bin (BINS = 2^5)
+_ARC = 58  # of the 63 bits of a packed value, the upper five say after which starting point it lies (TUPLES = 2^5)
 
 
 def _hashes(text: Column) -> Column:
@@ -35,12 +42,13 @@ def _hashes(text: Column) -> Column:
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str = "sketch") -> DataFrame:
-    """Adds ``out``: an array of BINS longs, null where a bin is empty. Null texts count as empty.
+    """Adds ``out``: an array of TUPLES longs, all null for a text without words. Null texts count as empty.
 
     Each step is a column of its own that the next uses more than once: the optimizer keeps them apart, so that a lambda
     reads a finished array instead of computing it again for each element.
     """
-    w, p, s, st, r, rs, e, b, bn, t = (f"_{out}_{x}" for x in ("words", "packed", "sorted", "firsts", "repeats", "runs", "elements", "least", "bins", "tuples"))
+    names = ("words", "packed", "sorted", "firsts", "repeats", "runs", "elements", "least", "arcs")
+    w, p, s, st, r, rs, e, b, arcs = (common.free_name(df, f"{out}_{x}", text, out) for x in names)
     mask = (1 << _POS) - 1
     element = lambda n: f"(shiftrightunsigned(xxhash64(x >> {_POS}, {n}), 28) << {_POS}) | (x & {mask}L)"
     return (
@@ -57,49 +65,52 @@ def with_fingerprint(df: DataFrame, text: str, out: str = "sketch") -> DataFrame
         .withColumn(e, F.expr(f"""concat(transform({st}, x -> {element('0')}),
             flatten(transform({rs}, (a, j) -> transform(slice({r}, a + 1, coalesce(get({rs}, j + 1), size({r})) - a), (x, n) -> {element('n + 1')}))))"""))
         .withColumn(e, F.expr(f"if(size({e}) > 0, sort_array({e}), {e})"))
-        # the L least of each bin: those whose L-th predecessor is of another bin
-        .withColumn(b, F.expr(f"filter({e}, (x, i) -> i < {L} or (x >> {_BIN}) <> (get({e}, i - {L}) >> {_BIN}))"))
-        # at the last element of each bin: the hash of the bin's elements in text order
-        .withColumn(bn, F.expr(f"transform(filter({b}, (x, i) -> coalesce(get({b}, i + 1) >> {_BIN}, -1L) <> x >> {_BIN}), x -> x >> {_BIN})"))
-        .withColumn(t, F.expr(f"""filter(transform({b}, (x, i) -> if(coalesce(get({b}, i + 1) >> {_BIN}, -1L) = x >> {_BIN}, cast(null as bigint),
-            aggregate(sort_array(transform(filter(slice({b}, greatest(i - {L - 2}, 1), least({L}, i + 1)), y -> y >> {_BIN} = x >> {_BIN}), y -> ((y & {mask}L) << 36) | (shiftright(y, {_POS}) & 68719476735L))),
-                0L, (h, y) -> xxhash64(h, y & 68719476735L)))), x -> x is not null)"""))
-        .withColumn(out, F.expr(f"if(size({bn}) = size({t}), transform(sequence(0L, {BINS - 1}L), n -> get({t}, cast(array_position({bn}, n) as int) - 1)), null)"))
-        .drop(w, p, s, st, r, rs, e, b, bn, t)
+        # no tuple reaches beyond the L least elements after each starting point: those whose L-th predecessor lies before it
+        .withColumn(b, F.expr(f"filter({e}, (x, i) -> i < {L} or (x >> {_ARC}) <> (get({e}, i - {L}) >> {_ARC}))"))
+        .withColumn(arcs, F.expr(f"transform({b}, x -> x >> {_ARC})"))
+        .withColumn(b, F.expr(f"concat({b}, slice({b}, 1, {L}))"))  # the ring is closed
+        .withColumn(out, F.expr(f"""transform(sequence(0L, {TUPLES - 1}L), n -> if(size({arcs}) = 0, cast(null as bigint),
+            aggregate(sort_array(transform(slice({b}, size(filter({arcs}, a -> a < n)) + 1, least({L}, size({arcs}))), y -> ((y & {mask}L) << 36) | (shiftright(y, {_POS}) & 68719476735L))),
+                0L, (h, y) -> xxhash64(h, y & 68719476735L))))"""))
+        .drop(w, p, s, st, r, rs, e, b, arcs)
     )
 
 
 def likeness(a: str, b: str, same_text: Column) -> Column:
-    """Share of equal bins among those filled in either; without any, 1 if the texts are equal and 0 if not."""
-    filled = sum((F.get(a, F.lit(i)).isNotNull() | F.get(b, F.lit(i)).isNotNull()).cast("int") for i in range(BINS))
-    equal = sum(F.coalesce((F.get(a, F.lit(i)) == F.get(b, F.lit(i))).cast("int"), F.lit(0)) for i in range(BINS))
-    return F.when(filled == 0, same_text.cast("double")).otherwise(equal / filled)
+    """Share of equal tuples; without any in either, 1 if the texts are equal and 0 if not."""
+    empty = F.get(a, F.lit(0)).isNull() & F.get(b, F.lit(0)).isNull()
+    equal = sum(F.coalesce((F.get(a, F.lit(i)) == F.get(b, F.lit(i))).cast("int"), F.lit(0)) for i in range(TUPLES))
+    return F.when(empty, same_text.cast("double")).otherwise(equal / TUPLES)
 
 
 def with_next(docs: DataFrame, ranges: int) -> DataFrame:
     """Adds ``_next`` (a struct of the text that follows in descending id order, the first one for the last) and the
     columns ``_range, _visitor, _key, _tie`` that place a row.
 
-    Rows go to ranges of ids whose bounds are quantiles of the ids; each range also gets a copy (a visitor) of the first
-    row of the one below, so that a window within the ranges sees every neighbour and a text is shuffled once. Repeated
-    ids are ordered by a hash of their text; null ids come last. Visitors are still among the rows returned.
+    Rows go to ranges of ids whose bounds are quantiles of the ids; an id (or its absence) that fills several ranges is
+    divided among them by a hash of the text, which also orders rows of equal id. Each range also gets a copy (a visitor) of
+    the first row of the one below, so that a window within the ranges sees every neighbour and a text is shuffled once.
+    Visitors are still among the rows returned.
     """
     docs = docs.select(
         "doc_id", common.text_or_empty("text").alias("text"), F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("_key")
     ).withColumn("_tie", F.xxhash64("text"))
-    ids = docs.select("_key")
+    places = docs.select("_key", "_tie")
     probabilities = [i / ranges for i in range(1, ranges)]
-    cuts = ids.select(F.col("_key").cast("double").alias("q")).approxQuantile("q", probabilities, 0.25 / ranges) if probabilities else []
-    cuts = sorted({max(-(1 << 63), min((1 << 63) - 1, int(c))) for c in cuts}, reverse=True)
-    place = _place(cuts)
-    # the greatest id of each range: as many rows as ranges
-    tops = {r["r"]: r["top"] for r in ids.groupBy(place.alias("r")).agg(F.max("_key").alias("top")).collect()}
+    found = docs.select(F.col("_key").cast("double").alias("q")).approxQuantile("q", probabilities, 0.25 / ranges) if probabilities else []
+    place = _place(_cuts(found))
+    # the first row of each range: as many rows as ranges
+    first = F.max(F.struct("_key", F.bitwise_not("_tie").alias("tie")))
+    tops = {r["r"]: (r["top"][0], ~r["top"][1]) for r in places.groupBy(place.alias("r")).agg(first.alias("top")).collect()}
     full = sorted(tops)
-    above = {tops[r]: full[i - 1] for i, r in enumerate(full)}  # the first range's top visits the last range
-    visits = F.element_at(F.create_map(*[F.lit(x) for kv in above.items() for x in kv]), F.col("_key")) if above else F.lit(None).cast("int")
-    here = F.struct(place.alias("_range"), F.lit(False).alias("_visitor"))
-    there = F.when(visits.isNotNull(), F.struct(visits.alias("_range"), F.lit(True).alias("_visitor")))
-    rows = docs.select("*", F.explode(F.array_compact(F.array(here, there))).alias("_at")).select("doc_id", "text", "_key", "_tie", "_at.*")
+    above = {r: full[i - 1] for i, r in enumerate(full)}  # the first range's top visits the last range
+    at = lambda value: F.get(F.array(*[value(r) for r in range(full[-1] + 1)]), F.col("_range")) if full else F.lit(None)
+    top = at(lambda r: F.struct(*[F.lit(x).cast("long") for x in tops.get(r, (0, 0))], F.lit(above.get(r, 0)).cast("int").alias("above")))
+    here = F.struct(F.col("_range"), F.lit(False).alias("_visitor"))
+    is_top = (F.col("_top.col1") == F.col("_key")) & (F.col("_top.col2") == F.col("_tie"))
+    there = F.when(is_top, F.struct(F.col("_top.above").alias("_range"), F.lit(True).alias("_visitor"))) if full else F.lit(None).cast("struct<_range:int,_visitor:boolean>")
+    rows = docs.withColumn("_range", place).withColumn("_top", top)
+    rows = rows.select("doc_id", "text", "_key", "_tie", F.explode(F.array_compact(F.array(here, there))).alias("_at")).select("doc_id", "text", "_key", "_tie", "_at.*")
     return rows.withColumn("_next", F.lead("text").over(_order()))
 
 
@@ -107,17 +118,26 @@ def _order():
     return Window.partitionBy("_range").orderBy("_visitor", F.desc("_key"), "_tie")
 
 
-def _place(cuts: list[int]) -> Column:
-    """How many cuts lie above the id, by a coarse and then a fine look."""
+def _cuts(quantiles: list[float]) -> list[tuple[int, int]]:
+    """(id, text hash) after which a range ends, in the order of rows; an id that is several quantiles is cut by hash."""
+    low, high = -(1 << 63), (1 << 63) - 1
+    counts = Counter(max(low, min(high, int(q))) for q in quantiles)
+    return [(key, high if i == n else low + (2**64 * i) // (n + 1)) for key, n in sorted(counts.items(), reverse=True) for i in range(1, n + 1)]
+
+
+def _place(cuts: list[tuple[int, int]]) -> Column:
+    """How many cuts lie before the row, by a coarse and then a fine look."""
     step = max(1, int(len(cuts) ** 0.5))
-    coarse = F.array(*[F.lit(c).cast("long") for c in cuts[step - 1 :: step]])
-    passed = F.size(F.filter(coarse, lambda c: c > F.col("_key"))) * step
-    fine = F.slice(F.array(*[F.lit(c).cast("long") for c in cuts]), passed + 1, F.lit(step))
-    return (passed + F.size(F.filter(fine, lambda c: c > F.col("_key")))).cast("int")
+    array = lambda some: F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(t).cast("long").alias("t")) for k, t in some])
+    before = lambda c: (c["k"] > F.col("_key")) | ((c["k"] == F.col("_key")) & (c["t"] < F.col("_tie")))
+    if not cuts:
+        return F.lit(0)
+    passed = F.size(F.filter(array(cuts[step - 1 :: step]), before)) * step
+    return (passed + F.size(F.filter(F.slice(array(cuts), passed + 1, F.lit(step)), before))).cast("int")
 
 
 def as_text(sketch: str) -> Column:
-    """16 characters for each bin: its value in hexadecimal, or dashes."""
+    """16 characters for each tuple: its value in hexadecimal, or dashes."""
     return F.array_join(F.transform(sketch, lambda x: F.coalesce(F.lpad(F.lower(F.hex(x)), 16, "0"), F.lit("-" * 16))), "")
 
 
