@@ -74,6 +74,51 @@ def test_recall_of_queries_outside_the_sample(spark, monkeypatch):
     assert len(unseen) > 300 and hits / (len(unseen) * ann.K) >= 0.93
 
 
+def parts_visited(monkeypatch):
+    """What later searches use: (parts, probes) of each."""
+    seen, visit = [], ann.visit
+    monkeypatch.setattr(ann, "visit", lambda assigned, routers, is_query, probes, k: seen.append((len(routers.parts), probes)) or visit(assigned, routers, is_query, probes, k))
+    return seen
+
+
+def test_registered_query_at_a_tenth(spark, monkeypatch):
+    seen = parts_visited(monkeypatch)
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], np.float32)
+    got = results(ann.op3_ann(spark, "/root/testdata/sf0.1"))
+    assert seen[0][0] >= 4 and sorted(got) == [i for i in ids.tolist() if i % ann.QUERY_STEP == 0]
+    hits = 0
+    for q, found in got.items():
+        expected = truth(ids, x, int(np.flatnonzero(ids == q)[0]), ann.K)
+        hits += len({i for i, _ in found} & {i for i, _ in expected})
+    print("parts and probes", seen, "recall", hits / (len(got) * ann.K))
+    assert hits / (len(got) * ann.K) >= 0.9
+
+
+def test_parts_of_parts_on_clusters(spark, monkeypatch):
+    seen = parts_visited(monkeypatch)
+    monkeypatch.setattr(ann, "PART_ROWS", 100)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 16)
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((24, 16))
+    centres *= 6 / np.linalg.norm(centres, axis=1, keepdims=True)
+    x = (centres[rng.integers(0, 24, 6000)] + 0.5 * rng.standard_normal((6000, 16))).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], DDL)
+    got = results(ann.search(rows, F.col("vec_id") % 20 == 0, sample_rows=1000))
+    parts, probes = seen[0]
+    hits = sum(len({i for i, _ in found} & {i for i, _ in truth(np.arange(6000), x, q, ann.K)}) for q, found in got.items())
+    print("parts and probes", seen, "recall", hits / (300 * ann.K))
+    assert len(got) == 300 and hits / (300 * ann.K) >= 0.9
+    assert parts > 32 and probes <= parts / 2  # a sample of 1,000 supports 16 at once
+
+
+def test_surplus_rows_of_a_vector(spark):
+    rows = spark.createDataFrame([(i, [1.0, 2.0] if i % 3 else [float(i), 1.0], 0) for i in range(90)], DDL)
+    left = ann.without_surplus(ann.valid_vectors(rows), 5)
+    assert sorted(r["vec_id"] for r in left.collect()) == sorted([i for i in range(90) if i % 3 == 0] + [i for i in range(90) if i % 3][:6])
+
+
 def test_rows_that_take_no_part(spark):
     good = [(i, [float(i % 7), 1.0, -2.0], 0) for i in range(1, 9)]
     bad = [(20, None, 0), (40, [0.0, 0.0, 0.0], 0), (60, [1.0, None, 2.0], 0), (80, [float("nan"), 1.0, 1.0], 0), (100, [float("inf"), 1.0, 1.0], 0), (120, [1.0], 0), (None, [1.0, 1.0, 1.0], 0)]

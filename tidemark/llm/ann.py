@@ -4,16 +4,24 @@
    parts by recursive bisection: a smoothed vector of the graph is split at its median, then pairs of nodes that sit on the
    wrong sides are swapped.
 2. A small network learns, for each sampled vector, how its neighbours are spread over the parts.
-3. *Every* row is assigned to its most probable part. Parts are cut into blocks of bounded size by an id hash, so a part
-   (or one vector) that holds a third of all rows is spread over tasks.
-4. A query goes to its ``probes`` most probable parts; each meets the blocks of the part as tiles, scored in double
-   precision. A task passes on a query's k best over all its tiles; these are ranked by a window.
+3. *Every* row is assigned to its most probable part. There is a part for each ``PART_ROWS`` rows (four at least, from
+   ``LEAST_ROWS`` rows on); a sample supports a part for each ``PART_SAMPLE`` of its rows, so where the table asks for more,
+   each part is sampled, cut and learned in turn, by a task of its own. A row then goes down two networks.
+4. A query goes to its ``probes`` most probable parts, by the product of both networks' probabilities. It is scored in
+   double precision against the rows of each part, which are held in blocks of bounded size; a task passes on a query's k
+   best, and these are ranked by a window.
 
-``probes`` is the least number at which a bounded sample of queries that the network has not seen, searched by brute force
-over all rows, finds ``recall`` of its true neighbours: on vectors without structure it comes near the number of parts, on clustered ones it is small.
+``probes`` is the least number at which a bounded sample of queries that the networks have not seen, searched by brute force
+over all rows, finds ``recall`` of its true neighbours: on vectors without structure it comes near the number of parts, on
+clustered ones it is small.
+
+A row is shuffled once for its part and block, and again only where more than ``BLOCK_QUERIES`` queries visit the part; a
+query is shuffled once for each block of the parts it visits. Of equal vectors only the k + 1 with the smallest ids can be
+found, so where more rows than that share a vector the others are left out of the parts, whatever their number.
 
 Vectors take no part if they are null, zero, of another length than most, or hold null or non-finite components; nor do
-rows without an id. Ties go to the smaller id. Equal ids are one row's: a query never finds its own id.
+rows without an id. Ties go to the smaller id. A query never finds its own id; rows that repeat another id are found each.
+An empty table gives no rows. Columns other than the id and the vector are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,11 +40,14 @@ QUERY_STEP = 20
 SAMPLE_ROWS = 8192
 CALIBRATION_QUERIES = 128
 RECALL = 0.95
-#: Rows in a part, aimed at; the sample bounds the number of parts.
+#: Rows in a part, aimed at; sampled rows that a part needs; rows from which on there are several parts.
 PART_ROWS = 2048
+PART_SAMPLE = 64
+LEAST_ROWS = 200
+#: A part is cut in turn into fewer parts than this, which numbers them.
 MAX_PARTS = 256
 BLOCK_ROWS = 8192
-BLOCK_QUERIES = 2048
+BLOCK_QUERIES = 16384
 NEIGHBOURS = 12
 HIDDEN = 96
 
@@ -150,9 +161,9 @@ class Router:
 
 
 def fit_router(sample: np.ndarray, rows: int) -> Router | None:
-    """The router for a table of so many rows; None if one part will do."""
-    parts = 1
-    while parts < MAX_PARTS and parts * PART_ROWS < rows and parts * 64 < len(sample):
+    """The router for so many rows of which these are a sample; None if they are too few for parts."""
+    parts = 4 if rows >= LEAST_ROWS and len(sample) > NEIGHBOURS + 4 else 1
+    while 1 < parts < MAX_PARTS and parts * PART_ROWS < rows and parts * PART_SAMPLE < len(sample):
         parts *= 2
     if parts == 1:
         return None
@@ -164,31 +175,81 @@ def fit_router(sample: np.ndarray, rows: int) -> Router | None:
     return Router.train(sample, target / target.sum(1, keepdims=True))
 
 
+def _log_softmax(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(1, keepdims=True)
+    return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+
+class Routers:
+    """One router and, where parts are cut again, one for each of its parts: a few MB at most, whatever the table."""
+
+    def __init__(self, top: Router | None, below: dict[int, Router] | None = None):
+        self.top, self.below = top, below or {}
+        n = 1 if top is None else top.layers[3].size
+        self.parts = np.concatenate([p * MAX_PARTS + np.arange(self.below[p].layers[3].size if p in self.below else 1) for p in range(n)]).astype(np.int32)
+
+    def assign(self, x: np.ndarray) -> np.ndarray:
+        if self.top is None or not len(x):
+            return np.zeros(len(x), np.int32)
+        part = self.top.logits(x).argmax(1)
+        out = part.astype(np.int32) * MAX_PARTS
+        for p in np.unique(part).tolist():
+            if p in self.below:
+                rows = np.flatnonzero(part == p)
+                out[rows] += self.below[p].logits(x[rows]).argmax(1).astype(np.int32)
+        return out
+
+    def ranked(self, x: np.ndarray) -> np.ndarray:
+        """All parts, for each row from the most probable on."""
+        if self.top is None:
+            return np.zeros((len(x), 1), np.int32)
+        out = []
+        for a in range(0, len(x), 1024):
+            top = _log_softmax(self.top.logits(x[a : a + 1024]))
+            z = np.concatenate([top[:, p : p + 1] + (_log_softmax(self.below[p].logits(x[a : a + 1024])) if p in self.below else 0) for p in range(top.shape[1])], axis=1)
+            out.append(self.parts[np.argsort(-z, axis=1, kind="stable")])
+        return np.concatenate(out) if out else np.zeros((0, len(self.parts)), np.int32)
+
+
+def fit_below(rows: DataFrame, top: Router, n: int, sample_rows: int) -> Routers:
+    """Cuts each part of ``top`` again if the table has more rows than its parts should hold."""
+    first = Routers(top)
+    if len(first.parts) * PART_ROWS >= n:
+        return first
+    parts = assign(rows, first)
+    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
+    least = Window.partitionBy("part").orderBy(F.xxhash64("vec_id"), "vec_id")
+    sample = parts.withColumn("nth", F.row_number().over(least)).where(F.col("nth") <= sample_rows).join(sizes, "part")
+
+    def fit(group: pa.Table) -> pa.Table:
+        router = fit_router(_matrix(group.column("embedding")), group.column("n")[0].as_py())
+        layers = [] if router is None else [a.astype(np.float32).tobytes() for a in router.layers]
+        return pa.table({"part": group.column("part")[:1], "layers": pa.array([layers], pa.list_(pa.binary()))})
+
+    fitted = sample.groupBy("part").applyInArrow(fit, "part int, layers array<binary>").where(F.size("layers") > 0).collect()  # a row for each part of the first router
+    below = {}
+    for r in fitted:
+        w1, b1, w2, b2 = (np.frombuffer(x, np.float32) for x in r["layers"])
+        below[r["part"] // MAX_PARTS] = Router([w1.reshape(-1, len(b1)), b1, w2.reshape(len(b1), -1), b2])
+    return Routers(top, below)
+
+
 # -- index and search ------------------------------------------------------------------------------------------------
 
 
-def assign(rows: DataFrame, router: Router | None) -> DataFrame:
+def assign(rows: DataFrame, routers: Routers) -> DataFrame:
     """Adds ``part`` to every row."""
+    held = rows.sparkSession.sparkContext.broadcast(routers)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            part = np.zeros(b.num_rows, np.int32) if router is None or not b.num_rows else router.logits(_matrix(b.column(1))).argmax(1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(part)], ["vec_id", "embedding", "part"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(held.value.assign(_matrix(b.column(1))))], ["vec_id", "embedding", "part"])
 
     return rows.select("vec_id", "embedding").mapInArrow(work, "vec_id long, embedding array<double>, part int")
 
 
 def _best(queries: np.ndarray, q_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, id, score) of each query's k best; exact ties go to the smaller id."""
-    order = np.argsort(ids, kind="stable")
-    vectors, ids = np.ascontiguousarray(vectors[order]), ids[order]
-    # of equal vectors only the k + 1 with the smallest ids can be among the best k
-    _, same = np.unique(vectors.view([("", vectors.dtype)] * vectors.shape[1]).ravel(), return_inverse=True)
-    by = np.argsort(same, kind="stable")
-    first = np.concatenate([[0], np.flatnonzero(np.diff(same[by])) + 1])
-    nth = np.empty(len(ids), np.int64)
-    nth[by] = np.arange(len(ids)) - np.repeat(first, np.diff(np.append(first, len(ids))))
-    vectors, ids = vectors[nth <= k], ids[nth <= k]
     rows, found, scores = [], [], []
     for a in range(0, len(queries), 256):
         q = queries[a : a + 256]
@@ -265,21 +326,35 @@ def rank(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def choose_probes(assigned: DataFrame, router: Router | None, sample: tuple[np.ndarray, np.ndarray], k: int, recall: float) -> int:
+def choose_probes(assigned: DataFrame, routers: Routers, sample: tuple[np.ndarray, np.ndarray], k: int, recall: float) -> int:
     """How many parts a query must visit for the wanted recall, from brute force over all rows.
 
-    ``sample`` holds ids and vectors of queries that the router was not fitted on.
+    ``sample`` holds ids and vectors of queries that the routers were not fitted on.
     """
-    if router is None:
+    if len(routers.parts) == 1 or not len(sample[0]):
         return 1
     ids, vectors = sample
     truth = brute_force(assigned, ids, vectors, k).select("query_id", "part").toArrow()
     at = {int(q): i for i, q in enumerate(ids)}
-    place = np.argsort(np.argsort(-router.logits(vectors), axis=1, kind="stable"), axis=1)
-    needed = np.sort([place[at[q], p] for q, p in zip(truth.column(0).to_pylist(), truth.column(1).to_pylist(), strict=True)])
+    order = routers.ranked(vectors)
+    place = [{p: i for i, p in enumerate(row)} for row in order.tolist()]
+    needed = np.sort([place[at[q]][p] for q, p in zip(truth.column(0).to_pylist(), truth.column(1).to_pylist(), strict=True)])
     return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1 if len(needed) else 1
 
 
+def without_surplus(rows: DataFrame, k: int) -> DataFrame:
+    """The rows that can be found: of more than k + 1 rows with equal vectors, those with the k + 1 smallest ids."""
+    key = [F.xxhash64("embedding").alias("_h1"), F.xxhash64(F.lit(1), "embedding").alias("_h2")]
+    slim = rows.select("vec_id", *key)
+    often = common.pin(slim.groupBy("_h1", "_h2").count().where(F.col("count") > k + 1).select("_h1", "_h2"), "ann-often")
+    if often.isEmpty():
+        return rows
+    nth = F.row_number().over(Window.partitionBy("_h1", "_h2").orderBy("vec_id"))
+    ids = slim.join(often, ["_h1", "_h2"], "left_semi").groupBy("_h1", "_h2", "vec_id").count()
+    last = common.pin(ids.withColumn("nth", nth).where(F.col("nth") <= k + 1).groupBy("_h1", "_h2").agg(F.max("vec_id").alias("_last")), "ann-often")
+    return rows.withColumns({"_h1": key[0], "_h2": key[1]}).join(last, ["_h1", "_h2"], "left").where("_last is null or vec_id <= _last").drop("_h1", "_h2", "_last")
+
+
 def search(rows: DataFrame, is_query: Column, k: int = K, recall: float = RECALL, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest others of each row for which ``is_query`` (of vec_id) holds."""
     rows = valid_vectors(rows)
@@ -288,58 +363,57 @@ def search(rows: DataFrame, is_query: Column, k: int = K, recall: float = RECALL
     ids, vectors = sampled.column(0).to_numpy(), _matrix(sampled.column(1))
     # the first rows are kept out of the fit, equal ids as well
     held = np.isin(ids, ids[: min(CALIBRATION_QUERIES, len(ids) // 4)])
-    router = fit_router(vectors[~held], n)
-    assigned = common.pin(assign(rows, router), "ann-parts")
+    top = fit_router(vectors[~held], n)
+    unseen = rows.where(~F.col("vec_id").isin(*np.unique(ids[held]).tolist())) if held.any() else rows
+    routers = Routers(None) if top is None else fit_below(unseen, top, n, sample_rows)
+    assigned = common.pin(assign(rows, routers), "ann-parts")
     asks = np.unique(ids[held], return_index=True)[1]
-    probes = choose_probes(assigned, router, (ids[held][asks], vectors[held][asks]), k, recall)
+    probes = choose_probes(assigned, routers, (ids[held][asks], vectors[held][asks]), k, recall)
+    return visit(assigned, routers, is_query, probes, k)
+
+
+def visit(assigned: DataFrame, routers: Routers, is_query: Column, probes: int, k: int) -> DataFrame:
+    """The k best rows of the ``probes`` most probable parts of each query."""
+    spark, at = assigned.sparkSession, assigned.sparkSession.sparkContext.broadcast(routers)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = b.num_rows
-            parts = np.zeros((m, 1), np.int32) if router is None or not m else np.argsort(-router.logits(_matrix(b.column(1))), axis=1, kind="stable")[:, :probes].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * parts.shape[1]), pa.array(parts.ravel()))
+            parts = at.value.ranked(_matrix(b.column(1)))[:, :probes]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * parts.shape[1]), pa.array(parts.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["vec_id", "embedding", "parts"])
 
-    queries = assigned.where(is_query).select("vec_id", "embedding").mapInArrow(route, "vec_id long, embedding array<double>, parts array<int>")
-    queries = common.pin(queries.select("vec_id", "embedding", F.explode("parts").alias("part")), "ann-queries")
-    # blocks of each part, a row for each of at most MAX_PARTS
-    sizes = {r["part"]: r["count"] for r in assigned.groupBy("part").count().collect()}
-    asked = {r["part"]: r["count"] for r in queries.groupBy("part").count().collect()}
-    blocks = lambda counts, size: F.coalesce(F.element_at(F.create_map(*[F.lit(int(x)) for p in range(MAX_PARTS) for x in (p, -(-counts.get(p, 1) // size))]), F.col("part")), F.lit(1))
-    n_c, n_q = blocks(sizes, BLOCK_ROWS), blocks(asked, BLOCK_QUERIES)
-    block = lambda of, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), of).cast("int")
-    all_of = lambda of: F.explode(F.sequence(F.lit(0), of - 1))
+    queries = common.pin(assigned.where(is_query).select("vec_id", "embedding").mapInArrow(route, "vec_id long, embedding array<double>, parts array<int>"), "ann-queries")
+    rows = without_surplus(assigned, k)
+    # blocks of each part: a row for each, of which there are MAX_PARTS^2 at most
+    sizes = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}
+    asked = {r["part"]: r["count"] for r in queries.select(F.explode("parts").alias("part")).groupBy("part").count().collect()}
+    blocks = spark.createDataFrame([(p, -(-n // BLOCK_ROWS), -(-asked[p] // BLOCK_QUERIES)) for p, n in sizes.items() if p in asked], "part int, n_c int, n_q int")
+    block = lambda of, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.col(of)).cast("int")
+    all_of = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     key = ["part", "c", "q"]
-    tiles = (
-        queries.withColumn("q", block(n_q, 2)).withColumn("c", all_of(n_c)).withColumn("asks", F.lit(True))
-        .unionByName(assigned.where(F.col("part").isin(*asked) if asked else F.lit(False)).withColumn("c", block(n_c, 1)).withColumn("q", all_of(n_q)).withColumn("asks", F.lit(False)))
-        .repartition(*key).sortWithinPartitions(*key)
-    )
+    visits = queries.select("vec_id", "embedding", F.explode("parts").alias("part")).join(F.broadcast(blocks), "part")
+    visits = visits.withColumn("q", block("n_q", 2)).withColumn("c", all_of("n_c")).withColumn("asks", F.lit(True))
+    visited = rows.join(F.broadcast(blocks), "part").withColumn("c", block("n_c", 1)).withColumn("q", all_of("n_q")).withColumn("asks", F.lit(False))
+    tiles = visits.unionByName(visited).drop("n_c", "n_q").repartition(*key).sortWithinPartitions(*key, "asks")  # rows before queries
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, best = None, [], _Best(k)
+        now, held, block, best = None, [], None, _Best(k)
         for b in batches:
-            keys = np.stack([b.column(c).to_numpy() for c in key], axis=1) if b.num_rows else np.zeros((0, 3), int)
+            keys = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (*key, "asks")], axis=1)
             edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)] if len(keys) else [0]
             for a, e in zip(edges, edges[1:]):
-                if tuple(keys[a]) != now:
-                    yield from best.add(*tile(held))
-                    now, held = tuple(keys[a]), []
-                part = b.slice(a, e - a)
-                held.append((part.column("vec_id").to_numpy(), _matrix(part.column("embedding")), part.column("asks").to_numpy(zero_copy_only=False)))
-        yield from best.add(*tile(held))
+                tile, part = tuple(keys[a, :3]), b.slice(a, e - a)
+                ids, x = part.column("vec_id").to_numpy(), _matrix(part.column("embedding"))
+                if tile != now:
+                    now, held, block = tile, [], None
+                if not keys[a, 3]:
+                    held.append((ids, x))
+                elif held:
+                    block = block or tuple(np.concatenate(c) for c in zip(*held, strict=True))
+                    i, found, s = _best(x, ids, block[1], block[0], k)
+                    yield from best.add(ids[i], found, s)
         yield from best.flush()
 
-    def tile(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        none = np.zeros(0, np.int64)
-        if not held:
-            return none, none, np.zeros(0)
-        ids, x, asks = (np.concatenate([h[i] for h in held]) for i in range(3))
-        if not asks.any() or asks.all():
-            return none, none, np.zeros(0)
-        i, found, s = _best(x[asks], ids[asks], x[~asks], ids[~asks], k)
-        return ids[asks][i], found, s
-
     return rank(tiles.mapInArrow(scan, "query_id long, vec_id long, score double"), k).select(F.col("query_id"), "rank", "vec_id", "score")
 
 
