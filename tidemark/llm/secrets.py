@@ -8,8 +8,9 @@ that is None as in the registered query, anywhere in the scope.
 Since the join only asks whether a complement is near, it is the nearest one before and after that decides; two window
 functions over a text's parts find these, so no pair of parts is ever built.
 
-Nulls and empty texts have no spans. Rows are keyed by an id of the row, not by ``doc_id``: repeated rows and null
-ids are each reported. Columns of the input other than the id and the text are ignored.
+Null and empty texts have no spans; very long ones are scanned whole, in linear time. Rows are keyed by an id of the row, not
+by ``doc_id``: repeated rows and null ids are each reported. An empty table gives no rows. Columns of the input other than
+the id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
