@@ -182,3 +182,44 @@ def test_lake_run(spark, folder):
     assert set(lake.run(spark, folder).values()) == {0}
     lake.ingest_raw(spark, {"again": lake.SourceSpec(f"{folder}/bronze/sellers", "parquet")}, folder)
     assert readers.read_table(spark, f"{folder}/bronze/again").count() == tables["sellers"].count()
+
+
+def test_items_are_dealt_by_order_once(spark):
+    """One exchange of items and of events, by order; the joins and the sums by order need no other."""
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = "/root/testdata/sf0.001"
+        log = events.order_events(bindings.orders(spark, d)).withColumn("event_time", F.col("event_time").try_cast("timestamp_ntz"))
+        fact = facts.fact_order_item(log, bindings.order_items(spark, d), bindings.payments(spark, d))
+        plan = lambda df: [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+        by = lambda line: [c.split("#")[0] for c in line.split("hashpartitioning(")[1].split(")")[0].split(", ")[:-1]]
+        assert [by(x) for x in plan(fact)] == [["order_id"]] * 3
+        once = fact.groupBy("order_event_date", "order_id", "customer_id").count()
+        assert [by(x) for x in plan(once)] == [["order_id"]] * 2  # payments are not asked for
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+
+
+def test_ordered_marts_and_events(spark):
+    day = lambda d: dt.date(2018, 1, d)
+    rows = [(day(3), "o1", "c1", "p1", 5.0, 4.0, 1.0), (day(1), "o2", "c1", "p2", 50.0, 40.0, 10.0), (day(2), "o3", None, "p1", None, None, None), (day(1), "o2", "c1", "p2", 1.0, 1.0, 0.0)]
+    fact = spark.createDataFrame(rows, "order_event_date date, order_id string, customer_id string, product_id string, item_total_amount double, item_price double, item_freight_value double")
+    daily = marts.daily_sales(fact, ordered=True).collect()
+    assert [(r["order_event_date"], r["order_count"], r["item_count"], r["customer_count"], r["total_sales_amount"], r["avg_order_amount"]) for r in daily] == [
+        (day(1), 1, 2, 1, 51.0, 51.0), (day(2), 1, 1, 0, None, None), (day(3), 1, 1, 1, 5.0, 5.0)
+    ]
+    products = spark.createDataFrame([("p1", "a"), ("p2", "b")], "product_id string, product_category_name_english string")
+    assert [(r[0], r["avg_item_price"]) for r in marts.category_sales(fact, products, ordered=True).collect()] == [("b", 20.5), ("a", 4.0)]
+    people = spark.createDataFrame([("c1", "20s", "F", "x")], "customer_id string, age_group string, sex string, occupation string")
+    assert [r["total_sales_amount"] for r in marts.customer_segment_sales(fact, people, ordered=True).collect()] == [56.0, None]
+    got = [(r["event_time"], r["event_id"]) for r in events.order_events(bindings.orders(spark, "/root/testdata/sf0.001"), ordered=True).collect()]
+    assert [t for t, _ in got] == sorted(t for t, _ in got) and len(got) > 1000
+
+
+def test_raw_csv_to_bronze(spark, folder, tmp_path):
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw/orders.csv").write_text('order_id,at,note\n1,2018-01-02 03:04:05,"two\nlines"\n2,never,"a ""quote"""\n')
+    lake.ingest_raw(spark, {"orders": lake.SourceSpec(f"{folder}/raw/orders.csv", "csv", "order_id string, at string, note string", ("at",))}, f"{folder}/lake")
+    got = readers.read_table(spark, f"{folder}/lake/bronze/orders").orderBy("order_id").collect()
+    assert [tuple(r) for r in got] == [("1", T("2018-01-02 03:04:05"), "two\nlines"), ("2", None, 'a "quote"')]
