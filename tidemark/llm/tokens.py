@@ -1,7 +1,8 @@
 """Token-id files with Elias-Fano document boundaries.
 
-Texts are encoded word by word: the vocabulary used here never joins characters over white space, so the ids of a text
-are those of its words in a row, and a cache of words makes each distinct word cost once a worker.
+Texts are encoded by their words: the vocabulary used here never joins characters over white space, so the ids of a text
+are those of its words in a row. A slice of a batch is split by Arrow and each distinct word encoded once; the ids of the
+texts are then gathered as arrays.
 
 A shard file holds the ids of many documents in a row, as unsigned 16-bit (or 32-bit, by vocabulary) little-endian
 integers, then two Elias-Fano sequences: the end offset of each document, and the document ids in ascending order.
@@ -11,27 +12,31 @@ unary. ``select`` finds the i-th value by a sampled directory of the unary bits,
 Shards are written by tasks straight to the shared folder, under names of their own; only the files named in the
 manifest, which holds rows of tasks that ended well, are ever read. A lost executor leaves at most an orphan file.
 
-A null text is an empty one (it still has the end id). Rows with a null id come first. Repeated ids keep all rows.
+A null text is an empty one (it still has the end id); a very long one is a slice of its own. Rows with a null id come
+first. Repeated ids keep all rows, in the order of a hash of their text. An empty table gives an empty manifest. Columns
+other than the id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import struct
-import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
 from tokenizers import Tokenizer
 
 from tidemark.llm import common
+from tidemark.llm.words import held, slices
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
@@ -42,10 +47,13 @@ SHARD_IDS = 1 << 24
 SHARD_DOCS = 1 << 18
 #: One select sample for this many values.
 SAMPLE = 256
-#: Words that a worker keeps; it starts anew beyond that.
-CACHE_WORDS = 500_000
-#: Python splits at these as white space, the tokenizer does not.
-_SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Words that a worker keeps of late; as many older ones stay until these are full again. Longer words are not kept.
+CACHE_WORDS = 1 << 17
+CACHE_LETTERS = 64
+#: White space to Python and Arrow, but not to the tokenizer.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Signs that never join letters: all of ASCII but the apostrophe, which begins contractions.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordIds(dict):
@@ -53,57 +61,106 @@ class WordIds(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self.old: dict = {}
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = "|".join([f"[{_SEPARATORS}]", *(re.escape(x) for x in special)])
         # The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from 256 on.
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = (b for b in range(256) if b not in own)
         self.alphabet = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        stem = word.rstrip(".,")
-        if stem and stem != word and stem[-1].isalpha() and stem[-1].isascii():
-            found = self[stem] + self[word[len(stem) :]]  # letters end where these signs begin
-        elif word.isalpha() and max(word) < "İ":
-            # letters of Latin-1 and the first of Extended-A: one run, lower-cased one by one
-            low = unicodedata.normalize("NFC", word).lower()
-            symbols = low if low.isascii() else "".join(map(self.alphabet.__getitem__, low.encode()))
-            found = self.pack([t.id for t in self.model.tokenize(symbols)])
-        else:
-            found = self.pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        self[word] = found
+    def pack(self, tokens: list) -> bytes:
+        return array(self.code, [t.id for t in tokens]).tobytes()
+
+    def whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, word: str):
+        found = self.old.get(word)
+        if found is None:
+            if word.isalpha() and (word.isascii() or max(word) < "İ"):
+                # letters of Latin-1 and the first of Extended-A: one run, lower-cased one by one, composed as they are
+                low = word.lower()
+                found = self.pack(self.tokenize(low if low.isascii() else "".join(map(self.alphabet.__getitem__, low.encode()))))
+            else:
+                stem = word.rstrip(_SIGNS)
+                if stem and len(stem) < len(word) and stem[-1].isalpha() and stem[-1].isascii():
+                    return self[stem] + self[word[len(stem) :]]  # letters end where these signs begin
+                stem = word.lstrip(_SIGNS)
+                if stem and len(stem) < len(word) and stem[0].isalpha() and stem[0].isascii():
+                    return self[word[: -len(stem)]] + self[stem]
+                found = self.whole(word)
+        if len(word) <= CACHE_LETTERS:
+            if len(self) >= CACHE_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[word] = found
         return found
 
-    def encode(self, text: str) -> bytes:
-        if any(s in text for s in _SEPARATORS) or any(s in text for s in self.special):
-            return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+    def encode(self, text: str):
+        if re.search(self.odd, text):
+            return self.whole(text)
         return b"".join([self[w] for w in text.split()])
 
-
-_loaded: dict[str, WordIds] = {}
+    def sliced(self, texts: pa.Array) -> Iterator[tuple]:
+        """Slices, those of their rows that must be encoded whole, and what each of their words has."""
+        texts = pc.fill_null(texts, "")
+        low = pc.ascii_lower(texts)  # the tokenizer does so too
+        mask = pc.match_substring_regex(low, self.odd)
+        odd: dict[int, str] = {}
+        if pc.any(mask).as_py():
+            odd = dict(zip(np.flatnonzero(mask.to_numpy(zero_copy_only=False)).tolist(), texts.filter(mask).to_pylist(), strict=True))
+            low = pc.if_else(mask, "", low)
+        for s in slices(low):
+            yield s, {i - s.first: t for i, t in odd.items() if s.first <= i < s.first + len(s.texts)}, [self[w] for w in s.words]
+
+    def batch(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text."""
+        for s, odd, found in self.sliced(texts):
+            size = np.array([len(x) for x in found], np.int64) // self.dtype.itemsize
+            first, n = np.cumsum(size) - size, size[s.codes]
+            at = np.cumsum(n) - n
+            ids = np.frombuffer(b"".join(found), self.dtype)[np.repeat(first[s.codes] - at, n) + np.arange(int(n.sum()))]
+            ends = np.concatenate([at, [len(ids)]])[s.starts]
+            for i in range(len(s.texts)):
+                yield self.whole(odd[i]) if i in odd else ids[ends[i] : ends[i + 1]].tobytes()
+
+
+class WordLengths(WordIds):
+    """word -> how many ids it has."""
+
+    def pack(self, tokens: list) -> int:
+        return len(tokens)
+
+    def whole(self, text: str) -> int:
+        return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def lengths(self, texts: pa.Array) -> np.ndarray:
+        """How many ids each text has."""
+        counts = [np.zeros(0, np.int64)]
+        for s, odd, found in self.sliced(texts):
+            n = s.sums(np.array(found, float)).astype(np.int64)
+            for i, t in odd.items():
+                n[i] = self.whole(t)
+            counts.append(n)
+        return np.concatenate(counts)
 
 
 def word_ids(path: str) -> WordIds:
-    """The worker's own encoder for a vocabulary file; kept while the worker lives."""
-    if path not in _loaded:
-        _loaded[path] = WordIds(path)
-    return _loaded[path]
+    """The worker's own encoder for a vocabulary file."""
+    return held(("word ids", path), lambda: WordIds(path))
 
 
 def n_tokens(text: str | Column = "text", path: str = TOKENIZER) -> Column:
     """How many ids a text has; 0 for null."""
 
-    @pandas_udf("long")
-    def count(texts):
-        enc = word_ids(path)
-        return texts.map(lambda t: len(enc.encode(t)) // enc.dtype.itemsize if t else 0).astype("int64")
+    @F.arrow_udf("long")
+    def count(texts: pa.Array) -> pa.Array:
+        return pa.array(held(("word lengths", path), lambda: WordLengths(path)).lengths(texts))
 
     return count(F.col(text) if isinstance(text, str) else text)
 
@@ -239,24 +296,26 @@ class ShardReader:
 def write_token_files(docs: DataFrame, folder: str, path: str = TOKENIZER, end_id: int = END_ID, shard_ids: int = SHARD_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the documents in ascending id order; returns the manifest: path, start (ids before the shard), n_docs, n_ids.
 
-    The rows are ranged over tasks by id (many keys, so no hot one), sorted and streamed; shards are numbered by task and
-    then by place. The manifest has one row for each shard.
+    The rows are ranged over tasks by id and a hash of the text, so rows that share an id (or have none) are spread too and
+    have one order; they are sorted and streamed. Shards are numbered by task and then by place. The manifest has one row for
+    each shard. Other columns than the two are ignored.
     """
     fs, at = common.file_system(folder)
     fs.create_dir(at, recursive=True)
     sorted_docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_docs = sorted_docs.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    sorted_docs = sorted_docs.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         enc, task = word_ids(path), TaskContext.get().partitionId()
-        end, done, shard = enc.pack([end_id]), [], None
+        end, done, shard = array(enc.code, [end_id]).tobytes(), [], None
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.batch(batch.column(1)), strict=True):
                 shard = shard or ShardWriter(folder, enc.dtype)
-                shard.add(doc_id, enc.encode(text.as_py() or "") + end)
+                shard.add(doc_id, ids + end)
                 if shard.ids >= shard_ids or len(shard.ends) >= SHARD_DOCS:
                     done.append(shard.close())
                     shard = None
