@@ -11,15 +11,18 @@ every block holds the target weights, up to a document's length, and within a bl
 
 Running totals per source are made in two levels: hash ranges of the permutation are summed, ranges are accumulated over a
 small table, and rows add the sum of their own range; a source with a third of all rows is spread over as many ranges as
-its size asks for. Only the table of sources is collected, a row for each.
+its size asks for. Up to ``COLLECTED`` sources are weighed on the driver; where there are more, the exponent is bisected by
+aggregates over the table of sources, many exponents in one pass, with the same result.
 
-Null sources are a source of their own; null and empty texts count one token. Repeated rows are ordinary rows.
+Null sources are a source of their own; null and empty texts count one token, very long ones what they have. Repeated rows
+are ordinary rows, each read as often as the mixture asks for; an empty table gives no rows. Other columns are left as
+they are, but a column of the name of a result gives way to it.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,8 +36,8 @@ BLOCK_TOKENS = 1 << 20
 #: A hash range of a source holds about so many documents.
 RANGE_ROWS = 4096
 SEED = 17
-#: More sources than this are not weighed on the driver but refused.
-MAX_SOURCES = 1_000_000
+#: More sources than this are weighed by Spark instead of the driver.
+COLLECTED = 10_000
 
 
 @dataclass(frozen=True)
@@ -42,9 +45,9 @@ class Mixture:
     """What the sources are mixed by: exponent, share and number of passes for each source, tokens in all."""
 
     exponent: float
-    shares: dict[str | None, float]
-    passes: dict[str | None, float]
     budget: float
+    shares: dict[str | None, float] = field(default_factory=dict)
+    passes: dict[str | None, float] = field(default_factory=dict)
 
 
 def entropy(shares: list[float]) -> float:
@@ -74,7 +77,7 @@ def _bisect(fits, rounds: int = 60) -> float:
 def solve(tokens: dict[str | None, float], target_entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS) -> Mixture:
     """The exponent that meets the entropy; where that would repeat a source too often, the one that meets the limit."""
     if not tokens:
-        return Mixture(1.0, {}, {}, 0.0)
+        return Mixture(1.0, 0.0)
     names, sizes = list(tokens), [float(x) for x in tokens.values()]
     a = _bisect(lambda e: entropy(temper(sizes, e)) >= target_entropy - 1e-12)
     spread = max(sizes) / min(sizes)
@@ -83,7 +86,37 @@ def solve(tokens: dict[str | None, float], target_entropy: float = TARGET_ENTROP
     shares = temper(sizes, a)
     budget = max(t / q for t, q in zip(sizes, shares, strict=True))
     passes = [q * budget / t for t, q in zip(sizes, shares, strict=True)]
-    return Mixture(a, dict(zip(names, shares, strict=True)), dict(zip(names, passes, strict=True)), budget)
+    return Mixture(a, budget, dict(zip(names, shares, strict=True)), dict(zip(names, passes, strict=True)))
+
+
+def solve_table(sources: DataFrame, target_entropy: float, max_repeats: float, at_once: int = 32) -> tuple[float, float]:
+    """(exponent, budget) as :func:`solve` finds them, over a pinned table of sources with their ``tokens``.
+
+    Sums are of decimals, so they do not depend on the order of rows.
+    """
+    n, top, least = sources.agg(F.count("*"), F.max("tokens"), F.min("tokens")).first()
+    share = F.log(F.col("tokens") / float(top))
+
+    def sums(exponents: list[float]) -> list[tuple[float, float]]:
+        """For each: the sum of raised shares, and of these times their logarithms."""
+        exact = lambda c: F.sum(c.cast("decimal(38,18)"))
+        row = sources.agg(*[f(a) for a in exponents for f in (lambda a: exact(F.exp(a * share)), lambda a: exact(F.exp(a * share) * a * share))]).first()
+        return [(float(row[2 * i]), float(row[2 * i + 1])) for i in range(len(exponents))]
+
+    met = lambda s, t: n < 2 or (math.log(s) - t / s) / math.log(n) >= target_entropy - 1e-12
+    low, high = 0.0, 1.0
+    if met(*sums([1.0])[0]):
+        low = 1.0
+    while high - low > 1e-15 and low < 1.0:
+        tried = [low + (high - low) * i / at_once for i in range(1, at_once)]
+        fits = [met(*x) for x in sums(tried)]
+        k = fits.index(False) if False in fits else len(tried)
+        low, high = ([low, *tried][k], [*tried, high][k])
+        if tried[0] == low or tried[-1] == high:
+            break
+    spread = float(top) / float(least)
+    a = max(low, 1 - _bisect(lambda e: spread**e <= max_repeats * (1 + 1e-12)))
+    return a, float(top) * sums([a])[0][0]  # the most plentiful source is read once
 
 
 def _unit(*parts: Column) -> Column:
@@ -91,24 +124,26 @@ def _unit(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / float(1 << 53)
 
 
-def mix(docs: DataFrame, tokens: Column, target_entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> tuple[DataFrame, Mixture]:
-    """The rows of ``docs`` as often as the mixture reads them, with ``epoch, block, place``, and the mixture.
+def mix(docs: DataFrame, tokens: Column, target_entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, collected: int = COLLECTED) -> tuple[DataFrame, Mixture]:
+    """The keys of ``docs`` as often as the mixture reads them, with ``epoch, block, place``, and the mixture.
 
-    ``place`` orders a block. All columns of ``docs`` are kept; helper columns have names of their own.
+    ``place`` orders a block. More than ``collected`` sources are weighed by Spark, and the mixture does not list them.
     """
-    sized = docs.withColumn("_tokens", F.greatest(tokens, F.lit(1)).cast("long"))
     # the texts themselves do not take part: a slim table is laid out and joined back by the row's key
-    slim = common.pin(sized.select("doc_id", "source", F.xxhash64(common.text_or_empty("text")).alias("_hash"), "_tokens"), "mix-rows")
-    rows = slim.groupBy("source").agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    made = solve({r["source"]: r["tokens"] for r in rows}, target_entropy, max_repeats)
-    plan = docs.sparkSession.createDataFrame(
-        [(r["source"], made.passes[r["source"]], made.passes[r["source"]] * r["tokens"], max(1, -(-r["n"] // RANGE_ROWS))) for r in rows],
-        "_source string, _passes double, _source_budget double, _ranges int",
-    )
+    slim = docs.select("doc_id", "source", F.xxhash64(common.text_or_empty("text")).alias("_hash"), F.greatest(tokens, F.lit(1)).cast("long").alias("_tokens"))
+    slim = common.pin(slim, "mix-rows")
+    sources = common.pin(slim.groupBy(F.col("source").alias("_source")).agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("n")), "mix-sources")
+    rows = sources.limit(collected + 1).collect()
+    if len(rows) <= collected:
+        made = solve({r["_source"]: r["tokens"] for r in sorted(rows, key=lambda r: (r["_source"] is not None, r["_source"]))}, target_entropy, max_repeats)
+    else:
+        made = Mixture(*solve_table(sources, target_entropy, max_repeats))
+    top = sources.agg(F.max("tokens")).first()[0] or 1
+    # (p_max / p_s)^(1 - a), rounded so that a whole number of passes is one
+    passes = F.round(F.pow(F.lit(float(top)) / F.col("tokens"), F.lit(1 - made.exponent)), 9)
+    plan = sources.select("_source", passes.alias("_passes"), (passes * F.col("tokens")).alias("_source_budget"), F.ceil(F.col("n") / RANGE_ROWS).cast("int").alias("_ranges"))
     blocks = max(1, math.ceil(made.budget / block_tokens))
-    plan = F.broadcast(plan) if len(rows) <= common.SMALL_ROWS else plan
+    plan = F.broadcast(plan) if len(rows) <= collected else plan
     key = F.xxhash64(F.lit(seed), "epoch", "doc_id", "_hash")
     laid = (
         slim.join(plan, F.col("source").eqNullSafe(F.col("_source")))
@@ -132,17 +167,21 @@ def mix(docs: DataFrame, tokens: Column, target_entropy: float = TARGET_ENTROPY,
     return common.pin(chosen, "mix-plan"), made
 
 
-def mixed_rows(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """The documents themselves, once for each row of the plan, with ``epoch, block, place``.
+def mixed_rows(docs: DataFrame, plan: DataFrame, epoch: str = "epoch", block: str = "block", place: str = "place") -> DataFrame:
+    """The documents themselves, once for each row of the plan, with ``epoch, block, place`` under the names given.
 
-    Rows of equal id, text and source are interchangeable: each of their plan rows gets the first of them.
+    Rows of equal id, text and source are interchangeable: each of their plan rows gets the first of them, by their other columns.
     """
-    key = lambda text: {"_k1": F.xxhash64("doc_id", "source", text), "_k2": F.xxhash64(text, "source", F.lit(1), "doc_id")}
-    keyed = docs.withColumn("_hash", F.xxhash64(common.text_or_empty("text"))).withColumns(key("_hash")).drop("_hash")
-    planned = plan.withColumnRenamed("_source", "source").withColumns(key("_hash")).select("_k1", "_k2", "epoch", "block", "place")
+    results = [epoch, block, place]
+    columns = [c for c in docs.columns if c.lower() not in {r.lower() for r in results}]
+    k1, k2, text, row = (common.free_name(docs, x, *results) for x in ("mix1", "mix2", "mixtext", "mixrow"))
+    key = lambda source, text: {k1: F.xxhash64("doc_id", source, text), k2: F.xxhash64(text, source, F.lit(1), "doc_id")}
+    keyed = docs.withColumn(text, F.xxhash64(common.text_or_empty("text"))).withColumns(key("source", text)).select(*columns, k1, k2)
+    planned = plan.withColumns(key("_source", "_hash")).select(k1, k2, F.col("epoch").alias(epoch), F.col("block").alias(block), F.col("place").alias(place))
     if not plan.where("epoch = 0").groupBy("doc_id", "_source", "_hash").count().where("count > 1").isEmpty():
-        keyed = keyed.dropDuplicates(["_k1", "_k2"])
-    return keyed.join(planned, ["_k1", "_k2"]).select(*docs.columns, "epoch", "block", "place")
+        first = keyed.withColumn(row, common.row_hash(docs.select(*columns))).groupBy(k1, k2).agg(F.min(row).alias(row))
+        keyed = keyed.withColumn(row, common.row_hash(docs.select(*columns))).join(common.pin(first, "mix-first"), [k1, k2, row], "left_semi").dropDuplicates([k1, k2]).drop(row)
+    return keyed.join(planned, [k1, k2]).select(*columns, *results)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
