@@ -6,11 +6,15 @@ import itertools
 import math
 from collections import Counter, defaultdict
 
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
+from tests.conftest import SMALL
 from tidemark.llm import mixing, packing
+from tidemark.llm.tokens import TOKENIZER, n_tokens
 
 sizes = st.dictionaries(st.sampled_from("abcdefgh"), st.integers(1, 10**9), min_size=1)
 
@@ -98,3 +102,83 @@ def test_cells(spark):
     lengths = [0, 1, 4096, 4097, 5000, 10**6, 10**9 + 1]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in lengths], "n long").select(packing.cell(F.col("n")).cast("long")).collect()]
     assert got[:3] == lengths[:3] and all(a <= b <= a * 1.001 + 1 for a, b in zip(lengths, got, strict=True))
+
+
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
+def spark_hash(*values):
+    """xxhash64 of columns: ("int", x), ("long", x) or text."""
+    h = 42
+    for v in values:
+        data = v.encode() if isinstance(v, str) else v[1].to_bytes(4 if v[0] == "int" else 8, "little", signed=True)
+        h = xxhash.xxh64_intdigest(data, h % (1 << 64))
+    return signed(h)
+
+
+def counted(spark):
+    """(doc_id, source, text, ids) of the small documents, by the tokenizer itself."""
+    encoder = Tokenizer.from_file(TOKENIZER)
+    return [(r["doc_id"], r["source"], r["text"] or "", len(encoder.encode(r["text"] or "", add_special_tokens=False).ids)) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+
+
+def plain_mix(docs, block_tokens=mixing.BLOCK_TOKENS):
+    """The definition: permuted epochs end to end up to each source's budget, cut into blocks."""
+    sizes = Counter()
+    for _, source, _, n in docs:
+        sizes[source] += max(n, 1)
+    made = mixing.solve(dict(sizes))
+    blocks, out = max(1, math.ceil(made.budget / block_tokens)), set()
+    for source in sizes:
+        passes = round((max(sizes.values()) / sizes[source]) ** (1 - made.exponent), 9)
+        budget, at = passes * sizes[source], 0
+        for epoch in range(math.ceil(passes - 1e-9)):
+            rows = [(spark_hash(("int", mixing.SEED), ("int", epoch), ("long", d), ("long", spark_hash(t))), d, max(n, 1)) for d, s, t, n in docs if s == source]
+            for _, d, n in sorted(rows, key=lambda r: ((r[0] % (1 << 64)) >> 11, r[0], r[1])):
+                if epoch == 0 or at < budget:
+                    out.add((d, epoch, min(int(at / budget * blocks), blocks - 1)))
+                at += n
+    return out
+
+
+def test_registered_mixing_query(spark):
+    docs = counted(spark)
+    got = [(r["doc_id"], r["epoch"], r["block"]) for r in mixing.op7_mixing(spark, SMALL).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_mix(docs)
+    plan, _ = mixing.mix(spark.read.parquet(f"{SMALL}/documents.parquet"), n_tokens(), block_tokens=3000)
+    assert {(r["doc_id"], r["epoch"], r["block"]) for r in plan.collect()} == plain_mix(docs, 3000)
+
+
+def test_many_sources_are_weighed_by_spark(spark):
+    tokens = {f"s{i}": 7 + (i * i * 31) % 50_000 for i in range(900)}
+    table = spark.createDataFrame(list(tokens.items()), "_source string, tokens long")
+    for target, repeats in ((0.97, 2.0), (0.999, 50.0), (0.9, 1.0), (0.5, 8.0)):
+        made = mixing.solve(tokens, target, repeats)
+        exponent, budget = mixing.solve_table(table, target, repeats)
+        assert abs(exponent - made.exponent) < 1e-9 and math.isclose(budget, made.budget, rel_tol=1e-6)
+    docs = documents(spark)
+    a, b = (sorted(mixing.mix(docs, F.col("n"), block_tokens=20_000, collected=c)[0].select("doc_id", "epoch", "block").collect(), key=str) for c in (0, 10_000))
+    assert a == b
+
+
+def test_registered_packing_query(spark):
+    lengths = {d: n + 1 for d, _, _, n in counted(spark)}
+    histogram = sorted(Counter(lengths.values()).items())
+    # best[k][j]: least padded size of the first j lengths in at most k buckets
+    upto = list(itertools.accumulate((n for _, n in histogram), initial=0))
+    best = [0] + [math.inf] * len(histogram)
+    for _ in range(packing.BUCKETS):
+        best = [0] + [min(best[i] + (upto[j] - upto[i]) * histogram[j - 1][0] for i in range(j)) for j in range(1, len(histogram) + 1)]
+    got = packing.op10_packing(spark, SMALL).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == lengths and sum(r["bucket_tokens"] for r in got) == best[-1]
+    members = defaultdict(list)
+    for r in got:
+        members[r["bucket_tokens"]].append(r)
+    bounds = sorted(members)
+    for r in got:
+        assert r["bucket_tokens"] == min(b for b in bounds if b >= r["n_tokens"]) == bounds[r["bucket"]]
+    for bound, rows in members.items():
+        rows.sort(key=lambda r: (spark_hash(("long", r["doc_id"])), r["doc_id"]))
+        capacity = max(1, packing.BUDGET // bound)
+        assert [(r["batch"], r["slot"]) for r in rows] == [divmod(i, capacity) for i in range(len(rows))]

@@ -5,15 +5,17 @@ which padding every document to its bucket's boundary costs least (with the lowe
 the histogram for each bucket). Inside a bucket documents form batches of as many as fit ``budget`` tokens once padded;
 a document longer than the budget has a batch of its own.
 
-Lengths beyond 4096 fall into cells of a thousandth of their size, so the histogram has a fixed maximal number of rows
-(about 56,000) whatever the corpus; boundaries are optimal among cells, and are never below a document's length.
+The histogram has a row for each length up to 65,536. Longer ones fall into cells of 1/32,768 of their size at most, so it
+has a bounded number of rows whatever the corpus (65,536, and as many for each doubling beyond, of which those that occur
+count): there boundaries are optimal among cells, which pads a document by 0.003 % of its length at most.
 
 Places within a bucket come from a hash order, or from the order of files and of rows in them where these are given: ranges of
 it are counted, the counts accumulated over a small table, and rows numbered within their range, so a bucket with most of the
 documents is no single task's work.
 
 Null and empty texts have length 0 or what the length column gives them; they are packed too. Repeated rows and null ids
-are packed row by row.
+are packed row by row, rows of equal hash in the order they are read. An empty table gives no rows. Other columns are left
+as they are, but a column of the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -29,13 +31,12 @@ from tidemark.llm.tokens import n_tokens
 BUCKETS = 16
 BUDGET = 1 << 16
 RANGE_ROWS = 4096
-_EXACT = 4096
-_STEPS = 1024
+_EXACT = 1 << 16
 
 
 def cell(length: Column) -> Column:
     """The upper end of the histogram cell of a length."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(_EXACT)).cast("double"))) - 10)
+    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(_EXACT)).cast("double"))) - 15)
     return F.when(length <= _EXACT, length).otherwise((F.ceil(length / step) * step).cast("long"))
 
 
@@ -88,36 +89,33 @@ def pack(rows: DataFrame, length: str, key: list[str], buckets: int = BUCKETS, b
     does: columns of which the last counts rows from 0. Rows should be a pinned table: they are read twice, once for the
     histogram.
     """
+    results = ["bucket", "bucket_tokens", "batch", "slot"]
+    columns = [c for c in rows.columns if c.lower() not in results]
+    cell_, bucket, hash_, copy, span, nth, before = (common.free_name(rows, x, *results) for x in ("cell", "bucket", "hash", "copy", "range", "nth", "before"))
     size = F.coalesce(F.col(length), F.lit(0)).cast("long")
-    sized = rows.withColumn("_cell", cell(size))
-    histogram = [tuple(r) for r in sized.groupBy("_cell").count().collect()]
+    sized = rows.withColumn(cell_, cell(size))
+    histogram = [tuple(r) for r in sized.groupBy(cell_).count().collect()]
     bounds = optimal_boundaries(histogram, buckets)
     counts = [sum(n for a, n in histogram if low < a <= high) for low, high in zip([-1, *bounds], bounds)]
     if not bounds:
         bounds, counts = [0], [0]
-    pick = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("bucket") + 1)
+    pick = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col(bucket) + 1)
     # the boundary of each bucket, an array of at most `buckets`
-    bucket = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col("_cell")))
-    placed = sized.withColumn("bucket", bucket).withColumn("bucket_tokens", pick(bounds))
-    placed = placed.withColumn("_hash", F.xxhash64(*key)).withColumn("_copy", F.monotonically_increasing_id())
-    unit = F.shiftrightunsigned(F.xxhash64("_hash", F.lit(3)), 11).cast("double") / float(1 << 53)
+    placed = sized.withColumn(bucket, F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col(cell_))))
+    placed = placed.withColumn(hash_, F.xxhash64(*key)).withColumn(copy, F.monotonically_increasing_id())
+    unit = F.shiftrightunsigned(F.xxhash64(hash_, F.lit(3)), 11).cast("double") / float(1 << 53)
     if place is None:
-        span, order = F.struct(F.floor(unit * pick([max(1, -(-n // RANGE_ROWS)) for n in counts])).cast("int")), ["_hash", *key]
+        ranged, order = F.struct(F.floor(unit * pick([max(1, -(-n // RANGE_ROWS)) for n in counts])).cast("int")), [hash_, *key]
     else:
-        span, order = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")) if t == "string" else F.coalesce(c, F.lit(-1)) for c, t in rows.select(*place[:-1]).dtypes], F.floor(F.col(place[-1]) / RANGE_ROWS)), place
-    placed = placed.withColumn("_range", span)
-    running = Window.partitionBy("bucket").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    before = placed.groupBy("bucket", "_range").count().select("bucket", "_range", F.coalesce(F.sum("count").over(running), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("bucket", "_range").orderBy(*order, "_copy")
-    nth = F.col("_before") + F.col("_nth") - 1
+        ranged, order = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")) if t == "string" else F.coalesce(c, F.lit(-1)) for c, t in rows.select(*place[:-1]).dtypes], F.floor(F.col(place[-1]) / RANGE_ROWS)), place
+    placed = placed.withColumn(span, ranged)
+    running = Window.partitionBy(bucket).orderBy(span).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = placed.groupBy(bucket, span).count().select(bucket, span, F.coalesce(F.sum("count").over(running), F.lit(0)).alias(before))
+    within = Window.partitionBy(bucket, span).orderBy(*order, copy)
+    at = F.col(before) + F.col(nth) - 1
     capacity = pick([max(1, budget // max(1, b)) for b in bounds])
-    return (
-        placed.withColumn("_nth", F.row_number().over(within))
-        .join(before, ["bucket", "_range"])
-        .withColumn("batch", F.floor(nth / capacity).cast("long"))
-        .withColumn("slot", (nth % capacity).cast("int"))
-        .select(*rows.columns, "bucket", "bucket_tokens", "batch", "slot")
-    )
+    made = [F.col(bucket).alias("bucket"), pick(bounds).alias("bucket_tokens"), F.floor(at / capacity).cast("long").alias("batch"), (at % capacity).cast("int").alias("slot")]
+    return placed.withColumn(nth, F.row_number().over(within)).join(earlier, [bucket, span]).select(*columns, *made)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
