@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 from tests.conftest import MEDIUM
@@ -70,3 +71,37 @@ def test_long_parts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
     assert {r["doc_id"]: r["spans"] for r in secrets.op8_secrets(spark, f"file://{tmp_path}").collect()} == expected
     assert secrets.find_parts("Ab1" * 700_000 + " " + "user " * 100_000 + "ssh://" * 100_000)  # linear
+
+
+def test_planted_links(spark, tmp_path):
+    """Weak parts planted with and without a complement in their paragraph, among ordinary text: every link, and no other."""
+    rng, filler = random.Random(5), "the river runs past old mills and quiet towns where people meet to trade".split()
+    prose = lambda n: " ".join(rng.choice(filler) for _ in range(n))
+
+    def opaque():
+        while True:
+            made = "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789") for _ in range(rng.randint(24, 60)))
+            if any(c.isdigit() for c in made) and len(set(made)) > 14:
+                return made
+
+    parts = {"identifier": lambda: f"client_id={rng.choice(filler)}-{rng.randint(100, 999)}", "opaque": opaque, "endpoint": lambda: f"https://api{rng.randint(1, 99)}.example.com/v1"}
+    linked = [("identifier", "opaque"), ("opaque", "endpoint"), ("identifier", "opaque", "endpoint")]
+    alone = [("identifier",), ("opaque",), ("endpoint",), ("identifier", "endpoint")]
+    rows, expected = [], {}
+    for i in range(300):
+        text, spans = "", []
+        for paragraph in range(rng.randint(1, 5)):
+            kinds = rng.choice(linked if rng.random() < 0.4 else alone)
+            for kind in kinds:
+                text += prose(rng.randint(0, 120)) + " "
+                piece = parts[kind]()
+                if kinds in linked:
+                    spans.append(f"{kind}:{len(text)}:{len(text) + len(piece)}")
+                text += piece + " "
+            text += prose(3) + "\n\n"
+        rows.append((i, text))
+        expected[i] = ",".join(spans)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["spans"] for r in secrets.op8_secrets(spark, f"file://{tmp_path}").collect()}
+    assert sum(bool(x) for x in expected.values()) > 100
+    assert got == expected
