@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,9 +70,10 @@ def test_shared_probabilities_sum_to_one(spark):
     rows = tx._with_context(tx._shared(grams, 3).withColumnRenamed("p", "q"), F.sum("q").alias("seen")).select("context", "seen").distinct().collect()
     assert all(0 < r["seen"] <= 1 + 1e-9 for r in rows)
     seen, unseen = tx.log_ratios(words, 3)
-    ratios = {r["gram"].strip("\x02\x03"): r["ratio"] for r in seen.collect()}
-    assert ratios["nd"] > 0 > ratios["ba"] or ratios["b"] < 0
-    assert unseen.count() > 0
+    ratio = plain_ratios({("banana", 0): 3, ("band", 0): 2, ("bandana", 1): 1, ("and", 1): 4}, 3)
+    some = ["banana", "band", "bandana", "and", "nab", "dad", "x"]
+    got = tx.WordRatios(tx._table(seen, "gram", 3), tx._table(unseen, "context", 2), 3).of(some)
+    assert all(abs(x - ratio(w)) < 1e-5 for x, w in zip(got, some, strict=True)) and got[3] > 0 > got[0]
 
 
 def test_every_ngram_keeps_its_own_ratio(spark):
@@ -82,11 +85,12 @@ def test_every_ngram_keeps_its_own_ratio(spark):
     words = spark.createDataFrame([(0, "banana", 3), (0, "band", 2), (1, "bandana", 1), (1, "añd", 4)], "toxic int, word string, n long")
     seen, unseen = tx.log_ratios(words, 3)
     known, after = {r["gram"]: r["ratio"] for r in seen.collect()}, {r["context"]: r["ratio"] for r in unseen.collect()}
-    got = tx.WordRatios(tx._fingerprints(seen, "gram"), tx._fingerprints(unseen, "context"), 3)
-    for word in ("banana", "bandana", "añd", "banner", "xyz", "\ud800", ""):
+    got = tx.WordRatios(tx._table(seen, "gram", 3), tx._table(unseen, "context", 2), 3)
+    some = ("banana", "bandana", "añd", "banner", "xyz", "\ud800", "")
+    for word, ratio in zip(some, got.of(list(some)), strict=True):
         padded = tx.START * 2 + word + tx.END
         grams = [padded[i : i + 3] for i in range(len(word) + 1)]
-        assert abs(got[word] - sum(known.get(g, after.get(g[:2], 0.0)) for g in grams)) < 1e-5
+        assert abs(ratio - sum(known.get(g, after.get(g[:2], 0.0)) for g in grams)) < 1e-5
 
 
 def test_calibration_fold_is_counted(spark):
@@ -99,7 +103,98 @@ def test_calibration_fold_is_counted(spark):
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     model = tx.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
     found = tx.WordRatios(*model.tables.value, model.order)
-    assert found[only] > 2 * tx.EXCESS and found["qoxu"] > 0
+    assert found.of([only])[0] > 2 * tx.EXCESS and found.of(["qoxu"])[0] > 0
+
+
+def plain_ratios(counted, order):
+    """word -> log-likelihood ratio, from {(word, toxic): n}: the module's definition in dictionaries."""
+    grams = {0: Counter(), 1: Counter()}
+    for (word, toxic), n in counted.items():
+        padded = tx.START * (order - 1) + word + tx.END
+        for i in range(len(word) + 1):
+            grams[toxic][padded[i : i + order]] += n
+    pooled = grams[0] + grams[1]
+
+    def discounts(counts):
+        n1, n2, n3, n4 = (max(1, sum(c == i for c in counts)) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        return [min(max(i - (i + 1) * y * b / a, 0.1), i - 0.05) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+
+    def split(counts, d):
+        """gram -> discounted count; context -> (all, taken)."""
+        cut = {g: d[min(c, 3) - 1] for g, c in counts.items() if c}
+        contexts = {}
+        for g, x in cut.items():
+            all_, taken = contexts.get(g[:-1], (0, 0))
+            contexts[g[:-1]] = all_ + counts[g], taken + x
+        return {g: counts[g] - x for g, x in cut.items()}, contexts
+
+    levels = [pooled]
+    for _ in range(order - 1):
+        levels.append(Counter(g[1:] for g in levels[-1]))
+    total = sum(levels[-1].values())
+    shared = {g: c / total for g, c in levels[-1].items()}
+    for level in levels[-2::-1]:
+        left, contexts = split(level, discounts(level.values()))
+        shared = {g: (left[g] + contexts[g[:-1]][1] * shared[g[1:]]) / contexts[g[:-1]][0] for g in level}
+    parts = {}
+    for toxic in (0, 1):
+        parts[toxic] = split(grams[toxic], discounts([grams[toxic][g] for g in pooled]))
+
+    def chance(g, toxic):
+        left, contexts = parts[toxic]
+        if g[:-1] not in contexts:
+            return shared[g]
+        all_, taken = contexts[g[:-1]]
+        return (left.get(g, 0) + taken * shared[g]) / all_
+
+    def backoff(context, toxic):
+        all_, taken = parts[toxic][1].get(context, (1, 1))
+        return taken / all_
+
+    def ratio(word):
+        padded = tx.START * (order - 1) + word + tx.END
+        known = {g[:-1] for g in pooled}
+        out = 0.0
+        for g in (padded[i : i + order] for i in range(len(word) + 1)):
+            if g in pooled:
+                out += math.log(chance(g, 1) / chance(g, 0))
+            elif g[:-1] in known:
+                out += math.log(backoff(g[:-1], 1) / backoff(g[:-1], 0))
+        return out
+
+    return ratio
+
+
+def test_against_a_plain_kneser_ney(spark):
+    rows = corpus(300)
+    counted = Counter((w, bad) for i, t, bad in rows if zlib.crc32(str(i).encode()) % 5 for w in tx.words_of(t))
+    ratio = plain_ratios(counted, tx.ORDER)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    some = [*BASE, *BAD, "grobnaken", "millstone", "q", "vex"]
+    texts = spark.createDataFrame([(i, w) for i, w in enumerate(some)], "doc_id long, text string")
+    for bound in (tx.TABLE_ROWS, 10):  # broadcast tables, then joins
+        model = tx.train(docs, labels, table_rows=bound)
+        assert (model.rows is None) == (bound == tx.TABLE_ROWS)
+        got = {r["doc_id"]: r["r"] for r in model.with_ratios(texts, "text", "r").collect()}
+        for i, w in enumerate(some):
+            assert abs(got[i]["ratio"] - ratio(w)) < 1e-5 and got[i]["n"] == 1
+
+
+def test_joined_scores_are_those_of_the_tables(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    extra = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(None, None), (-1, ""), (-2, "!!! ..."), (-3, None), (-2, "!!! ...")], "doc_id long, text string"))
+    extra = extra.withColumn("_row", F.lit(1)).withColumn("_toxicity", F.lit("kept")).withColumn("Score", F.lit("gone"))
+    scores = []
+    for bound in (tx.TABLE_ROWS, 100):
+        df = tx.train(docs, labels, table_rows=bound).score(extra)
+        assert {c.lower() for c in df.columns} == {"doc_id", "text", "_row", "_toxicity", "score"}
+        rows = df.collect()
+        assert {r["_row"] for r in rows} == {1} and {r["_toxicity"] for r in rows} == {"kept"}
+        scores.append(sorted((str(r["doc_id"]), r["text"] or "", df.columns.index("_row"), r[-1] if isinstance(r[-1], float) else r["Score"]) for r in rows))
+    for a, b in zip(*scores, strict=True):
+        assert a[0] == b[0] and abs(a[3] - b[3]) < 1e-9
 
 
 def test_registered_query(spark):

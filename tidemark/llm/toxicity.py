@@ -6,23 +6,24 @@ to *one* shared model, an interpolated Kneser-Ney model over the pooled n-grams
 continuation counts. An expression that a class has hardly seen is thus as likely in both, and only what a class has
 seen often moves a score; inflected and compound forms share the letters of their stem.
 
-Counts cover every labelled row outside the held-out fold and are made with DataFrame aggregates and joins. The result, the
-log-likelihood ratio of each n-gram and, for unseen ones, of each context, is broadcast as tables with an entry for each,
-found by its 64-bit fingerprint: no n-gram takes the ratio of another, and one that was never seen backs off. An entry
-takes 20 bytes at most, so the tables grow with the count of different n-grams of letters.
+Counts cover every labelled row outside the held-out fold and are made with DataFrame aggregates and joins. The result is the
+log-likelihood ratio of each n-gram and, for unseen ones, of each context. Up to ``TABLE_ROWS`` n-grams it is broadcast, as
+tables of 64-bit fingerprints with an entry for each (12 bytes): no n-gram takes the ratio of another, and one that was
+never seen backs off. Beyond that many the ratios stay a table: the distinct words of the texts are scored by joining
+their n-grams with it, and the texts by joining their words (:meth:`ToxicityModel.joined`). Both ways give the same scores.
 
 A text's score is a logistic function of its log-likelihood ratio per word, of the part of it above EXCESS and of its
 length, fitted on the ratios of a fold under counts that have not seen it, at most ``CALIBRATION_ROWS`` rows of it. Then that
 fold is counted as well, and texts are scored with the counts of all.
 
 A null or empty text has no words; its score is the smoothed share of toxic labels, as is every score without labels of
-both classes. Repeated rows are scored alike; a document labelled twice counts as toxic if either
-label does.
+both classes. Very long texts are split in slices and cost linear time. Repeated rows are scored alike, each; a document
+labelled twice counts as toxic if either label does. Empty tables give no rows. Only ``doc_id``, ``text`` and the labels'
+``doc_id`` and ``toxic`` are read; a column with the name of a result is replaced by it, all others stay as they are.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import uuid
 from collections import Counter
@@ -31,12 +32,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
 
 from tidemark.llm import common
+from tidemark.llm.words import Slice, chained, held, slices
 
 ORDER = 6
 #: The logistic fit uses the rows of its fold with the least hashes, this many at most.
@@ -47,7 +47,8 @@ HELD_OUT, CALIBRATION = 0, 4
 EXCESS = 2.5
 START, END = "\x02", "\x03"
 _WORD = re.compile(r"[^\W\d_]+|\d+")
-_CACHE = 200_000
+#: N-grams whose ratios are broadcast, at most (12 bytes each, and as much again for their contexts).
+TABLE_ROWS = 1 << 24
 
 
 def fold(doc_id: str | Column = "doc_id") -> Column:
@@ -56,6 +57,8 @@ def fold(doc_id: str | Column = "doc_id") -> Column:
 
 
 def words_of(text: str) -> list[str]:
+    if text.isascii() and text.isalpha():
+        return [text.lower()]
     return ["0" if w[0].isdigit() else w for w in _WORD.findall(text.lower())]
 
 
@@ -64,13 +67,18 @@ def word_counts(labelled: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counters: dict[tuple[bool, int], Counter] = {}
-            for later, toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if text.is_valid:
-                    counters.setdefault((later, toxic), Counter()).update(words_of(text.as_py()))
-            for (later, toxic), seen in counters.items():
+            groups = 2 * batch.column(0).to_numpy(zero_copy_only=False) + batch.column(1).to_numpy()
+            counters = [Counter() for _ in range(4)]
+            for s in slices(batch.column(2)):
+                group = np.repeat(groups[s.first : s.first + len(s.texts)], np.diff(s.starts))
+                for g in np.unique(group):
+                    seen = np.bincount(s.codes[group == g], minlength=len(s.words))
+                    for i in np.flatnonzero(seen).tolist():
+                        for w in words_of(s.words[i]):
+                            counters[g][w] += int(seen[i])
+            for g, seen in enumerate(counters):
                 m = len(seen)
-                yield pa.RecordBatch.from_arrays([pa.array([later] * m, pa.bool_()), pa.array([toxic] * m, pa.int32()), pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["calibration", "toxic", "word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([g > 1] * m, pa.bool_()), pa.array([g % 2] * m, pa.int32()), pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["calibration", "toxic", "word", "n"])
 
     counted = labelled.select("calibration", "toxic", "text").mapInArrow(count, "calibration boolean, toxic int, word string, n long")
     return counted.groupBy("calibration", "toxic", "word").agg(F.sum("n").alias("n"))
@@ -136,98 +144,136 @@ def log_ratios(words: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFra
     return rows.select("gram", "n", "ratio"), rows.groupBy("context").agg(F.sum("n").alias("n"), F.first("unseen").alias("ratio"))
 
 
-def _fingerprints(ratios: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
-    """The fingerprints of all keys, ascending, and their ratios."""
-    rows = ratios.select(F.xxhash64(key).alias("key"), F.col("ratio").cast("float").alias("ratio")).toArrow()
-    keys = rows.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], rows.column("ratio").to_numpy()[order]
+def _keys(points: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of the n-grams that begin at each code point, and of their contexts (all but the last)."""
+    m = len(points) - order + 1
+    x, context = np.zeros(m, np.uint64), None
+    for j in range(order):
+        context, x = x, chained(x, points[j : j + m])
+    return x, context
 
 
-class _Table:
-    """Ratios by fingerprint: fingerprints are spread evenly, so their leading bits say where in the sorted keys to look."""
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
 
-    def __init__(self, keys: np.ndarray, ratios: np.ndarray):
-        bits = max(1, len(keys).bit_length())
-        self.shift = 64 - bits
-        self.starts = memoryview(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(self.shift)).astype(np.uint32))
-        self.keys, self.ratios = memoryview(np.append(keys, np.uint64(2**64 - 1))), memoryview(np.append(ratios, np.float32(np.nan)))
 
-    def get(self, gram: str) -> float:
-        """Not a number for a gram without an entry."""
-        h, keys = xxhash.xxh64_intdigest(gram.encode("utf-8", "replace"), 42), self.keys
-        i = self.starts[h >> self.shift]
-        while keys[i] < h:
-            i += 1
-        return self.ratios[i] if keys[i] == h else math.nan
+def _table(ratios: DataFrame, key: str, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprints of all keys, of so many letters each, ascending, and their ratios."""
+    rows = ratios.select(key, F.col("ratio").cast("float").alias("ratio")).toArrow()
+    keys = _keys(_points("".join(rows.column(key).to_pylist())), order)[0][::order] if rows.num_rows else np.zeros(0, np.uint64)
+    at = np.argsort(keys)
+    return keys[at], rows.column("ratio").to_numpy()[at]
 
 
-class WordRatios(dict):
-    """word -> its log-likelihood ratio, toxic against ordinary."""
+class WordRatios:
+    """The log-likelihood ratio of words, toxic against ordinary."""
 
     def __init__(self, seen: tuple[np.ndarray, np.ndarray], unseen: tuple[np.ndarray, np.ndarray], order: int):
-        super().__init__()
-        self.seen, self.unseen, self.order = _Table(*seen), _Table(*unseen), order
-
-    def __missing__(self, word: str) -> float:
-        padded, total, n = START * (self.order - 1) + word + END, 0.0, self.order
-        for i in range(len(word) + 1):
-            ratio = self.seen.get(padded[i : i + n])
-            if ratio != ratio:
-                ratio = self.unseen.get(padded[i : i + n - 1])
-                if ratio != ratio:  # neither class has seen the context: both back off alike
-                    ratio = 0.0
-            total += ratio
-        if len(word) <= 64:
-            if len(self) >= _CACHE:
-                self.clear()
-            self[word] = total
-        return total
-
-
-_models: dict[str, WordRatios] = {}
+        self.seen, self.unseen, self.order = seen, unseen, order
+
+    @staticmethod
+    def _get(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, missing: float) -> np.ndarray:
+        if not len(table[0]):
+            return np.full(len(keys), missing)
+        at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
+        return np.where(table[0][at] == keys, table[1][at], missing).astype(float)
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if not words:
+            return np.zeros(0)
+        n = np.array([len(w) for w in words], np.int64) + 1  # n-grams of each word
+        pad = START * (self.order - 1)
+        grams, contexts = _keys(_points("".join([f"{pad}{w}{END}" for w in words])), self.order)
+        first = np.cumsum(n) - n
+        at = np.repeat(np.arange(len(words)) * (self.order - 1), n) + np.arange(int(n.sum()))  # each word brings its padding
+        ratio = self._get(self.seen, grams[at], np.nan)
+        new = np.flatnonzero(np.isnan(ratio))
+        # where neither class has seen the context, both back off alike
+        ratio[new] = self._get(self.unseen, contexts[at[new]], 0.0)
+        return np.add.reduceat(ratio, first)
+
+    def of_slice(self, s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text: its ratio per word, what words have above EXCESS, and the count of words."""
+        found = [words_of(w) for w in s.words]
+        distinct = list(dict.fromkeys(w for ws in found for w in ws))
+        place, ratio = {w: i for i, w in enumerate(distinct)}, self.of(distinct)
+        size = np.array([len(ws) for ws in found], np.int64)
+        owner, ratio = np.repeat(np.arange(len(found)), size), ratio[[place[w] for ws in found for w in ws]] if distinct else ratio
+        each = [np.bincount(owner, x, len(found)) for x in (ratio, np.maximum(ratio - EXCESS, 0))]
+        n = s.sums(size.astype(float))
+        return s.sums(each[0]) / np.maximum(n, 1), s.sums(each[1]), n.astype(np.int64)
+
+
+RATIOS = "struct<ratio:double,excess:double,n:long>"
 
 
 @dataclass
 class ToxicityModel:
-    """Tables, weights and the share of toxic labels; ``tables`` is a broadcast pair, or None without a model."""
+    """Ratios, weights and the share of toxic labels. Ratios are either ``tables``, a broadcast pair, or ``rows``, a pair of DataFrames;
+    without a model both are None."""
 
     tables: object
     weights: list[float]
     share: float
     order: int = ORDER
+    rows: tuple[DataFrame, DataFrame] | None = None
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def ratios(self, text: Column) -> Column:
         """struct(ratio: log-likelihood ratio per word, excess: sum of what words have above EXCESS, n: words)."""
         tables, order, key = self.tables, self.order, self.key
 
-        @pandas_udf("ratio double, excess double, n long")
-        def score(texts):
-            import pandas as pd
-
-            model = _models.get(key)
-            if model is None:
-                _models.clear()
-                model = _models[key] = WordRatios(*tables.value, order)
-            out = []
-            for t in texts:
-                words = words_of(t) if t else []
-                found = [model[w] for w in words]
-                out.append((math.fsum(found) / max(1, len(words)), math.fsum([x - EXCESS for x in found if x > EXCESS]), len(words)))
-            return pd.DataFrame(out, columns=["ratio", "excess", "n"])
+        @F.arrow_udf(RATIOS)
+        def score(texts: pa.Array) -> pa.Array:
+            model = held(("toxicity", key), lambda: WordRatios(*tables.value, order))
+            parts = [model.of_slice(s) for s in slices(texts)]
+            found = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0), np.zeros(0), np.zeros(0, np.int64)]
+            return pa.StructArray.from_arrays([pa.array(x) for x in found], ["ratio", "excess", "n"])
 
         return score(text)
 
+    def joined(self, df: DataFrame, text: str, out: str) -> DataFrame:
+        """As :meth:`ratios`, by joins: texts to their distinct words, these to their n-grams."""
+        row = common.free_name(df, "row")
+        keyed = common.pin(df.withColumn(row, F.monotonically_increasing_id()), "toxic-rows")
+
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for s in slices(batch.column(1)):
+                    ids = np.repeat(batch.column(0).slice(s.first, len(s.texts)).to_numpy(), np.diff(s.starts))
+                    counts = Counter(zip(ids.tolist(), s.codes.tolist(), strict=True))
+                    parts = [words_of(w) for w in s.words]
+                    rows = [(i, w, n) for (i, c), n in counts.items() for w in parts[c]]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64()), strict=True)], ["row", "word", "n"])
+
+        words = common.pin(keyed.select(F.col(row).alias("row"), F.col(text).alias("text")).mapInArrow(split, "row long, word string, n long"), "toxic-row-words")
+        distinct = words.select("word").distinct()
+        seen, unseen = self.rows
+        padded = F.concat(F.lit(START * (self.order - 1)), "word", F.lit(END))
+        grams = distinct.withColumn("_p", padded).select("word", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring("_p", i, F.lit(self.order)))).alias("gram"))
+        known = grams.join(seen.select("gram", F.col("ratio").cast("float").alias("known")), "gram", "left")
+        backed = known.withColumn("context", F.expr("left(gram, length(gram) - 1)")).join(unseen.select("context", F.col("ratio").cast("float").alias("backed")), "context", "left")
+        ratio = common.pin(backed.groupBy("word").agg(F.sum(F.coalesce("known", "backed", F.lit(0.0)).cast("double")).alias("ratio")), "toxic-word-ratios")
+        over = F.greatest(F.col("ratio") - EXCESS, F.lit(0.0))
+        by_row = words.join(ratio, "word").groupBy(F.col("row").alias(row)).agg(F.sum(F.col("ratio") * F.col("n")).alias("r"), F.sum(over * F.col("n")).alias("e"), F.sum("n").alias("n"))
+        found = by_row.select(row, F.struct((F.col("r") / F.col("n")).alias("ratio"), F.col("e").alias("excess"), F.col("n").alias("n")).alias(out))
+        none = F.struct(F.lit(0.0).alias("ratio"), F.lit(0.0).alias("excess"), F.lit(0).cast("long").alias("n"))
+        return keyed.join(found, row, "left").withColumn(out, F.coalesce(out, none)).drop(row)
+
+    def with_ratios(self, df: DataFrame, text: str, out: str) -> DataFrame:
+        return df.withColumn(out, self.ratios(F.col(text))) if self.rows is None else self.joined(df, text, out)
+
     def score(self, df: DataFrame, text: str = "text", out: str = "score", judged: str | None = None) -> DataFrame:
         """Adds the probability that a text is toxic and, if named, whether it rests on the text's words."""
-        if self.tables is None:
+        if self.tables is None and self.rows is None:
             return df.withColumns({out: F.lit(self.share)} | ({judged: F.lit(False)} if judged else {}))
-        seen = features(*(F.col(f"_toxicity.{c}") for c in ("ratio", "excess", "n")), F.sqrt, F.log1p)
+        found = common.free_name(df, "toxicity", out, judged or "")
+        seen = features(*(F.col(found)[c] for c in ("ratio", "excess", "n")), F.sqrt, F.log1p)
         z = self.weights[0] + sum(F.lit(w) * f for w, f in zip(self.weights[1:], seen, strict=True))
-        p = F.when(F.col("_toxicity.n") > 0, 1 / (1 + F.exp(-z))).otherwise(F.lit(self.share))
-        added = {out: p} | ({judged: F.col("_toxicity.n") > 0} if judged else {})
-        return df.withColumn("_toxicity", self.ratios(F.col(text))).withColumns(added).drop("_toxicity")
+        p = F.when(F.col(found)["n"] > 0, 1 / (1 + F.exp(-z))).otherwise(F.lit(self.share))
+        added = {out: p} | ({judged: F.col(found)["n"] > 0} if judged else {})
+        return self.with_ratios(df, text, found).withColumns(added).drop(found)
 
 
 def features(ratio, excess, n, sqrt, log1p) -> list:
@@ -256,33 +302,36 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, order: int = ORDER, slots: int | None = None, calibration_rows: int = CALIBRATION_ROWS) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, order: int = ORDER, slots: int | None = None, calibration_rows: int = CALIBRATION_ROWS, table_rows: int = TABLE_ROWS) -> ToxicityModel:
     """Fit on the labelled documents outside the held-out fold; labels have (doc_id, toxic).
 
-    ``slots`` has no effect: tables have as many entries as there are n-grams.
+    ``slots`` has no effect: there is an entry for each n-gram. At most ``table_rows`` of them are broadcast.
     """
     spark = docs.sparkSession
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = docs.select("doc_id", "text").where("doc_id is not null").withColumn("fold", fold()).where(F.col("fold") != HELD_OUT)
-    known = common.pin(known.join(marks.hint("shuffle_hash"), "doc_id").select("doc_id", "fold", "toxic", "text"), "toxic-labelled")
+    known = common.pin(known.join(marks.where("toxic in (0, 1)"), "doc_id").select("doc_id", "fold", "toxic", "text"), "toxic-labelled")
     n = known.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0), F.count_if((F.col("toxic") == 1) & (F.col("fold") == CALIBRATION)), F.count_if((F.col("toxic") == 0) & (F.col("fold") == CALIBRATION))).first()
     share = (n[0] + 1) / (n[0] + n[1] + 2) if n[0] + n[1] else 0.0
     if not all(n):
         return ToxicityModel(None, [], share)
     words = common.pin(word_counts(known.withColumn("calibration", F.col("fold") == CALIBRATION)), "toxic-words")
 
-    def tables(words: DataFrame):
+    def counted(words: DataFrame, weights: list[float]) -> ToxicityModel:
         seen, unseen = log_ratios(words, order)
-        return spark.sparkContext.broadcast((_fingerprints(seen, "gram"), _fingerprints(unseen, "context")))
+        if seen.limit(table_rows + 1).count() > table_rows:
+            return ToxicityModel(None, weights, share, order, (seen, common.pin(unseen, "toxic-contexts")))
+        return ToxicityModel(spark.sparkContext.broadcast((_table(seen, "gram", order), _table(unseen, "context", order - 1))), weights, share, order)
 
-    model = ToxicityModel(tables(words.where(~F.col("calibration")).drop("calibration")), [], share, order)
-    sample = known.where(F.col("fold") == CALIBRATION).orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows)
-    rows = sample.select("toxic", model.ratios(F.col("text")).alias("r")).select("toxic", "r.*").toArrow()
+    model = counted(words.where(~F.col("calibration")).drop("calibration"), [])
+    sample = known.where(F.col("fold") == CALIBRATION).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(calibration_rows)
+    rows = model.with_ratios(sample.select("toxic", "text"), "text", "r").select("toxic", "r.*").toArrow()
     ratio, excess, n_words, y = (rows.column(c).to_numpy().astype(float) for c in ("ratio", "excess", "n", "toxic"))
     x = np.stack([np.ones(len(y)), *features(ratio, excess, n_words, np.sqrt, np.log1p)], axis=1)
     weights = [float(w) for w in _logistic(x, y)]
-    model.tables.unpersist()
-    return ToxicityModel(tables(words.groupBy("toxic", "word").agg(F.sum("n").alias("n"))), weights, share, order)
+    if model.tables is not None:
+        model.tables.unpersist()
+    return counted(words.groupBy("toxic", "word").agg(F.sum("n").alias("n")), weights)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
