@@ -51,7 +51,7 @@ def test_edges(spark, folder):
     assert chunks.select("record_id").distinct().count() == len(rows)
     for r in manifest.collect():
         with gzip.open(r["path"].removeprefix("file://")) as f:
-            assert f.read().count(b"WARC-Record-ID") == r["n_records"]
+            assert f.read().count(b"WARC-Record-ID") == r["n_records"] + 1  # and the warcinfo record
     assert warc.read_warc(warc.archive_pages(pages.limit(0), folder + "/none")).count() == 0
 
 
@@ -59,3 +59,34 @@ def test_threshold(spark):
     rows = spark.createDataFrame([(1, b"ab"), (2, b"ab"), (1, b"abcd"), (2, b"abcd")], "page_id long, payload binary")
     decided = warc.decide(warc.payload_digests(rows, ["page_id"]), min_bytes=3)
     assert sorted((r["payload_bytes"], r["page_id"], r["refers_to"]) for r in decided.collect()) == [(2, 1, None), (2, 2, None), (4, 1, 2), (4, 2, None)]
+
+
+def test_references_and_urls(spark, folder):
+    urls = ["http://a/x y\u2028z\r\n%20", None, "", "urn:none", "http://b/é"]
+    rows = [(i, u, "same" if i < 3 else f"p{i}") for i, u in enumerate(urls)]
+    manifest = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), folder)
+    read = {r["page_id"]: r for r in warc.read_warc(manifest).collect()}
+    assert {i: r["url"] for i, r in read.items()} == dict(enumerate(urls))
+    heads = b"".join(gzip.open(r["path"].removeprefix("file://")).read() for r in manifest.collect()).decode()
+    assert heads.count(f"WARC-Refers-To: {read[2]['record_id']}") == 2 and heads.count("WARC-Type: warcinfo") == manifest.count()
+
+
+def test_one_digest_on_a_third_of_the_rows(spark, folder):
+    """The hot digest meets its response in a join that can be split: no task gets all its rows."""
+    pages = spark.range(90_000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("html"))
+    keep = {
+        "spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {k: spark.conf.get(k) for k in keep}
+    for k, v in keep.items():
+        spark.conf.set(k, v)
+    try:
+        decided = warc.decide(warc.payload_digests(pages.select("page_id", F.col("html").alias("payload")).repartition(8), ["page_id"]))
+        assert decided.where("refers_to is not null").count() == 29_999
+        decided.withColumn("p", F.spark_partition_id()).write.parquet(f"{folder}/placed")
+        sizes = [r["count"] for r in spark.read.parquet(f"{folder}/placed").groupBy("p").count().collect()]
+        assert sum(sizes) == 90_000 and max(sizes) < 10_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
