@@ -48,7 +48,7 @@ EXCESS = 2.5
 START, END = "\x02", "\x03"
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 #: N-grams whose ratios are broadcast, at most (12 bytes each, and as much again for their contexts).
-TABLE_ROWS = 1 << 24
+TABLE_ROWS = 1 << 23
 
 
 def fold(doc_id: str | Column = "doc_id") -> Column:
@@ -160,7 +160,8 @@ def _points(text: str) -> np.ndarray:
 def _table(ratios: DataFrame, key: str, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The fingerprints of all keys, of so many letters each, ascending, and their ratios."""
     rows = ratios.select(key, F.col("ratio").cast("float").alias("ratio")).toArrow()
-    keys = _keys(_points("".join(rows.column(key).to_pylist())), order)[0][::order] if rows.num_rows else np.zeros(0, np.uint64)
+    parts = [_keys(_points("".join(b.column(0).to_pylist())), order)[0][::order] for b in rows.to_batches(max_chunksize=1 << 18) if b.num_rows]
+    keys = np.concatenate([np.zeros(0, np.uint64), *parts])
     at = np.argsort(keys)
     return keys[at], rows.column("ratio").to_numpy()[at]
 
