@@ -13,7 +13,9 @@ pair is found with that probability, above it with more. What is found is exact:
 
 Texts of fewer words than an n-gram have one, of all their words; texts without words have their own text as the only one.
 A null text is an empty one. Null ids are kept and are never a class id unless the whole class has none. Repeated rows are
-copies of each other. Cost beyond the shuffle of band hashes grows with what is similar: a bucket of m different texts costs
+copies of each other, and of rows with the least id and one text the one that stays is chosen by a hash of all its columns.
+An empty table gives no rows. :func:`join_ngrams` reads the id and the text alone; :func:`drop_near_copies` keeps all columns,
+whatever their names. Cost beyond the shuffle of band hashes grows with what is similar: a bucket of m different texts costs
 m^2/2 comparisons, spread over tiles.
 """
 
@@ -26,10 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import common
+from tidemark.llm.words import chained, held
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -39,7 +43,7 @@ MAX_HASHES = 192
 BLOCK_NGRAMS = 1 << 20
 BLOCK_TEXTS = 1024
 _WORD = re.compile(r"\w+")
-_CACHE = 200_000
+_CACHE = 1 << 17
 _LAST = (1 << 63) - 1
 
 
@@ -57,32 +61,39 @@ def choose_bands(threshold: float, recall: float, max_hashes: int = MAX_HASHES)
 
 
 class _WordHash(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= _CACHE:
-            self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        return h
+    """word -> a hash of it; the words of late, and as many older ones."""
 
+    def __init__(self):
+        super().__init__()
+        self.old: dict = {}
 
-_words = _WordHash()
+    def __missing__(self, word: str) -> int:
+        h = self.old.get(word)
+        if h is None:
+            h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(word) <= 64:
+            if len(self) >= _CACHE:
+                self.old = dict(self)
+                self.clear()
+            self[word] = h
+        return h
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def word_hashes() -> _WordHash:
+    return held("word hashes", _WordHash)
 
 
-def ngrams(text: str, n: int) -> np.ndarray:
+def ngrams(text: str, n: int, hashes: _WordHash | None = None) -> np.ndarray:
     """The sorted distinct hashes of a text's word n-grams."""
+    hashes = word_hashes() if hashes is None else hashes
     words = _WORD.findall(text.lower())
     if not words:
-        return np.array([_words["\x00" + text]], np.uint64)
-    h = np.array([_words[w] for w in words], np.uint64)
+        return np.array([hashes["\x00" + text]], np.uint64)
+    h = np.array([hashes[w] for w in words], np.uint64)
     k = min(n, len(h))
     x = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
-        x = _mix(x * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
+        x = chained(x, h[i : len(h) - k + 1 + i])
     return np.unique(x)
 
 
@@ -95,7 +106,7 @@ def _signature(sets: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, text_hash, set_id, n_ngrams and the band hashes of each text."""
+    """doc_id, text_hash, row_hash, set_id, n_ngrams and the band hashes of each text."""
     rng = np.random.Generator(np.random.PCG64(7))
     a = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
@@ -103,24 +114,25 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sizes, hashes = [], [], []
-            for text in batch.column(2):
-                s = ngrams(text.as_py(), n)
+            words = word_hashes()
+            for text in batch.column(3):
+                s = ngrams(text.as_py(), n, words)
                 x = np.full(bands, rows, np.uint64)
                 for column in _signature(s, a, b).reshape(bands, rows).T:
-                    x = _mix(x * np.uint64(0x9E3779B97F4A7C15) + column)
+                    x = chained(x, column)
                 ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 sizes.append(len(s))
                 hashes.append(x.view(np.int64))
             flat = pa.array(np.concatenate(hashes) if hashes else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * bands), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), lists], ["doc_id", "text_hash", "set_id", "n_ngrams", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), lists], ["doc_id", "text_hash", "row_hash", "set_id", "n_ngrams", "bands"])
 
-    return _keyed(docs).mapInArrow(sign, "doc_id long, text_hash long, set_id binary, n_ngrams long, bands array<long>")
+    return _keyed(docs).mapInArrow(sign, "doc_id long, text_hash long, row_hash long, set_id binary, n_ngrams long, bands array<long>")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = common.text_or_empty("text")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), common.row_hash(docs).alias("row_hash"), text.alias("text"))
 
 
 def _members(classes: DataFrame) -> DataFrame:
@@ -202,13 +214,14 @@ def _verify(rows: dict, band: int, first: int, second: int, threshold: float) ->
 def _tiles(members: DataFrame, classes: DataFrame, docs: DataFrame, n: int, threshold: float) -> DataFrame:
     """Verified links of all tiles; the n-gram sets are made anew from the texts of the classes that take part."""
     members = common.pin(members, "join-members")
-    needed = classes.join(members.select("set_id").distinct(), "set_id", "left_semi").select("set_id", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_hash").alias("text_hash"), "copies", "bands")
+    needed = classes.join(members.select("set_id").distinct(), "set_id", "left_semi").select("set_id", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_hash").alias("text_hash"), F.col("rep.row_hash").alias("row_hash"), "copies", "bands")
     keyed = _keyed(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(_LAST)))
-    texts = keyed.join(needed.hint("shuffle_hash"), ["doc_id", "text_hash"]).select("set_id", "copies", "bands", "text")
+    texts = keyed.join(needed, ["doc_id", "text_hash", "row_hash"]).select("set_id", "copies", "bands", "text")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = pa.array([ngrams(t.as_py(), n).view(np.int64) for t in batch.column(3)], pa.list_(pa.int64()))
+            words = word_hashes()
+            grams = pa.array([ngrams(t.as_py(), n, words).view(np.int64) for t in batch.column(3)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), grams], ["set_id", "copies", "bands", "ngrams"])
 
     sets = texts.mapInArrow(expand, "set_id binary, copies long, bands array<long>, ngrams array<long>")
@@ -272,15 +285,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def join_ngrams(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One row for each document: doc_id, text_hash, copy_id, class_id, n_links, n_text_links, kept.
+    """One row for each document: doc_id, text_hash, row_hash, copy_id, class_id, n_links, n_text_links, kept.
 
     ``copy_id`` is the least id among the texts with an equal n-gram set, ``class_id`` that of the component of links,
     ``n_links`` counts the other documents that the join links with this one, ``n_text_links`` the different sets among them.
-    ``kept`` names the (id, text hash) of the class's one document that stays.
+    ``kept`` names the (id, text hash, row hash) of the class's one document that stays.
     """
     bands, rows = choose_bands(threshold, recall)
     signed = common.pin(signatures(docs, n, bands, rows), "join-signatures")
-    rep = F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "text_hash")).alias("rep")
+    rep = F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "text_hash", "row_hash")).alias("rep")
     classes = common.pin(signed.groupBy("set_id").agg(rep, F.count("*").alias("copies"), F.first("n_ngrams").alias("n_ngrams"), F.first("bands").alias("bands")), "join-classes")
     links = _tiles(_members(classes), classes, docs, n, threshold)
     label = components(links.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
@@ -291,11 +304,12 @@ def join_ngrams(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, r
         .join(label.withColumnRenamed("node", "set_id"), "set_id", "left")
         .withColumn("label", F.coalesce("label", "set_id"))
     )
-    kept = info.groupBy("label").agg(F.min("rep").alias("kept"))
+    info = common.pin(info, "join-info")
+    kept = common.pin(info.groupBy("label").agg(F.min("rep").alias("kept")), "join-kept")  # pinned: a large class can be split in the join
     info = info.join(kept, "label").select("set_id", "rep", "copies", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("texts", F.lit(0)).alias("texts"), "kept")
     name = lambda c: F.when(F.col(c) != _LAST, F.col(c))
-    return signed.select("doc_id", "text_hash", "set_id").join(info, "set_id").select(
-        "doc_id", "text_hash", name("rep.doc_id").alias("copy_id"), name("kept.doc_id").alias("class_id"),
+    return signed.select("doc_id", "text_hash", "row_hash", "set_id").join(common.pin(info, "join-info"), "set_id").select(
+        "doc_id", "text_hash", "row_hash", name("rep.doc_id").alias("copy_id"), name("kept.doc_id").alias("class_id"),
         (F.col("documents") + F.col("copies") - 1).alias("n_links"), F.col("texts").alias("n_text_links"), "kept",
     )
 
@@ -303,10 +317,12 @@ def join_ngrams(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, r
 def drop_near_copies(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The documents without near copies: of each class the one with the least id stays, with all its columns."""
     kept = join_ngrams(docs, n, threshold, recall).select("kept").distinct().select("kept.*")
-    key = {"_key": F.coalesce("doc_id", F.lit(_LAST)), "_hash": F.xxhash64(common.text_or_empty("text"))}
-    kept = kept.select(F.col("doc_id").alias("_key"), F.col("text_hash").alias("_hash"))
-    return docs.withColumns(key).join(kept.hint("shuffle_hash"), ["_key", "_hash"]).dropDuplicates(["_key", "_hash"]).select(*docs.columns)
+    columns, key = docs.columns, [common.free_name(docs, x) for x in ("id", "text_hash", "row_hash")]
+    keyed = docs.withColumns(dict(zip(key, (F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), F.xxhash64(common.text_or_empty("text")), common.row_hash(docs)), strict=True)))
+    kept = common.pin(kept.select(*[F.col(c).alias(k) for c, k in zip(("doc_id", "text_hash", "row_hash"), key, strict=True)]), "join-kept")
+    # rows alike in all columns have the same key, and one of them is enough
+    return keyed.join(kept, key, "left_semi").dropDuplicates(key).select(*columns)
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_ngrams(common.table(spark, sf_dir, "documents")).drop("text_hash", "kept")
+    return join_ngrams(common.table(spark, sf_dir, "documents")).drop("text_hash", "row_hash", "kept")
