@@ -29,6 +29,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -92,12 +93,15 @@ def _grams(words: DataFrame, order: int) -> DataFrame:
     return rows.groupBy("gram").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("o"))
 
 
-def _discounts(counts: DataFrame, c: str) -> list[float]:
-    """Discounts of counts 1, 2 and from 3 on, by the counts of counts (as Chen and Goodman have them)."""
-    n = counts.agg(*[F.count_if(F.col(c) == i) for i in (1, 2, 3, 4)]).first()
-    n1, n2, n3, n4 = (max(1, x) for x in n)
-    y = n1 / (n1 + 2 * n2)
-    return [min(max(i - (i + 1) * y * b / a, 0.1), i - 0.05) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+def _discounts(*counts: tuple[DataFrame, str]) -> list[list[float]]:
+    """For each (table, column) the discounts of counts 1, 2 and from 3 on, by the counts of counts (as Chen and Goodman have them)."""
+    tables = [t.agg(F.lit(k).alias("k"), *[F.count_if(F.col(c) == i).alias(f"n{i}") for i in (1, 2, 3, 4)]) for k, (t, c) in enumerate(counts)]
+    found = []
+    for row in sorted(reduce(DataFrame.unionByName, tables).collect()):
+        n1, n2, n3, n4 = (max(1, x) for x in row[1:])
+        y = n1 / (n1 + 2 * n2)
+        found.append([min(max(i - (i + 1) * y * b / a, 0.1), i - 0.05) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))])
+    return found
 
 
 def _discounted(c: str, d: list[float]) -> Column:
@@ -120,12 +124,11 @@ def _shared(grams: DataFrame, order: int) -> DataFrame:
     """gram, p: the interpolated Kneser-Ney probability of each pooled n-gram's last letter."""
     levels = [grams.select("gram", (F.col("t") + F.col("o")).alias("c"))]
     for _ in range(order - 1):  # continuation counts: how many different letters stand before
-        levels.append(levels[-1].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("c")))
+        levels.append(common.pin(levels[-1].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("c")), "kneser-ney-counts"))
     levels.reverse()
     total = levels[0].agg(F.sum("c")).first()[0] or 1
     p = levels[0].select("gram", (F.col("c") / total).alias("p"))
-    for level in levels[1:]:
-        d = _discounts(level, "c")
+    for level, d in zip(levels[1:], _discounts(*[(level, "c") for level in levels[1:]]), strict=True):
         known = _with_context(level, F.sum("c").alias("all"), _taken("c", d).alias("taken"))
         lower = p.select(F.col("gram").alias("suffix"), F.col("p").alias("lower"))
         p = known.join(lower, F.expr("substring(gram, 2)") == F.col("suffix")).select("gram", ((_discounted("c", d) + F.col("taken") * F.col("lower")) / F.col("all")).alias("p"))
@@ -136,7 +139,7 @@ def _shared(grams: DataFrame, order: int) -> DataFrame:
 def log_ratios(words: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
     """(gram, n, ratio) of the n-grams seen in either class, and (context, n, ratio) for those not seen after it."""
     grams = common.pin(_grams(words, order), "toxic-grams")
-    dt, do = _discounts(grams, "t"), _discounts(grams, "o")
+    dt, do = _discounts((grams, "t"), (grams, "o"))
     rows = _with_context(grams, F.sum("t").alias("all_t"), F.sum("o").alias("all_o"), _taken("t", dt).alias("taken_t"), _taken("o", do).alias("taken_o")).join(_shared(grams, order), "gram")
     share = lambda c, d: F.when(F.col(f"all_{c}") > 0, (_discounted(c, d) + F.col(f"taken_{c}") * F.col("p")) / F.col(f"all_{c}")).otherwise(F.col("p"))
     left = lambda c: F.when(F.col(f"all_{c}") > 0, F.col(f"taken_{c}") / F.col(f"all_{c}")).otherwise(1.0)
