@@ -12,7 +12,7 @@ from tidemark.llm import registry
 @pytest.mark.parametrize("name", list(registry.oracle_sql()))
 def test_twin(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     df = registry.queries()[name](spark, SMALL)
     result = con.execute(registry.oracle_sql()[name])

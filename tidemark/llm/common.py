@@ -10,6 +10,9 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.sinks import remove
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,7 +35,16 @@ def pin(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there and survives lost executors."""
     path = workdir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.pinned_at = path
+    return made
+
+
+def unpin(*tables: DataFrame) -> None:
+    """Delete tables that :func:`pin` made, once nothing that is still to run reads them; other tables are left alone."""
+    for df in tables:
+        if path := getattr(df, "pinned_at", None):
+            remove(df.sparkSession, path)
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:

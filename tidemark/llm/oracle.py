@@ -29,6 +29,24 @@ MINHASH_EDITS = """WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM doc
 n AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS follower, length(text) AS n_chars FROM d)
 SELECT doc_id, n_chars::BIGINT AS n_chars, sha256(substr(text, 1, n_chars - n_chars // 2) || substr(follower, 1, n_chars // 2)) AS edited_sha256 FROM n"""
 
+def _centroids(k: int, rounds: int, components: int, scale: int, seed: int) -> str:
+    """Lloyd's rounds in full: every vector against every centroid, a pair of expressions for each round. The least of d * 1,000 + c is
+    the nearest centroid, the smaller number where distances tie."""
+    steps = []
+    for t in range(rounds + 1):
+        d = "list_sum(list_transform(range(1, {n} + 1), lambda i: (x.v[i] - y.v[i]) * (x.v[i] - y.v[i])))::BIGINT".format(n=components)
+        steps.append(f"a{t} AS MATERIALIZED (SELECT r, min({d}::HUGEINT * 1000 + c) AS best FROM x CROSS JOIN c{t} y GROUP BY r)")
+        if t < rounds:
+            steps.append(f"s{t} AS MATERIALIZED (SELECT c, i, sum(e)::HUGEINT AS s, count(*) AS n FROM (SELECT (best % 1000)::INT AS c, unnest(v) AS e, generate_subscripts(v, 1) AS i FROM a{t} JOIN x USING (r)) GROUP BY ALL)")
+            steps.append(f"m{t} AS (SELECT c, list((((s - (s % n + n) % n) // n)::BIGINT) ORDER BY i) AS v FROM s{t} GROUP BY c)")
+            steps.append(f"c{t + 1} AS MATERIALIZED (SELECT c, coalesce(m{t}.v, c{t}.v) AS v FROM c{t} LEFT JOIN m{t} USING (c))")
+    return f"""WITH x AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor({scale} * e::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = {components} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256(concat('{seed}:', vec_id)), v) - 1 AS c, v FROM x ORDER BY c LIMIT {k}),
+{", ".join(steps)}, f AS (SELECT r, (best % 1000)::INT AS cluster, (best // 1000)::BIGINT AS distance FROM a{rounds})
+SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+    sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256 FROM f JOIN x USING (r) JOIN c{rounds} ON c = cluster"""
+
 
 def _spans(kind: str, pattern: str, valid: str, group: int = 0) -> str:
     """kind, first, last of the valid matches; offsets follow from the lengths of matches and of what lies between them."""
@@ -66,6 +84,7 @@ SELECT d.doc_id, {counts}, sha256(coalesce(string_agg(concat(kind, ':', first, '
 ORACLE = {
     "op4_ngram_join": NGRAM_JOIN,
     "op9_warc": WARC,
+    "op11_centroids": _centroids(40, 5, 64, 256, 2),
     "minhash_edits": MINHASH_EDITS,
     "pii_base": _base(_PII, "kind_rank, first"),
     "secrets_base": _base(_SECRETS, "first, kind_rank"),

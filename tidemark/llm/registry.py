@@ -6,19 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.alignment import op13_alignment
 from tidemark.llm.ann import op3_ann
+from tidemark.llm.centroids import op11_centroids
 from tidemark.llm.mixing import op7_mixing
 from tidemark.llm.ngram_join import op4_ngram_join
 from tidemark.llm.oracle import ORACLE
 from tidemark.llm.order_minhash import op2_order_minhash
 from tidemark.llm.packing import op10_packing
 from tidemark.llm.pii import op6_pii
+from tidemark.llm.quality import op12_quality
 from tidemark.llm.secrets import op8_secrets
 from tidemark.llm.tokens import op5_token_files
 from tidemark.llm.toxicity import op1_toxicity
 from tidemark.llm.warc import op9_warc
 
-OPERATORS = (op1_toxicity, op2_order_minhash, op3_ann, op4_ngram_join, op5_token_files, op6_pii, op7_mixing, op8_secrets, op9_warc, op10_packing)
+OPERATORS = (op1_toxicity, op2_order_minhash, op3_ann, op4_ngram_join, op5_token_files, op6_pii, op7_mixing, op8_secrets, op9_warc, op10_packing, op11_centroids, op12_quality, op13_alignment)
 
 
 def minhash_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
