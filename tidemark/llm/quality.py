@@ -145,16 +145,27 @@ class QualityModel:
         if not self.weights:
             return df.withColumn(out, F.lit(self.share))
         found = common.free_name(df, "quality", out)
+        return self.score_features(df.withColumn(found, features(F.col(text))), found, out).drop(found)
+
+    def score_features(self, df: DataFrame, found: str, out: str = "score") -> DataFrame:
+        """As :meth:`score`, over the features in column ``found``."""
+        if not self.weights:
+            return df.withColumn(out, F.lit(self.share))
         z = self.strength(F.col(found)["x"]) - F.lit(self.threshold) + F.lit(math.log(self.cut / (1 - self.cut)))
         p = F.when(F.col(found)["n"] > 0, 1 / (1 + F.exp(-z))).otherwise(F.lit(self.share))
-        return df.withColumn(found, features(F.col(text))).withColumn(out, p).drop(found)
+        return df.withColumn(out, p)
 
 
 def train(docs: DataFrame, labels: DataFrame, pair_rows: int = PAIR_ROWS, partners: int = PARTNERS, quantile_rows: int = QUANTILE_ROWS) -> QualityModel:
     """Fit on the labelled documents outside the held-out fold; labels have (doc_id, quality)."""
+    return train_features(docs.select("doc_id", features(F.col("text")).alias("f")), labels, pair_rows, partners, quantile_rows)
+
+
+def train_features(docs: DataFrame, labels: DataFrame, pair_rows: int = PAIR_ROWS, partners: int = PARTNERS, quantile_rows: int = QUANTILE_ROWS) -> QualityModel:
+    """As :func:`train`, over (doc_id, f: features)."""
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")).where("quality in (0, 1)")
-    known = docs.select("doc_id", "text").where("doc_id is not null").where(fold() != HELD_OUT).join(marks, "doc_id")
-    known = common.pin(known.select("doc_id", "quality", features(F.col("text")).alias("f")).where("f.n > 0").select("doc_id", "quality", "f.x"), "quality-features")
+    known = docs.where("doc_id is not null").where(fold() != HELD_OUT).join(marks, "doc_id").select("doc_id", "quality", F.col("f.n").alias("n"), F.col("f.x").alias("x"))
+    known = common.pin(known, "quality-features").where("n > 0")  # pinned before the filter, so that features are computed once
     n_good, n_poor = known.agg(F.count_if(F.col("quality") == 1), F.count_if(F.col("quality") == 0)).first()
     n = n_good + n_poor
     share = (n_good + 1) / (n + 2)
@@ -173,6 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, pair_rows: int = PAIR_ROWS, partne
 
 
 def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = train(docs, common.table(spark, sf_dir, "labels"))
-    return model.score(docs).select("doc_id", (fold() == HELD_OUT).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+    docs = common.table(spark, sf_dir, "documents")
+    seen = common.pin(docs.select("doc_id", features(F.col("text")).alias("f")), "quality-all")  # each text is read once, and never shuffled
+    model = train_features(seen, common.table(spark, sf_dir, "labels"))
+    return model.score_features(seen, "f").select("doc_id", (fold() == HELD_OUT).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
