@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,12 +28,12 @@ def plain(rows):
         if text:
             raw = (" " + text).encode()
             a, b = al.a.encode(" " + text, add_special_tokens=False).ids, al.b.encode(text)
-            if b"".join(al.bytes_a[i] for i in a) == raw == b"".join(al.bytes_b[i] for i in b):
+            if b"".join(al.bytes_a.words[i] for i in a) == raw == b"".join(al.bytes_b.words[i] for i in b):
                 ends = []
                 for ids, table in ((a, al.bytes_a), (b, al.bytes_b)):
                     at, upto = 0, []
                     for i in ids:
-                        at += len(table[i])
+                        at += len(table.words[i])
                         upto.append(at)
                     ends.append(upto)
                 last = [0, 0]
@@ -93,6 +94,8 @@ def test_spans_and_bytes_agree(text):
     al = alignment.Aligner()
     e, p = al.a.encode(" " + text, add_special_tokens=False), al.b.encode(text, return_type="proto")
     ids = [x.id for x in p.pieces]
-    if b"".join(al.bytes_b[i] for i in ids) == (" " + text).encode():
-        for ends, sizes in ((al.ends_a(e.ids, e.offsets, " " + text), [len(al.bytes_a[i]) for i in e.ids]), (al.ends_b(ids, [(x.begin, x.end) for x in p.pieces], 1), [len(al.bytes_b[i]) for i in ids])):
-            assert ends == [sum(sizes[: i + 1]) for i in range(min(len(sizes), 400))] + ends[400:]
+    if b"".join(al.bytes_b.words[i] for i in ids) == (" " + text).encode():
+        for made, table, expected in ((al._encoded_a(["x", " " + text, ""]), al.bytes_a, e.ids), (al._encoded_b(["x", text, ""], np.zeros(3, bool)), al.bytes_b, ids)):
+            got, ends, starts = made[:3]
+            assert got[starts[1] : starts[2]].tolist() == expected
+            assert ends[starts[1] : starts[2]].tolist() == np.cumsum(table.size[expected]).tolist()

@@ -48,23 +48,65 @@ TOKENIZER_B = public_tokenizers.path("piece_bpe_32k.model")
 TABLE_ROWS = 1 << 22
 #: Text in a slice, and pieces that a worker keeps.
 SLICE_BYTES = 1 << 22
-CACHE_PIECES = 1 << 16
+CACHE_PIECES = 1 << 18
+#: Characters whose encodings are held at once.
+BATCH_CHARS = 1 << 15
 _SPACE = "▁"
 #: White space (as the tokenizers' patterns have it) beside white space, or at either end; and the sign that B has for a space.
 _ODD = r"[\s\x0b\x{85}\p{Z}][\s\x0b\x{85}\p{Z}]|^[\s\x0b\x{85}\p{Z}]|[\s\x0b\x{85}\p{Z}]$|[\x1c-\x1f]|" + _SPACE
 
 
-class Piece(NamedTuple):
-    """What a stretch of text has: tokens, groups, links, the groups as text, and its links as numbers."""
+class Pieces(NamedTuple):
+    """Stretches of text: whether their bytes are right, their tokens (A, B), groups and links, the groups as text, and their
+    links in a row, those of the i-th from ``first[i]`` on."""
 
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_links: int
-    groups: str
+    right: np.ndarray
+    sizes: np.ndarray
+    groups: list[str]
+    first: np.ndarray
     links: np.ndarray
 
 
+def _none() -> Pieces:
+    return Pieces(np.zeros(0, bool), np.zeros((0, 4), np.int64), [], np.zeros(1, np.int64), np.zeros(0, np.int64))
+
+
+def _chained(parts: list[Pieces]) -> Pieces:
+    links = np.concatenate([p.links for p in parts])
+    sizes = np.concatenate([p.sizes for p in parts])
+    return Pieces(np.concatenate([p.right for p in parts]), sizes, [g for p in parts for g in p.groups], np.concatenate([[0], np.cumsum(sizes[:, 3])]), links)
+
+
+class _Bytes:
+    """The bytes of all ids of a vocabulary in a row."""
+
+    def __init__(self, words: list[bytes]):
+        self.words = words
+        self.size = np.array([len(w) for w in words], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(words), np.uint8)
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        return self.flat[_ranges(self.first[ids], self.size[ids])]
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... of size[0] numbers, then those from first[1] on, and so on."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def _since(exact: np.ndarray, ends: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """``ends`` where they are exact; elsewhere the last exact end of the same text, or its start, and the bytes since."""
+    n = len(ends)
+    at = np.arange(n)
+    begun = np.zeros(n, bool)
+    begun[starts[starts < n]] = True
+    base = np.maximum.accumulate(np.where(exact | begun, at, 0))  # an exact token, or the first of its text
+    upto = np.cumsum(sizes)
+    fresh = begun[base] & ~exact[base]
+    return np.where(exact, ends, np.where(fresh, upto - upto[base] + sizes[base], ends[base] + upto - upto[base]))
+
+
 class Aligner:
     """Both tokenizers, the bytes of their ids, and the pieces seen of late."""
 
@@ -76,83 +118,130 @@ class Aligner:
         rest = [b for b in range(256) if b not in own]
         byte_of = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
         vocabulary = self.a.get_vocab()
-        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
+        words = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
-            self.bytes_a[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
+            words[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
+        self.bytes_a = _Bytes(words)
         self.n_b = self.b.vocab_size()
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.n_b))]
-        self.byte_ids = {i for i in range(self.n_b) if self.b.is_byte(i)}
+        self.is_byte = np.array([self.b.is_byte(i) for i in range(self.n_b)])
+        self.bytes_b = _Bytes([bytes([int(p[3:5], 16)]) if self.is_byte[i] else p.replace(_SPACE, " ").encode() for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.n_b))])
         self.lone = self.b.piece_to_id(_SPACE)
-        self.seen: dict[str, Piece | None] = {}
-
-    def ends_a(self, ids: list[int], offsets: list[tuple[int, int]], text: str) -> list[int]:
-        """Byte ends of A's tokens: those of their spans, decoded bytes where spans share a character."""
-        at = range(len(text) + 1) if text.isascii() else np.cumsum([0, *[len(c.encode()) for c in text]]).tolist()
-        ends, end = [], 0
-        for i, (_, last) in enumerate(offsets):
-            shared = i + 1 < len(offsets) and offsets[i + 1][0] < last
-            end = end + len(self.bytes_a[ids[i]]) if shared else at[last]
-            ends.append(end)
-        return ends
-
-    def ends_b(self, ids: list[int], spans: list[tuple[int, int]], before: int) -> list[int]:
-        """Byte ends of B's pieces; spans begin after ``before`` bytes that B adds itself, byte-fallback pieces end by their bytes."""
-        ends, end = [], 0
-        for i, (_, last) in zip(ids, spans, strict=True):
-            end = end + 1 if i in self.byte_ids else last + before
-            ends.append(end)
-        return ends
-
-    def align(self, text: str, found: tuple, proto, joined: bool) -> Piece | None:
-        """The piece of a text from both encodings; None if their bytes are not the text's.
-
-        ``joined`` texts follow a character without a space, so the space that B adds is taken off again.
-        """
-        ids_a, offsets = found
-        ids_b, spans = [p.id for p in proto.pieces], [(p.begin, p.end) for p in proto.pieces]
-        before = 1
-        if joined:
-            if not ids_b or ids_b[0] != self.lone:
-                return None
-            ids_b, spans, before = ids_b[1:], spans[1:], 0
-        whole = text if joined else " " + text
-        raw = whole.encode("utf-8", "surrogatepass")
-        if b"".join([self.bytes_a[i] for i in ids_a]) != raw or b"".join([self.bytes_b[i] for i in ids_b]) != raw:
-            return None
-        ends_a, ends_b = self.ends_a(ids_a, offsets, whole), self.ends_b(ids_b, spans, before)
-        both = sorted(set(ends_a) & set(ends_b))
-        groups, links, i, j = [], [], 0, 0
-        for cut in both:
-            i0, j0 = i, j
-            i, j = ends_a.index(cut, i) + 1, ends_b.index(cut, j) + 1
-            a, b = ids_a[i0:i], ids_b[j0:j]
-            groups.append(f"{','.join(map(str, a))}|{','.join(map(str, b))}")
-            links += [x * self.n_b + y for x in a for y in b]
-        return Piece(len(ids_a), len(ids_b), len(both), len(links), ";".join(groups), np.array(links, np.int64))
-
-    def encode(self, texts: list[str]) -> list[Piece | None]:
-        """Pieces of texts; one that begins with a line feed follows another character."""
-        joined = [t.startswith("\n") for t in texts]
-        found = self.a.encode_batch([t if j else " " + t for t, j in zip(texts, joined, strict=True)], add_special_tokens=False)
+        # a token as text and what follows it: another of its side, the other side or group
+        self.signs = [f"{i}{sign}" for n, signs in ((len(words), ",|"), (self.n_b, ",;")) for i in range(n) for sign in signs]
+        self.seen: dict[str, int] = {}
+        self.used = np.zeros(0, np.int64)
+        self.store = _none()
+
+    def _encoded_a(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids, the byte ends of their tokens and the first token of each text."""
+        found = self.a.encode_batch(texts, add_special_tokens=False)
+        count = np.array([len(e) for e in found], np.int64)
+        total, starts = int(count.sum()), np.cumsum(count) - count
+        ids = np.fromiter((i for e in found for i in e.ids), np.int64, total)
+        spans = np.fromiter((x for e in found for o in e.offsets for x in o), np.int64, 2 * total).reshape(-1, 2)
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+        upto = np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))])  # bytes before each character
+        chars = np.array([len(t) for t in texts], np.int64)
+        zero = np.repeat(np.cumsum(chars) - chars, count)
+        ends = upto[zero + spans[:, 1]] - upto[zero]
+        exact = np.ones(total, bool)  # a token that shares its last character with the next ends inside it
+        exact[:-1] = spans[1:, 0] >= spans[:-1, 1]
+        exact[np.append(starts[1:], total) - 1] = True
+        return ids, _since(exact, ends, self.bytes_a.size[ids], starts), starts
+
+    def _encoded_b(self, texts: list[str], joined: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As :meth:`_encoded_a`; and whether a joined text begins with the lone space that B adds, which is taken off."""
         protos = self.b.encode(texts, return_type="proto", num_threads=1)
-        return [self.align(t, (e.ids, e.offsets), p, j) for t, e, p, j in zip(texts, found, protos, joined, strict=True)]
-
-    def whole(self, text: str) -> Piece | None:
-        """A text by itself, whatever white space it has."""
-        if not text:
-            return None
-        e = self.a.encode(" " + text, add_special_tokens=False)
-        return self.align(text, (e.ids, e.offsets), self.b.encode(text, return_type="proto"), False)
-
-    def pieces(self, texts: list[str]) -> list[Piece | None]:
-        """Pieces of distinct texts, those seen of late from memory."""
+        ids_, ends_, count_ = [], [], []
+        for p in protos:
+            pieces = p.pieces
+            count_.append(len(pieces))
+            ids_ += [x.id for x in pieces]
+            ends_ += [x.end for x in pieces]
+        ids, ends, count = (np.array(x, np.int64) for x in (ids_, ends_, count_))
+        starts = np.cumsum(count) - count
+        right = np.ones(len(texts), bool)
+        if joined.any():
+            right[joined] = (count[joined] > 0) & (ids[np.minimum(starts[joined], len(ids) - 1)] == self.lone) if len(ids) else False
+            keep = np.ones(len(ids), bool)
+            keep[starts[joined & right]] = False
+            ids, ends, count = ids[keep], ends[keep], count - (joined & right)
+            starts = np.cumsum(count) - count
+        ends = ends + np.repeat(~joined, count)  # the space that B adds is a byte before all spans
+        return ids, _since(~self.is_byte[ids], ends, self.bytes_b.size[ids], starts), starts, right
+
+    def align(self, texts: list[str], joined: np.ndarray) -> Pieces:
+        """Texts that stand after a space of their own or, if ``joined``, after another character."""
+        parts = []
+        sizes = np.cumsum([len(t) for t in texts])
+        a = 0
+        while a < len(texts):  # encodings of few texts at a time: each is an object of its tokenizer
+            b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + BATCH_CHARS, "right")))
+            parts.append(self._align(texts[a:b], joined[a:b]))
+            a = b
+        return _chained(parts) if parts else _none()
+
+    def _align(self, texts: list[str], joined: np.ndarray) -> Pieces:
+        n = len(texts)
+        whole = [t if j else " " + t for t, j in zip(texts, joined.tolist(), strict=True)]
+        raw = [t.encode("utf-8", "surrogatepass") for t in whole]
+        size = np.array([len(r) for r in raw], np.int64)
+        id_a, end_a, start_a = self._encoded_a(whole)
+        id_b, end_b, start_b, right = self._encoded_b(texts, joined)
+        row_a, row_b = (np.repeat(np.arange(n), np.diff(np.append(s, len(i)))) for s, i in ((start_a, id_a), (start_b, id_b)))
+        flat = np.frombuffer(b"".join(raw), np.uint8)
+        for ids, row, table in ((id_a, row_a, self.bytes_a), (id_b, row_b, self.bytes_b)):
+            length = np.bincount(row, table.size[ids], n).astype(np.int64)
+            right &= length == size
+            same = right[row]  # of those of the right length, the bytes
+            mine = np.repeat(np.arange(n), np.where(right, size, 0))
+            differ = table.joined(ids[same]) != flat[np.repeat(right, size)]
+            right[mine[differ]] = False
+        keep = right[row_a]
+        id_a, end_a, row_a = id_a[keep], end_a[keep], row_a[keep]
+        keep = right[row_b]
+        id_b, end_b, row_b = id_b[keep], end_b[keep], row_b[keep]
+        # a cut is an end of both; groups are numbered by the cuts before them, over all texts
+        before = np.cumsum(size) - size
+        at_a, at_b = before[row_a] + end_a, before[row_b] + end_b
+        cut_a, cut_b = np.isin(at_a, at_b), np.isin(at_b, at_a)
+        group_a, group_b = np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b
+        n_groups = int(cut_a.sum())
+        in_a, in_b = np.bincount(group_a, minlength=n_groups), np.bincount(group_b, minlength=n_groups)
+        partners = in_b[group_a]
+        links = np.repeat(id_a, partners) * self.n_b + id_b[_ranges((np.cumsum(in_b) - in_b)[group_a], partners)]
+        sizes = np.stack([np.bincount(row_a, minlength=n), np.bincount(row_b, minlength=n), np.bincount(row_a[cut_a], minlength=n), np.bincount(row_a, partners, n).astype(np.int64)], axis=1)
+        sign = np.concatenate([2 * id_a + cut_a, 2 * len(self.bytes_a.words) + 2 * id_b + cut_b])
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        written = [self.signs[i] for i in sign[order].tolist()]
+        ends = np.cumsum(sizes[:, 0] + sizes[:, 1]).tolist()
+        groups = ["".join(written[a:b])[:-1] for a, b in zip([0, *ends], ends)]
+        return Pieces(right, sizes, groups, np.concatenate([[0], np.cumsum(sizes[:, 3])]), links)
+
+    def pieces(self, texts: list[str]) -> np.ndarray:
+        """The places in :attr:`store` of distinct texts; those not seen of late are encoded. One that begins with a line feed
+        follows another character."""
+        if len(self.seen) > CACHE_PIECES:
+            self._forget()
         new = [t for t in texts if t not in self.seen]
-        made = dict(zip(new, self.encode(new), strict=True)) if new else {}
-        out = [made[t] if t in made else self.seen[t] for t in texts]
-        if len(self.seen) + len(made) > CACHE_PIECES:
-            self.seen.clear()
-        self.seen.update(list(made.items())[:CACHE_PIECES])
-        return out
+        if new:
+            self.seen.update(zip(new, range(len(self.seen), len(self.seen) + len(new))))
+            self.store = _chained([self.store, self.align(new, np.array([t.startswith("\n") for t in new], bool))])
+            self.used = np.append(self.used, np.zeros(len(new), np.int64))
+        places = np.array([self.seen[t] for t in texts], np.int64)
+        self.used[places] += 1
+        return places
+
+    def _forget(self) -> None:
+        """Keep the pieces that more than one slice had, unless they are most of all."""
+        keep = self.used > 1
+        if keep.sum() > CACHE_PIECES // 2:
+            keep[:] = False
+        names = [t for t, k in zip(self.seen, keep.tolist(), strict=True) if k]
+        s = self.store
+        links = s.links[_ranges(s.first[:-1][keep], s.sizes[keep, 3])]
+        self.store = Pieces(s.right[keep], s.sizes[keep], [s.groups[i] for i in np.flatnonzero(keep).tolist()], np.concatenate([[0], np.cumsum(s.sizes[keep, 3])]), links)
+        self.seen, self.used = {t: i for i, t in enumerate(names)}, np.ones(len(names), np.int64)
 
 
 class Aligned(NamedTuple):
@@ -173,42 +262,31 @@ def align_slice(aligner: Aligner, texts: pa.Array) -> Aligned:
     split = pc.split_pattern(pc.replace_substring(pc.if_else(pa.array(odd | empty), "", texts), "\n", " \n"), " ")
     found = split.flatten().dictionary_encode()
     starts = split.offsets.to_numpy() - split.offsets[0].as_py()
-    codes = found.indices.to_numpy()
-    names = found.dictionary.to_pylist()
-    made = [None if not t else p for t, p in zip(names, aligner.pieces([t or "-" for t in names]), strict=True)]
-    failed = np.array([p is None for p in made], bool)
-    sizes = np.array([(0,) * 4 if p is None else p[:4] for p in made], np.int64).reshape(-1, 4)
+    place = aligner.pieces(found.dictionary.to_pylist())[found.indices.to_numpy()]
+    store = aligner.store
     row = np.repeat(np.arange(m), np.diff(starts))
-    again = odd | (np.bincount(row, failed[codes], m) > 0) & ~empty
-    counts = np.stack([np.bincount(row, sizes[codes, c], m) for c in range(4)], axis=1).astype(np.int64)
-    counts[again | empty] = 0
-    strings = ["" if p is None else p.groups for p in made]
-    digests = [""] * m
-    for i in np.flatnonzero(~(again | empty)).tolist():
-        digests[i] = hashlib.sha256(";".join([strings[c] for c in codes[starts[i] : starts[i + 1]].tolist()]).encode()).hexdigest()
-    # distinct pieces of each text, then their links
-    use = ~(again | empty)[row]
-    key, seen = np.unique(row[use].astype(np.int64) * max(1, len(names)) + codes[use], return_counts=True)
-    r, c = key // max(1, len(names)), key % max(1, len(names))
-    flat = np.concatenate([np.zeros(0, np.int64), *[p.links for p in made if p is not None]])
-    size = sizes[:, 3]
-    first = np.cumsum(size) - size
-    each = size[c]
-    at = np.repeat(first[c] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
-    rows, links, times = [np.repeat(r, each)], [flat[at]], [np.repeat(seen, each)]
+    again = odd | (np.bincount(row, ~store.right[place], m) > 0) & ~empty
+    plain = ~(again | empty)
+    use = plain[row]
+    row, place = row[use], place[use]
+    counts = np.stack([np.bincount(row, store.sizes[place, c], m) for c in range(4)], axis=1).astype(np.int64)
+    digests, ends = [""] * m, np.searchsorted(row, np.arange(m + 1)).tolist()
+    names = place.tolist()
+    for i in np.flatnonzero(plain).tolist():
+        digests[i] = hashlib.sha256(";".join([store.groups[c] for c in names[ends[i] : ends[i + 1]]]).encode()).hexdigest()
+    each = store.sizes[place, 3]
+    rows, links = [np.repeat(row, each)], [store.links[_ranges(store.first[place], each)]]
     for i in np.flatnonzero(again).tolist():
-        p = aligner.whole(texts[i].as_py())
-        if p is not None:
-            counts[i], digests[i] = p[:4], hashlib.sha256(p.groups.encode()).hexdigest()
-            rows.append(np.full(p.n_links, i))
+        p = aligner.align([texts[i].as_py()], np.zeros(1, bool))
+        if p.right[0]:
+            counts[i], digests[i] = p.sizes[0], hashlib.sha256(p.groups[0].encode()).hexdigest()
+            rows.append(np.full(len(p.links), i))
             links.append(p.links)
-            times.append(np.ones(p.n_links, np.int64))
-    row, link, n = (np.concatenate(x) for x in (rows, links, times))
-    order = np.lexsort((link, row))
-    row, link, n = row[order], link[order], n[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (link[1:] != link[:-1])
-    return Aligned(counts, digests, row[new], link[new], np.add.reduceat(n, np.flatnonzero(new)) if len(n) else n)
+    most = len(aligner.bytes_a.words) * aligner.n_b
+    keys = np.sort(np.concatenate(rows) * most + np.concatenate(links))  # a slice has far fewer rows than 2^63 / most
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    distinct = keys[first]
+    return Aligned(counts, digests, distinct // most, distinct % most, np.diff(np.append(first, len(keys))))
 
 
 def align_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", paths: tuple[str, str] = (TOKENIZER_A, TOKENIZER_B)) -> DataFrame:
