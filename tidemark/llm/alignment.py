@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -137,8 +138,8 @@ class Aligner:
         found = self.a.encode_batch(texts, add_special_tokens=False)
         count = np.array([len(e) for e in found], np.int64)
         total, starts = int(count.sum()), np.cumsum(count) - count
-        ids = np.fromiter((i for e in found for i in e.ids), np.int64, total)
-        spans = np.fromiter((x for e in found for o in e.offsets for x in o), np.int64, 2 * total).reshape(-1, 2)
+        ids = np.fromiter(chain.from_iterable([e.ids for e in found]), np.int64, total)
+        spans = np.fromiter(chain.from_iterable(chain.from_iterable([e.offsets for e in found])), np.int64, 2 * total).reshape(-1, 2)
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
         upto = np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))])  # bytes before each character
         chars = np.array([len(t) for t in texts], np.int64)
@@ -204,16 +205,20 @@ class Aligner:
         # a cut is an end of both; groups are numbered by the cuts before them, over all texts
         before = np.cumsum(size) - size
         at_a, at_b = before[row_a] + end_a, before[row_b] + end_b
-        cut_a, cut_b = np.isin(at_a, at_b), np.isin(at_b, at_a)
+        ends_a, ends_b = np.zeros((2, len(flat) + 1), bool)
+        ends_a[at_a] = ends_b[at_b] = True
+        cut_a, cut_b = ends_b[at_a], ends_a[at_b]
         group_a, group_b = np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b
         n_groups = int(cut_a.sum())
         in_a, in_b = np.bincount(group_a, minlength=n_groups), np.bincount(group_b, minlength=n_groups)
         partners = in_b[group_a]
-        links = np.repeat(id_a, partners) * self.n_b + id_b[_ranges((np.cumsum(in_b) - in_b)[group_a], partners)]
+        first_b, last_a = np.cumsum(in_b) - in_b, np.cumsum(in_a)
+        links = np.repeat(id_a, partners) * self.n_b + id_b[_ranges(first_b[group_a], partners)]
         sizes = np.stack([np.bincount(row_a, minlength=n), np.bincount(row_b, minlength=n), np.bincount(row_a[cut_a], minlength=n), np.bincount(row_a, partners, n).astype(np.int64)], axis=1)
-        sign = np.concatenate([2 * id_a + cut_a, 2 * len(self.bytes_a.words) + 2 * id_b + cut_b])
-        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
-        written = [self.signs[i] for i in sign[order].tolist()]
+        sign = np.empty(len(id_a) + len(id_b), np.int64)  # the A tokens of each group, then its B tokens
+        sign[np.arange(len(id_a)) + first_b[group_a]] = 2 * id_a + cut_a
+        sign[np.arange(len(id_b)) + last_a[group_b]] = 2 * len(self.bytes_a.words) + 2 * id_b + cut_b
+        written = [self.signs[i] for i in sign.tolist()]
         ends = np.cumsum(sizes[:, 0] + sizes[:, 1]).tolist()
         groups = ["".join(written[a:b])[:-1] for a, b in zip([0, *ends], ends)]
         return Pieces(right, sizes, groups, np.concatenate([[0], np.cumsum(sizes[:, 3])]), links)
