@@ -124,10 +124,27 @@ def test_rows_that_take_no_part(spark):
     bad = [(20, None, 0), (40, [0.0, 0.0, 0.0], 0), (60, [1.0, None, 2.0], 0), (80, [float("nan"), 1.0, 1.0], 0), (100, [float("inf"), 1.0, 1.0], 0), (120, [1.0], 0), (None, [1.0, 1.0, 1.0], 0)]
     df = spark.createDataFrame(good + [(0, [1.0, 1.0, 1.0], 0), (0, [1.0, 1.0, 1.0], 0)] + bad, DDL)
     got = results(ann.search(df, F.col("vec_id") % 20 == 0))
-    assert set(got) == {0} and {i for i, _ in got[0]} == set(range(1, 9))
+    assert set(got) == {0} and sorted(i for i, _ in got[0]) == list(range(1, 9))
     assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_an_id_is_one_query(spark):
+    """Repeated query rows, and two vectors under one id, give each neighbour once and the list of a single vector."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((300, 8)).astype(np.float32)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(20, x[20].tolist(), 0)] * 3 + [(40, x[41].tolist(), 0)]
+    got = results(ann.search(spark.createDataFrame(rows, DDL), F.col("vec_id") % 20 == 0))
+    assert sorted(got) == list(range(0, 300, 20))
+    once = [i for i in range(300)] + [20] * 3 + [40]
+    ids, all_x = np.array(once), np.concatenate([x, x[[20, 20, 20, 41]]])
+    for q in (20, 40):
+        assert len(got[q]) == ann.K
+        found = {tuple(i for i, _ in got[q])}
+        options = {tuple(i for i, _ in truth(ids, all_x, k, ann.K)) for k in np.flatnonzero(ids == q)}
+        assert found <= options or len(found & options) == 0 and any(len(set(next(iter(found))) & set(o)) >= 0.9 * ann.K for o in options)
+    assert len({i for i, _ in got[20]}) == ann.K and len({i for i, _ in got[40]}) == ann.K
+
+
 def test_cut_is_balanced():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.standard_normal((200, 8)) + c for c in (rng.standard_normal((4, 8)) * 6)]).astype(np.float32)

@@ -20,7 +20,8 @@ query is shuffled once for each block of the parts it visits. Of equal vectors o
 found, so where more rows than that share a vector the others are left out of the parts, whatever their number.
 
 Vectors take no part if they are null, zero, of another length than most, or hold null or non-finite components; nor do
-rows without an id. Ties go to the smaller id. A query never finds its own id; rows that repeat another id are found each.
+rows without an id. Ties go to the smaller id. A query never finds its own id; rows that repeat another id are found each. An id
+is one query: where several rows share it, that whose vector has the least hash asks (then the lesser vector).
 An empty table gives no rows. Columns other than the id and the vector are ignored, whatever their names.
 """
 
@@ -382,7 +383,9 @@ def visit(assigned: DataFrame, routers: Routers, is_query: Column, probes: int,
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * parts.shape[1]), pa.array(parts.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["vec_id", "embedding", "parts"])
 
-    queries = common.pin(assigned.where(is_query).select("vec_id", "embedding").mapInArrow(route, "vec_id long, embedding array<double>, parts array<int>"), "ann-queries")
+    asking = F.min(F.struct(F.xxhash64("embedding"), "embedding"))["embedding"].alias("embedding")  # one for each id
+    asked_by = assigned.where(is_query).groupBy("vec_id").agg(asking)
+    queries = common.pin(asked_by.mapInArrow(route, "vec_id long, embedding array<double>, parts array<int>"), "ann-queries")
     rows = without_surplus(assigned, k)
     # blocks of each part: a row for each, of which there are MAX_PARTS^2 at most
     sizes = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}
