@@ -197,6 +197,34 @@ def test_joined_scores_are_those_of_the_tables(spark):
         assert a[0] == b[0] and abs(a[3] - b[3]) < 1e-9
 
 
+def test_calibration_folds():
+    assert tx.calibration_folds({1: {1: 5, 4: 2}, 0: {4: 9, 2: 1}}) == {1: (4, False), 0: (4, False)}
+    assert tx.calibration_folds({1: {1: 5, 3: 2}, 0: {4: 9}}) == {1: (3, False), 0: (4, True)}
+
+
+def test_a_class_that_the_calibration_fold_lacks(spark):
+    """Labels of which fold 4 has no toxic one, or of which all toxic ones are in fold 4, still separate."""
+    rows = corpus(500)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    in_fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    for keep in (lambda i, bad: not (bad and in_fold(i) == 4), lambda i, bad: not bad or in_fold(i) == 4, lambda i, bad: not (not bad and in_fold(i) == 4)):
+        labels = spark.createDataFrame([(i, bad) for i, _, bad in rows if keep(i, bad)], "doc_id long, toxic int")
+        got = {r["doc_id"]: r["score"] for r in tx.train(docs, labels).score(docs).collect()}
+        held = [(got[i], bad) for i, _, bad in rows if in_fold(i) == 0]
+        assert len({s for s, _ in held}) > 10
+        toxic, plain = ([s for s, b in held if b == k] for k in (1, 0))
+        assert sum(a > b for a in toxic for b in plain) > 0.9 * len(toxic) * len(plain)
+
+
+def test_a_bounded_calibration_sample(spark):
+    rows = corpus(400)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, bad) for i, _, bad in rows], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in tx.train(docs, labels, calibration_rows=40).score(docs).collect()}
+    bad = dict((i, b) for i, _, b in rows)
+    assert max(s for i, s in got.items() if not bad[i]) < min(s for i, s in got.items() if bad[i])
+
+
 def test_registered_query(spark):
     got = tx.op1_toxicity(spark, SMALL).collect()
     assert len(got) == 200 and all(r["predicted"] == (r["score"] >= 0.5) for r in got)

@@ -14,7 +14,8 @@ their n-grams with it, and the texts by joining their words (:meth:`ToxicityMode
 
 A text's score is a logistic function of its log-likelihood ratio per word, of the part of it above EXCESS and of its
 length, fitted on the ratios of a fold under counts that have not seen it, at most ``CALIBRATION_ROWS`` rows of it. Then that
-fold is counted as well, and texts are scored with the counts of all.
+fold is counted as well, and texts are scored with the counts of all. A class that this fold lacks, or that no other has, is
+calibrated on another fold of its own; one with rows in a single fold is calibrated on what was counted.
 
 A null or empty text has no words; its score is the smoothed share of toxic labels, as is every score without labels of
 both classes. Very long texts are split in slices and cost linear time. Repeated rows are scored alike, each; a document
@@ -30,6 +31,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -306,6 +308,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
+def calibration_folds(counts: dict[int, dict[int, int]]) -> dict[int, tuple[int, bool]]:
+    """For each class, of its rows in each fold: the fold to calibrate on, and whether it is counted all the same."""
+    found = {}
+    for label, folds in counts.items():
+        if CALIBRATION in folds and len(folds) > 1:
+            found[label] = (CALIBRATION, False)
+        else:
+            found[label] = (min(folds, key=lambda f: (folds[f], f)), len(folds) == 1)
+    return found
+
+
 def train(docs: DataFrame, labels: DataFrame, order: int = ORDER, slots: int | None = None, calibration_rows: int = CALIBRATION_ROWS, table_rows: int = TABLE_ROWS) -> ToxicityModel:
     """Fit on the labelled documents outside the held-out fold; labels have (doc_id, toxic).
 
@@ -315,11 +328,17 @@ def train(docs: DataFrame, labels: DataFrame, order: int = ORDER, slots: int | N
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = docs.select("doc_id", "text").where("doc_id is not null").withColumn("fold", fold()).where(F.col("fold") != HELD_OUT)
     known = common.pin(known.join(marks.where("toxic in (0, 1)"), "doc_id").select("doc_id", "fold", "toxic", "text"), "toxic-labelled")
-    n = known.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0), F.count_if((F.col("toxic") == 1) & (F.col("fold") == CALIBRATION)), F.count_if((F.col("toxic") == 0) & (F.col("fold") == CALIBRATION))).first()
+    counts: dict[int, dict[int, int]] = {}
+    for r in known.groupBy("toxic", "fold").count().collect():  # a row for each class and fold
+        counts.setdefault(r["toxic"], {})[r["fold"]] = r["count"]
+    n = [sum(counts.get(label, {}).values()) for label in (1, 0)]
     share = (n[0] + 1) / (n[0] + n[1] + 2) if n[0] + n[1] else 0.0
     if not all(n):
         return ToxicityModel(None, [], share)
-    words = common.pin(word_counts(known.withColumn("calibration", F.col("fold") == CALIBRATION)), "toxic-words")
+    chosen = calibration_folds(counts)
+    in_fold = reduce(or_, [(F.col("toxic") == label) & (F.col("fold") == f) for label, (f, _) in chosen.items()])
+    unseen = reduce(or_, [(F.col("toxic") == label) & (F.col("fold") == f) for label, (f, seen) in chosen.items() if not seen] or [F.lit(False)])
+    words = common.pin(word_counts(known.withColumn("calibration", unseen)), "toxic-words")
 
     def counted(words: DataFrame, weights: list[float]) -> ToxicityModel:
         seen, unseen = log_ratios(words, order)
@@ -328,7 +347,10 @@ def train(docs: DataFrame, labels: DataFrame, order: int = ORDER, slots: int | N
         return ToxicityModel(spark.sparkContext.broadcast((_table(seen, "gram", order), _table(unseen, "context", order - 1))), weights, share, order)
 
     model = counted(words.where(~F.col("calibration")).drop("calibration"), [])
-    sample = known.where(F.col("fold") == CALIBRATION).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(calibration_rows)
+    sample = known.where(in_fold)
+    if sum(counts[label][f] for label, (f, _) in chosen.items()) > calibration_rows:  # only hashes are sorted, the texts stay where they are
+        last = sample.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(calibration_rows).agg(F.max("h")).first()[0]
+        sample = sample.where(F.xxhash64("doc_id") <= last)
     rows = model.with_ratios(sample.select("toxic", "text"), "text", "r").select("toxic", "r.*").toArrow()
     ratio, excess, n_words, y = (rows.column(c).to_numpy().astype(float) for c in ("ratio", "excess", "n", "toxic"))
     x = np.stack([np.ones(len(y)), *features(ratio, excess, n_words, np.sqrt, np.log1p)], axis=1)
