@@ -66,6 +66,36 @@ def test_mixing_edges(spark):
     assert mixing.mix(one, F.lit(0))[0].count() == 1
 
 
+def test_rows_that_differ_in_other_columns_only(spark):
+    rows = [(1, "same text", "a", "en", "x"), (1, "same text", "a", "de", "y"), (1, "same text", "a", "de", "y"), (2, "other", "b", "fr", "z"), (2, "other", "b", None, "z")] + [(i, f"t{i}", "a", "en", "w") for i in range(3, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, note string").withColumn("m", F.create_map(F.lit("k"), "note"))
+    plan, _ = mixing.mix(docs, F.lit(5))
+    got = [tuple(r) for r in mixing.mixed_rows(docs, plan).collect()]
+    key = lambda r: (r[0], str(r[3]), r[4])
+    first = Counter(key(r) for r in got if r[-3] == 0)
+    assert first == Counter((r[0], str(r[3]), r[4]) for r in rows)
+    again = Counter(key(r) for r in got)
+    assert sum(again.values()) == plan.count() and all(first[k] <= n <= 2 * first[k] for k, n in again.items())
+
+
+def test_one_document_with_most_rows_is_spread(spark):
+    n = 30_000
+    rows = spark.range(n).select(F.when(F.col("id") % 3 > 0, F.lit(None).cast("long")).otherwise(F.col("id")).alias("doc_id"), F.lit("one text").alias("text"), F.lit("s").alias("source"))
+    plan, _ = mixing.mix(rows, F.lit(1), block_tokens=1000)
+    blocks = Counter(r["block"] for r in plan.where("doc_id is null").collect())
+    assert plan.count() == n and len(blocks) == n // 1000 and max(blocks.values()) < 2 * n // 3 / 10
+
+
+def test_null_ids_are_spread_over_ranges(spark):
+    n = 60_000
+    rows = spark.range(n).select(F.when(F.col("id") % 3 > 0, F.col("id")).otherwise(F.lit(None).cast("long")).alias("doc_id"), F.lit(100).alias("n"))
+    packed = packing.pack(rows, "n", ["doc_id"], buckets=1, budget=100 * 50)
+    got = Counter(r["batch"] for r in packed.where("doc_id is null").collect())
+    assert packed.count() == n and len(got) > 0.9 * n / 50 and max(got.values()) <= 50
+    plan = packed._jdf.queryExecution().toString()
+    assert "hashpartitioning" in plan
+
+
 def padded(histogram, bounds):
     return sum(n * min(b for b in bounds if b >= a) for a, n in histogram)
 

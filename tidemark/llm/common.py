@@ -70,5 +70,6 @@ def text_or_empty(c: str | Column = "text") -> Column:
 
 
 def row_hash(df: DataFrame) -> Column:
-    """A hash of all columns that can be hashed, to choose one of several rows alike at every run."""
-    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()])
+    """A hash of all columns, to tell rows apart alike at every run; those that cannot be hashed as they are go by their JSON text."""
+    odd = lambda t: "map<" in t or "variant" in t
+    return F.xxhash64(*[F.to_json(F.struct(F.col(f"`{f.name}`"))) if odd(f.dataType.simpleString()) else F.col(f"`{f.name}`") for f in df.schema])

@@ -15,8 +15,9 @@ its size asks for. Up to ``COLLECTED`` sources are weighed on the driver; where
 aggregates over the table of sources, many exponents in one pass, with the same result.
 
 Null sources are a source of their own; null and empty texts count one token, very long ones what they have. Repeated rows
-are ordinary rows, each read as often as the mixture asks for; an empty table gives no rows. Other columns are left as
-they are, but a column of the name of a result gives way to it.
+are ordinary rows, each read as often as the mixture asks for, also where they differ in other columns only; many rows of one
+id and text are spread over ranges by their place. An empty table gives no rows. Other columns are left as they are, but a
+column of the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -130,8 +131,14 @@ def mix(docs: DataFrame, tokens: Column, target_entropy: float = TARGET_ENTROPY,
     ``place`` orders a block. More than ``collected`` sources are weighed by Spark, and the mixture does not list them.
     """
     # the texts themselves do not take part: a slim table is laid out and joined back by the row's key
-    slim = docs.select("doc_id", "source", F.xxhash64(common.text_or_empty("text")).alias("_hash"), F.greatest(tokens, F.lit(1)).cast("long").alias("_tokens"))
-    slim = common.pin(slim, "mix-rows")
+    slim = docs.select("doc_id", "source", F.xxhash64(common.text_or_empty("text")).alias("_hash"), F.greatest(tokens, F.lit(1)).cast("long").alias("_tokens"), common.row_hash(docs).alias("_row"))
+    slim = common.pin(slim, "mix-rows").withColumn("_copy", F.monotonically_increasing_id())
+    # rows of an id and text that would fill a range are told apart by their place, others go by their hash alone
+    often = common.pin(slim.groupBy(F.col("doc_id").alias("_id"), F.col("_hash").alias("_text")).count().where(F.col("count") > RANGE_ROWS), "mix-often")
+    spread = F.lit(0).cast("long")
+    if not often.isEmpty():
+        slim = slim.join(often, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text")), "left").drop("_id", "_text")
+        spread = F.when(F.col("count").isNotNull(), F.xxhash64(F.lit(seed), "epoch", "_copy"))
     sources = common.pin(slim.groupBy(F.col("source").alias("_source")).agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("n")), "mix-sources")
     rows = sources.limit(collected + 1).collect()
     if len(rows) <= collected:
@@ -148,8 +155,8 @@ def mix(docs: DataFrame, tokens: Column, target_entropy: float = TARGET_ENTROPY,
     laid = (
         slim.join(plan, F.col("source").eqNullSafe(F.col("_source")))
         .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_passes") - 1e-9).cast("int") - 1)))
-        .withColumn("_unit", _unit(F.lit(seed), F.col("epoch"), F.col("doc_id"), F.col("_hash")))
-        .withColumn("_key", key)
+        .withColumn("_key", key if often.isEmpty() else F.coalesce(spread, key))
+        .withColumn("_unit", F.shiftrightunsigned("_key", 11).cast("double") / float(1 << 53))
         .withColumn("_range", F.floor(F.col("_unit") * F.col("_ranges")).cast("int"))
     )
     totals = laid.groupBy("_source", "epoch", "_range").agg(F.sum("_tokens").alias("_sum"))
@@ -157,12 +164,12 @@ def mix(docs: DataFrame, tokens: Column, target_entropy: float = TARGET_ENTROPY,
     starts = totals.select("_source", "epoch", "_range", F.coalesce(F.sum("_sum").over(stream), F.lit(0)).alias("_before"))
     within = Window.partitionBy("_source", "epoch", "_range").orderBy("_unit", "_key", "doc_id", "_copy").rowsBetween(Window.unboundedPreceding, -1)
     on = F.col("s._source").eqNullSafe(F.col("r._source")) & (F.col("s.epoch") == F.col("r.epoch")) & (F.col("s._range") == F.col("r._range"))
-    laid = laid.withColumn("_copy", F.monotonically_increasing_id()).withColumn("_in_range", F.coalesce(F.sum("_tokens").over(within), F.lit(0)))
+    laid = laid.withColumn("_in_range", F.coalesce(F.sum("_tokens").over(within), F.lit(0)))
     laid = laid.alias("r").join(starts.alias("s"), on).select("r.*", (F.col("_before") + F.col("_in_range")).alias("_start"))
     chosen = laid.where((F.col("epoch") == 0) | (F.col("_start") < F.col("_source_budget"))).select(
         "doc_id", "_hash", F.col("source").alias("_source"), "epoch",
         F.least(F.floor(F.col("_start") / F.col("_source_budget") * blocks), F.lit(blocks - 1)).cast("long").alias("block"),
-        _unit(F.lit(seed + 1), F.col("_key")).alias("place"), "_copy",
+        _unit(F.lit(seed + 1), F.col("_key")).alias("place"), "_copy", "_row",
     )
     return common.pin(chosen, "mix-plan"), made
 
@@ -170,18 +177,18 @@ def mix(docs: DataFrame, tokens: Column, target_entropy: float = TARGET_ENTROPY,
 def mixed_rows(docs: DataFrame, plan: DataFrame, epoch: str = "epoch", block: str = "block", place: str = "place") -> DataFrame:
     """The documents themselves, once for each row of the plan, with ``epoch, block, place`` under the names given.
 
-    Rows of equal id, text and source are interchangeable: each of their plan rows gets the first of them, by their other columns.
+    ``docs`` are the rows that the plan was made of, with the same columns. Rows that are alike in all of them are interchangeable.
     """
     results = [epoch, block, place]
     columns = [c for c in docs.columns if c.lower() not in {r.lower() for r in results}]
     k1, k2, text, row = (common.free_name(docs, x, *results) for x in ("mix1", "mix2", "mixtext", "mixrow"))
+    keys = [k1, k2, row]
     key = lambda source, text: {k1: F.xxhash64("doc_id", source, text), k2: F.xxhash64(text, source, F.lit(1), "doc_id")}
-    keyed = docs.withColumn(text, F.xxhash64(common.text_or_empty("text"))).withColumns(key("source", text)).select(*columns, k1, k2)
-    planned = plan.withColumns(key("_source", "_hash")).select(k1, k2, F.col("epoch").alias(epoch), F.col("block").alias(block), F.col("place").alias(place))
-    if not plan.where("epoch = 0").groupBy("doc_id", "_source", "_hash").count().where("count > 1").isEmpty():
-        first = keyed.withColumn(row, common.row_hash(docs.select(*columns))).groupBy(k1, k2).agg(F.min(row).alias(row))
-        keyed = keyed.withColumn(row, common.row_hash(docs.select(*columns))).join(common.pin(first, "mix-first"), [k1, k2, row], "left_semi").dropDuplicates([k1, k2]).drop(row)
-    return keyed.join(planned, [k1, k2]).select(*columns, *results)
+    keyed = docs.withColumns({text: F.xxhash64(common.text_or_empty("text")), row: common.row_hash(docs)}).withColumns(key("source", text)).select(*columns, *keys)
+    planned = plan.withColumns(key("_source", "_hash")).select(k1, k2, F.col("_row").alias(row), F.col("epoch").alias(epoch), F.col("block").alias(block), F.col("place").alias(place))
+    if not plan.where("epoch = 0").groupBy("doc_id", "_source", "_hash", "_row").count().where("count > 1").isEmpty():
+        keyed = keyed.dropDuplicates(keys)
+    return keyed.join(planned, keys).select(*columns, *results)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

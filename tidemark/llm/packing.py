@@ -14,7 +14,8 @@ it are counted, the counts accumulated over a small table, and rows numbered wit
 documents is no single task's work.
 
 Null and empty texts have length 0 or what the length column gives them; they are packed too. Repeated rows and null ids
-are packed row by row, rows of equal hash in the order they are read. An empty table gives no rows. Other columns are left
+are packed row by row, rows of equal hash in the order they are read; where a key (or none) has more rows than a range should
+hold, they are spread over the ranges by a hash of their place. An empty table gives no rows. Other columns are left
 as they are, but a column of the name of a result gives way to it.
 """
 
@@ -91,7 +92,7 @@ def pack(rows: DataFrame, length: str, key: list[str], buckets: int = BUCKETS, b
     """
     results = ["bucket", "bucket_tokens", "batch", "slot"]
     columns = [c for c in rows.columns if c.lower() not in results]
-    cell_, bucket, hash_, copy, span, nth, before = (common.free_name(rows, x, *results) for x in ("cell", "bucket", "hash", "copy", "range", "nth", "before"))
+    cell_, bucket, hash_, copy, span, nth, before, often = (common.free_name(rows, x, *results) for x in ("cell", "bucket", "hash", "copy", "range", "nth", "before", "often"))
     size = F.coalesce(F.col(length), F.lit(0)).cast("long")
     sized = rows.withColumn(cell_, cell(size))
     histogram = [tuple(r) for r in sized.groupBy(cell_).count().collect()]
@@ -102,7 +103,14 @@ def pack(rows: DataFrame, length: str, key: list[str], buckets: int = BUCKETS, b
     pick = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col(bucket) + 1)
     # the boundary of each bucket, an array of at most `buckets`
     placed = sized.withColumn(bucket, F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col(cell_))))
-    placed = placed.withColumn(hash_, F.xxhash64(*key)).withColumn(copy, F.monotonically_increasing_id())
+    placed = placed.withColumn(copy, F.monotonically_increasing_id())
+    hashed = F.xxhash64(*key)
+    if place is None:
+        many = common.pin(rows.groupBy(F.xxhash64(*key).alias(hash_)).count().where(F.col("count") > RANGE_ROWS).select(hash_, F.lit(True).alias(often)), "pack-often")
+        if not many.isEmpty():
+            placed = placed.withColumn(hash_, hashed).join(many, hash_, "left")
+            hashed = F.when(F.col(often), F.xxhash64(hash_, copy)).otherwise(F.col(hash_))
+    placed = placed.withColumn(hash_, hashed)
     unit = F.shiftrightunsigned(F.xxhash64(hash_, F.lit(3)), 11).cast("double") / float(1 << 53)
     if place is None:
         ranged, order = F.struct(F.floor(unit * pick([max(1, -(-n // RANGE_ROWS)) for n in counts])).cast("int")), [hash_, *key]
