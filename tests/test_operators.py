@@ -223,3 +223,119 @@ def test_raw_csv_to_bronze(spark, folder, tmp_path):
     lake.ingest_raw(spark, {"orders": lake.SourceSpec(f"{folder}/raw/orders.csv", "csv", "order_id string, at string, note string", ("at",))}, f"{folder}/lake")
     got = readers.read_table(spark, f"{folder}/lake/bronze/orders").orderBy("order_id").collect()
     assert [tuple(r) for r in got] == [("1", T("2018-01-02 03:04:05"), "two\nlines"), ("2", None, 'a "quote"')]
+
+
+def _files(path, month):
+    return [p for p in (path / f"month={month}").glob("*.parquet")]
+
+
+def test_a_large_month_is_written_by_several_tasks(spark, folder, tmp_path):
+    keep = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        rows = spark.range(0, 200_000, 1, 24).select(F.col("id"), F.xxhash64("id").alias("v"), F.when(F.col("id") % 100 < 95, "2018-01").when(F.col("id") % 100 < 98, "2018-02").otherwise("2018-03").alias("month"))
+        sinks.append(rows, f"{folder}/appended", "month")
+        sinks.overwrite(rows, f"{folder}/replaced", "month")
+        version = next((tmp_path / "replaced").glob("version-*"))
+        for root in (tmp_path / "appended", version):
+            assert len(_files(root, "2018-01")) >= 8
+            assert len(_files(root, "2018-03")) <= 4
+        few = rows.where("month <> '2018-01'").limit(1000)
+        sinks.append(few, f"{folder}/few", "month")
+        assert [len(_files(tmp_path / "few", m)) for m in ("2018-02", "2018-03")] == [1, 1]
+        assert readers.read_table(spark, f"{folder}/replaced").count() == 200_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", keep)
+
+
+def test_a_failed_write_leaves_the_table(spark, folder, tmp_path):
+    rows = lambda n: spark.range(n).withColumn("month", F.lit("2018-01"))
+    path = f"{folder}/t"
+    sinks.overwrite(rows(5), path, "month")
+    bad = rows(9).withColumn("id", F.when(F.col("id") == 7, F.raise_error(F.lit("stop")).cast("long")).otherwise(F.col("id")))
+    for _ in range(2):
+        with pytest.raises(Exception, match="stop"):
+            sinks.overwrite(bad, path, "month")
+        assert readers.read_table(spark, path).count() == 5
+    held = readers.read_table(spark, path)  # a reader that began with the version before
+    sinks.overwrite(rows(6), path, "month")
+    assert held.count() == 5 and readers.read_table(spark, path).count() == 6
+    sinks.overwrite(rows(7), path)
+    assert readers.read_table(spark, path).count() == 7
+    assert sorted(p.name for p in (tmp_path / "t").glob("version-*")) == ["version-00000002", "version-00000003"]
+    assert readers.read_or_empty(spark, f"{folder}/none", "id long").count() == 0
+    sinks.overwrite(rows(0), path)
+    assert readers.read_table(spark, path).count() == 0
+
+
+def test_history_is_not_shuffled(spark, folder):
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        keys = ["order_id", "event_type"]
+        rows = lambda a, b: spark.range(a, b).select(F.col("id").cast("string").alias("order_id"), F.when(F.col("id") % 2 == 0, "X").otherwise("Y").alias("event_type"), F.lit(T("2018-01-01 00:00:00")).alias("event_time"), F.lit("2018-01").alias("month"))
+        path = f"{folder}/fact"
+        assert [incremental.load_fact(spark, rows(0, n), path, keys, "month", buckets=8) for n in (100, 150, 150)] == [100, 50, 0]
+        index = incremental.KeyIndex(spark, path, rows(0, 1).select(*keys).schema, 8)
+        plan = incremental.new_rows(rows(0, 200), index.table(), keys)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan and "Aggregate" not in plan
+        assert "SelectedBucketsCount: 8 out of 8" in plan
+        # a load that stopped between fact and index: the index is made anew
+        sinks.append(rows(150, 160), path, "month")
+        index.begin()
+        assert incremental.load_fact(spark, rows(0, 165), path, keys, "month", buckets=8) == 5
+        assert readers.read_table(spark, path).count() == 165 and index.table().count() == 165
+        # another number of buckets makes another index
+        assert incremental.load_fact(spark, rows(0, 170), path, keys, "month", buckets=16) == 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+
+
+def test_an_index_of_many_appends_is_merged(spark, folder, monkeypatch):
+    monkeypatch.setattr(incremental, "MERGE_EVERY", 2)
+    rows = lambda n: spark.range(n).select(F.col("id").alias("k"), F.lit(T("2018-01-01 00:00:00")).alias("event_time"), F.lit("2018-01").alias("month"))
+    path = f"{folder}/fact"
+    for i in range(1, 6):
+        assert incremental.load_fact(spark, rows(i * 40), path, ["k"], "month", buckets=4) == 40
+    index = incremental.KeyIndex(spark, path, rows(1).select("k").schema, 4)
+    assert index.appends() <= 3 and index.table().count() == 200 and index.table().distinct().count() == 200
+
+
+def test_quota_sample_ranks_only_what_it_draws(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(sampling, "with_row_index", lambda df, *a, **k: seen.append(df.count()) or indexing.with_row_index(df, *a, **k))
+    rows = spark.range(40_000).select(F.col("id").alias("k"), F.when(F.col("id") % 10 == 0, "small").otherwise("big").alias("g"), F.lit("x").alias("_shuffle"), F.lit("y").alias("_place"))
+    got = sampling.quota_sample(rows, "g", "k", {"big": 100, "small": 50}).collect()
+    assert len(got) == 150 and seen[0] < 400 and all(r["_shuffle"] == "x" and r["_place"] == "y" for r in got)
+    ranked = sorted(((__import__("hashlib").md5(f"42:{i}".encode()).hexdigest(), i) for i in range(40_000) if i % 10))
+    assert [r["k"] for r in sorted((r for r in got if r["g"] == "big"), key=lambda r: r["slot"])] == [i for _, i in ranked[:100]]
+
+
+def test_csv_is_split_unless_quotes_run_over_lines(spark, folder, tmp_path):
+    keep = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        (tmp_path / "c").mkdir()
+        (tmp_path / "c/a.csv").write_text("id,text\n" + "".join(f'{i},"a ""quoted"" word {i}"\n' for i in range(20_000)))
+        assert readers.read_csv(spark, f"{folder}/c", "id long, text string").rdd.getNumPartitions() >= 8
+        (tmp_path / "c/b.csv").write_text('id,text\n20000,"two\nlines"\n20001,plain\n')
+        rows = readers.read_csv(spark, f"{folder}/c", "id long, text string")
+        assert rows.count() == 20_002 and rows.where("id = 20000").first()["text"] == "two\nlines" and rows.where("id = 3").first()["text"] == 'a "quoted" word 3'
+        assert dict(readers.read_csv(spark, f"{folder}/c").dtypes) == {"id": "int", "text": "string"}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
+
+
+def test_a_failed_load_leaves_the_database_rows(spark):
+    url = "jdbc:derby:memory:swap;create=true"
+    rows = spark.createDataFrame([(1, 2.5), (2, None)], "a int, b double")
+    sinks.jdbc_overwrite(rows, url, "mart")
+    bad = spark.range(50).select(F.when(F.col("id") == 40, F.raise_error(F.lit("stop")).cast("int")).otherwise(F.col("id").cast("int")).alias("a"), F.lit(1.0).alias("b"))
+    with pytest.raises(Exception, match="stop"):
+        sinks.jdbc_overwrite(bad, url, "mart")
+    assert sorted(r["a"] for r in spark.read.jdbc(url, "mart").collect()) == [1, 2]
+    with pytest.raises(Exception):
+        sinks.jdbc_overwrite(rows.withColumn("c", F.lit(1)), url, "mart")  # the table has no such column
+    assert spark.read.jdbc(url, "mart").count() == 2
+    sinks.jdbc_overwrite(rows.limit(1), url, "mart")
+    assert spark.read.jdbc(url, "mart").count() == 1

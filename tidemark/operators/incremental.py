@@ -1,32 +1,117 @@
-"""Incremental loads: append what the target does not hold yet. One writer at a time for each target."""
+"""Incremental loads: append what the target does not hold yet. One writer at a time for each target.
+
+Beside a fact lies an index of its keys: Parquet, in buckets by the hash of the whole key, appended with the fact. A load joins
+new rows with it by its buckets, so only the new rows are shuffled, whatever has been loaded before, and only the key columns
+of the history are read. A mark is set before a load writes and taken off when fact and index both hold it: a load that
+finds one, or a fact without an index, makes the index anew from the fact.
+"""
 
 from __future__ import annotations
 
+import hashlib
+from typing import NamedTuple
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidemark.sources import sinks
 from tidemark.sources.readers import read_or_empty
 from tidemark.sources.sinks import append
 
+#: Buckets of a key index, at least. There should be as many as shuffle partitions, or Spark deals the index anew.
+BUCKETS = 64
+#: Appends after which an index is written anew, so that a bucket has few files.
+MERGE_EVERY = 64
+
+
+class KeyIndex(NamedTuple):
+    """The keys of the fact at ``path``."""
+
+    spark: SparkSession
+    path: str
+    schema: T.StructType
+    buckets: int
+
+    @property
+    def keys(self) -> list[str]:
+        return self.schema.names
+
+    def _at(self, name: str = "") -> str:
+        return f"{self.path}_keys/{name}"
+
+    def _exists(self, name: str) -> bool:
+        fs, at = sinks._file_system(self.spark, self._at(name))
+        return fs.exists(at)
+
+    def _files(self) -> str:
+        return self._at(f"buckets-{self.buckets}")
+
+    def table(self) -> DataFrame:
+        """The keys, bucketed; an external table of this session over the files."""
+        name = f"keys_{hashlib.md5(self._files().encode()).hexdigest()}"
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema)
+        by = ", ".join(f"`{k}`" for k in self.keys)
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{self._files()}'")
+        self.spark.catalog.refreshTable(name)
+        return self.spark.table(name)
+
+    def _write(self, rows: DataFrame, mode: str) -> None:
+        name = f"keys_{hashlib.md5(self._files().encode()).hexdigest()}"
+        self.table()
+        dealt = rows.select(*self.keys).repartition(self.buckets, *self.keys)  # a file for each bucket
+        if mode == "overwrite":
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            sinks.remove(self.spark, self._files())
+            self.table()
+        dealt.write.insertInto(name)
+        self.spark.catalog.refreshTable(name)
+
+    def ready(self, fact: DataFrame) -> None:
+        """Make the index anew if it may lack keys of the fact."""
+        if self._exists("_loading") or not self._exists(f"buckets-{self.buckets}"):
+            self._write(fact, "overwrite")
+            self.done()
+
+    def begin(self) -> None:
+        fs, at = sinks._file_system(self.spark, self._at("_loading"))
+        fs.create(at, True).close()
+
+    def add(self, rows: DataFrame) -> None:
+        self._write(rows, "append")
+
+    def done(self) -> None:
+        sinks.remove(self.spark, self._at("_loading"))
 
-def processed_keys(existing: DataFrame, keys: list[str]) -> DataFrame:
-    return existing.select(*keys).distinct()
+    def appends(self) -> int:
+        """How many files the fullest bucket has, as far as their count tells."""
+        fs, at = sinks._file_system(self.spark, self._files())
+        return -(-sum(1 for s in fs.listStatus(at) if s.getPath().getName().startswith("part-")) // self.buckets)
 
 
 def new_rows(rows: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key the existing table lacks. Rows with a null in the key are rejected: they would load again each time."""
-    return rows.dropna(subset=keys).join(processed_keys(existing, keys), keys, "left_anti")
+    return rows.dropna(subset=keys).join(existing.select(*keys), keys, "left_anti")
 
 
-def load_fact(spark: SparkSession, rows: DataFrame, path: str, keys: list[str], month: str, time: str = "event_time") -> int:
+def load_fact(spark: SparkSession, rows: DataFrame, path: str, keys: list[str], month: str, time: str = "event_time", buckets: int | None = None) -> int:
     """Append the new rows to the fact at ``path``, by month; returns how many. A second run with the same rows adds none."""
+    n_buckets = buckets or max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    index = KeyIndex(spark, path, T.StructType([T.StructField(k, rows.schema[k].dataType) for k in keys]), n_buckets)
     existing = read_or_empty(spark, path, rows.schema)
-    fresh = new_rows(rows.where(F.col(time).isNotNull()), existing, keys).persist(StorageLevel.DISK_ONLY)
+    index.ready(existing)
+    fresh = new_rows(rows.where(F.col(time).isNotNull()), index.table(), keys).persist(StorageLevel.DISK_ONLY)
     try:
         n = fresh.count()
         if n:
+            index.begin()
             append(fresh, path, month)
+            index.add(fresh)
+            index.done()
+            if index.appends() > MERGE_EVERY:
+                index.begin()
+                index.ready(read_or_empty(spark, path, rows.schema))
         return n
     finally:
         fresh.unpersist()

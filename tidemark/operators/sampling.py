@@ -14,6 +14,9 @@ from tidemark.operators.quality import require_columns
 #: Fixed shares of the age groups.
 AGE_RATIOS = {"20s": 0.05, "30s": 0.09, "40s": 0.11, "50s": 0.14, "60s": 0.15, "70+": 0.46}
 
+#: Hexadecimal digits of a hash that the histogram of a stratum counts: 65,536 rows for each stratum.
+HISTOGRAM_DIGITS = 4
+
 
 def normalize_persona(df: DataFrame, text_col: str = "persona") -> DataFrame:
     """``gender`` becomes ``sex`` and the text column ``persona``; the age group and the name follow from age and text."""
@@ -38,26 +41,47 @@ def shuffle_key(key: str | Column, seed: int) -> Column:
 def quota_sample(df: DataFrame, stratum: str, key: str, wanted: Mapping[str, int], seed: int = 42) -> DataFrame:
     """Exactly the wanted number of rows of each stratum, with ``slot`` from 0.
 
-    Rows are ranked by a seeded hash of their key, by a row index over all strata at once, so that a large stratum is spread
-    over tasks; a stratum smaller than its quota is read over from the start, so that each
-    row is used as often as any other, give or take one. Strata of the quota that have no rows raise ValueError.
+    Rows are ranked by a seeded hash of their key. A histogram of the hashes' first digits finds how far the quota of each
+    stratum reaches, so only those rows are shuffled and ranked, by a row index over all strata at once that spreads a large
+    one over tasks. A stratum smaller than its quota is read over from the start, so that each row is used as often as any
+    other, give or take one. Strata of the quota that have no rows raise ValueError.
     """
     asked = {k: n for k, n in wanted.items() if n > 0}
-    sizes = {r[stratum]: r["count"] for r in df.where(F.col(stratum).isin(*asked)).groupBy(stratum).count().collect()}
+    shuffle, place, digits = (_free(df, n, "slot") for n in ("shuffle", "place", "digits"))
+    keyed = df.where(F.col(stratum).isin(*asked)).withColumn(shuffle, shuffle_key(key, seed)).withColumn(digits, F.substring(shuffle, 1, HISTOGRAM_DIGITS))
+    histogram = keyed.groupBy(stratum, digits).count()
+    upto = F.sum("count").over(Window.partitionBy(stratum).orderBy(digits).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    number_of = lambda d, c: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])[F.col(c)]
+    reached = histogram.select(stratum, digits, "count", upto.alias("upto"))
+    last = F.min(F.when(F.col("upto") >= number_of(asked, stratum), F.col(digits))).alias("last")
+    found = reached.groupBy(stratum).agg(F.sum("count").alias("n"), last).collect()  # a row for each stratum
+    sizes = {r[stratum]: r["n"] for r in found}
     if empty := [k for k in asked if k not in sizes]:
         raise ValueError(f"no rows in {', '.join(empty)}")
     number = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])[F.col(stratum)]
     # a row at place p fills the slots p, p + size, p + 2 size ... below the quota
-    keyed = df.where(F.col(stratum).isin(*asked)).withColumn("_shuffle", shuffle_key(key, seed))
-    indexed = with_row_index(keyed, stratum, "_shuffle", key, name="_place").drop("_shuffle")
-    starts = {k: sum(sizes[x] for x in sizes if x < k) for k in sizes}
-    ranked = indexed.withColumn("_place", F.col("_place") - number(starts) - 1).where(F.col("_place") < number(asked))
-    return ranked.withColumn("slot", F.explode(F.sequence(F.col("_place").cast("long"), number(asked).cast("long") - 1, number(sizes).cast("long")))).drop("_place")
+    bounds = {r[stratum]: r["last"] if r["last"] is not None else "g" for r in found}  # beyond all hexadecimal digits
+    taken = keyed.where(F.col(digits) <= number(bounds)).drop(digits)
+    counts = {r[stratum]: r["n"] for r in reached.where(F.col(digits) <= number(bounds)).groupBy(stratum).agg(F.sum("count").alias("n")).collect()}
+    indexed = with_row_index(taken, stratum, shuffle, key, name=place).drop(shuffle)
+    starts = {k: sum(counts[x] for x in counts if x < k) for k in counts}
+    ranked = indexed.withColumn(place, F.col(place) - number(starts) - 1).where(F.col(place) < number(asked))
+    return ranked.withColumn("slot", F.explode(F.sequence(F.col(place).cast("long"), number(asked).cast("long") - 1, number(sizes).cast("long")))).drop(place)
+
+
+def _free(df: DataFrame, stem: str, *taken: str) -> str:
+    """A name for a helper column that no column has."""
+    names = {c.lower() for c in (*df.columns, *taken)}
+    name = f"_{stem}"
+    while name.lower() in names:
+        name += "_"
+    return name
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42, name: str = "position") -> DataFrame:
     """Adds each row's place, from 1, in a full shuffle; ties go by ``key``."""
-    return with_row_index(df.withColumn("_shuffle", shuffle_key(key, seed)), "_shuffle", key, name=name).drop("_shuffle")
+    shuffle = _free(df, "shuffle", name)
+    return with_row_index(df.withColumn(shuffle, shuffle_key(key, seed)), shuffle, key, name=name).drop(shuffle)
 
 
 def shares(df: DataFrame, by: str) -> DataFrame:

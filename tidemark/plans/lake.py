@@ -26,7 +26,10 @@ class SourceSpec:
 def ingest_raw(spark: SparkSession, specs: Mapping[str, SourceSpec], root: str) -> None:
     """Raw files to bronze Parquet, each by its own format."""
     for name, spec in specs.items():
-        df = readers.read_csv(spark, spec.path, spec.schema) if spec.format == "csv" else spark.read.format(spec.format).load(spec.path)
+        if spec.format == "csv":
+            df = readers.read_csv(spark, spec.path, spec.schema)
+        else:
+            df = readers.read_table(spark, spec.path) if spec.format == "parquet" else spark.read.format(spec.format).load(spec.path)
         sinks.overwrite(readers.coerce_timestamps(df, *spec.timestamps), f"{root}/bronze/{name}")
 
 
