@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from tidemark.streaming import jobs
+from tidemark.streaming import batches, jobs, topics
 
 ENVELOPE = "topic string, key string, value string"
 
@@ -147,3 +147,66 @@ def test_kafka_options(spark):
     # the connector's columns: keys and values are bytes
     envelope = spark.createDataFrame([(b"k", b'{"event_id":"e","event_type":"X","event_time":"2018-01-01 00:00:00"}', "order-events", 0, 5)], "key binary, value binary, topic string, partition int, offset long")
     assert jobs.topic_events(envelope, "order-events").first()["event_id"] == "e"
+
+
+def _topic_rows(spark, root, name="events"):
+    return sorted(r["event_id"] for r in topics.read_events(spark, root, "order-events", name).collect())
+
+
+def test_one_query_for_all_sinks(spark, folder, tmp_path):
+    """Events once, late ones aside, counts and totals; a batch that runs again changes nothing."""
+    root = f"{folder}/topic"
+    for i, lines in enumerate(([_message("a", 30), _message("a", 30), _message("b", 31)], [_message("a", 30), _message("c", 40)], [_message("late", 1), _message("c", 40), _message("d", 41)], [_message("b", 39), _message("e", 41)])):
+        _write(tmp_path / "in", f"{i}.json", *lines)
+    messages = jobs.file_source(spark, f"{folder}/in", ENVELOPE, files_per_batch=1)
+    jobs.run(spark, lambda: [topics.start(messages, "order-events", root, "2 minutes", availableNow=True)])
+    expected = lambda: (_topic_rows(spark, root), _topic_rows(spark, root, "late"), sorted((r["window_start"].minute, r["event_count"]) for r in topics.read_counts(spark, root).collect()), topics.read_totals(spark, root).first()["total_count"])
+    got = expected()
+    assert got[0] == ["a", "b", "c", "d", "e"] and got[1] == ["late"] and got[3] == 5 and sum(n for _, n in got[2]) == 5
+    batch = jobs.topic_events(spark.read.schema(ENVELOPE).json(f"{folder}/in/3.json"), "order-events")
+    for _ in range(2):
+        topics.write_batch(batch, 3, root, "2 minutes", schema=topics.schema_of("order-events"))
+        assert expected() == got
+
+
+def test_no_delay_deduplicates_for_ever(spark, folder, tmp_path):
+    root = f"{folder}/topic"
+    for i in range(7):
+        _write(tmp_path / "in", f"{i}.json", _message("x", 1), _message(f"n{i}", 50 - i))
+    messages = jobs.file_source(spark, f"{folder}/in", ENVELOPE, files_per_batch=1)
+    jobs.run(spark, lambda: [topics.start(messages, "order-events", root, None, fold_every=2, availableNow=True)])
+    assert _topic_rows(spark, root) == sorted(["x", *[f"n{i}" for i in range(7)]]) and _topic_rows(spark, root, "late") == []
+
+
+def test_compaction_over_a_restart(spark, folder, tmp_path):
+    """Folds between stops lose no row and double none; a fold that stopped midway is as if it had not begun."""
+    root, schema = f"{folder}/topic", topics.schema_of("order-events")
+    for i in range(10):
+        _write(tmp_path / "in", f"{i}.json", _message(f"a{i}", i), _message(f"b{i}", i))
+        if i in (2, 5, 9):
+            messages = jobs.file_source(spark, f"{folder}/in", ENVELOPE, files_per_batch=1)
+            jobs.run(spark, lambda: [topics.start(messages, "order-events", root, "2 minutes", fold_every=2, availableNow=True)])
+            held = topics.read_events(spark, root, "order-events")
+            assert held.count() == 2 * (i + 1)
+            assert topics.read_totals(spark, root).first()["total_count"] == 2 * (i + 1)
+    assert len(list((tmp_path / "topic/events").glob("batch_id=*"))) <= 4
+    (tmp_path / "topic/events/_folded/upto=99").mkdir(parents=True)
+    (tmp_path / "topic/events/_folded/upto=99/part-0.parquet").write_text("half a file")
+    assert len(_topic_rows(spark, root)) == 20
+    topics.fold_topic(spark, root, 9, "2 minutes", jobs.RETENTION, schema)
+    assert len(_topic_rows(spark, root)) == 20 and topics.read_totals(spark, root).first()["total_count"] == 20
+    seen = batches.read(spark, f"{root}/seen", topics.SEEN)
+    assert seen.count() < 12  # ids that can no longer repeat in time are forgotten
+
+
+def test_retention_keeps_totals(spark, folder):
+    """Three days of windows, a batch for every hour: the folded table holds a day, totals hold all."""
+    root = f"{folder}/topic"
+    for hour in range(72):
+        rows = spark.sql(f"select 'e{hour}' event_id, 'X' event_type, timestamp'2018-01-01' + make_dt_interval(0, {hour}) event_time")
+        topics.batches.write(jobs.minute_counts(rows), f"{root}/counts", hour)
+        if hour % 24 == 23:
+            batches.fold(spark, f"{root}/counts", topics.COUNTS, hour, lambda r: topics.carried(r, jobs.RETENTION))
+    assert topics.read_counts(spark, root).count() == 25 and topics.read_totals(spark, root).first()["total_count"] == 72
+    folded = spark.read.parquet(f"{root}/counts/_folded/upto=71")
+    assert folded.count() == 26 and folded.where("window_start is null").first()["event_count"] == 47

@@ -36,21 +36,35 @@ def net_of_cancellations(fact: DataFrame) -> DataFrame:
 def daily_sales(fact: DataFrame, ordered: bool = False) -> DataFrame:
     """By day of the event, in order of days. All event types of an item count, as the source's mart has it; see
     :func:`net_of_cancellations` for the corrected input."""
-    made = _sales(fact, "order_event_date").select(
+    return _in_order(daily_columns(_sales(fact, "order_event_date")), ordered, F.col("order_event_date"))
+
+
+def daily_columns(sales: DataFrame) -> DataFrame:
+    """The mart's columns from amounts and counts by day."""
+    return sales.select(
         "order_event_date", *AMOUNTS, "order_count", "item_count", "customer_count",
         ratio(F.col("total_sales_amount"), F.col("order_count"), 2).alias("avg_order_amount"), month_of("order_event_date").alias("order_month"),
     )
-    return _in_order(made, ordered, F.col("order_event_date"))
 
 
 def category_sales(fact: DataFrame, dim_product: DataFrame, ordered: bool = False) -> DataFrame:
     """By category in English, the largest sales first; items of products that the dimension lacks have a null category,
     apart from unknown."""
     rows = fact.join(dim_product.select("product_id", "product_category_name_english"), "product_id", "left")
-    made = _sales(rows, "product_category_name_english").select(
+    return _in_order(category_columns(_sales(rows, "product_category_name_english")), ordered, F.desc("total_sales_amount"), F.col("product_category_name_english"))
+
+
+def category_columns(sales: DataFrame) -> DataFrame:
+    """The mart's columns from amounts and counts by category."""
+    return sales.select(
         "product_category_name_english", *AMOUNTS, "order_count", "item_count", ratio(F.col("exact_total_product_sales_amount"), F.col("price_count"), 2).alias("avg_item_price")
     )
-    return _in_order(made, ordered, F.desc("total_sales_amount"), F.col("product_category_name_english"))
+
+
+def from_states(merged: DataFrame) -> DataFrame:
+    """Merged states (:mod:`tidemark.operators.states`) as amounts and counts."""
+    exact = {f"exact_{c}": F.col(c) for c in AMOUNTS}
+    return merged.withColumns(exact).withColumns({c: F.round(F.col(c), 2).cast("double") for c in AMOUNTS})
 
 
 def customer_segment_sales(fact: DataFrame, dim_customer: DataFrame, ordered: bool = False) -> DataFrame:

@@ -76,6 +76,7 @@ CTES = {
     "q_fact_review": """SELECT e.review_id, e.order_id, customer_id, event_type, event_time::TIMESTAMP AS event_time, e.review_score::INT AS review_score, review_answer_timestamp,
         date_diff('day', review_creation_date, review_answer_timestamp)::INT AS review_answer_days, event_time::TIMESTAMP::DATE AS review_event_date, strftime(event_time::TIMESTAMP, '%Y-%m') AS review_month
         FROM q_review_events e LEFT JOIN b_reviews r ON e.review_id = r.review_id""",
+    "q_days": """SELECT *, dayofyear(ts) // 8 AS batch FROM events UNION ALL SELECT *, (dayofyear(ts) + 1) // 8 FROM events WHERE hour(ts) * 60 + minute(ts) < 120""",
     "q_minutes": "SELECT time_bucket(INTERVAL '1 minute', ts) AS window_start, time_bucket(INTERVAL '1 minute', ts) + INTERVAL '1 minute' AS window_end, event_type, count(*) AS event_count FROM events GROUP BY ALL",
     "q_quota": f"""SELECT k, CASE WHEN k = '70+' THEN n - sum(CASE WHEN k = '70+' THEN 0 ELSE floor(n * r)::BIGINT END) OVER () ELSE floor(n * r)::BIGINT END AS q
         FROM (VALUES {_RATIOS}) t(k, r), (SELECT count(*) AS n FROM b_personas)""",
@@ -129,6 +130,17 @@ SELECTS = {
     "metric_keys": f"""SELECT concat('metrics:timeseries:', event_type, ':', strftime(window_start, {_TEXT})) AS key, event_count FROM q_minutes
         UNION ALL SELECT concat('metrics:latest:', event_type), event_count FROM q_minutes QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY window_start DESC) = 1
         UNION ALL SELECT concat('metrics:total:', event_type), sum(event_count)::BIGINT FROM q_minutes GROUP BY event_type""",
+    "loaded_order_item": "SELECT * FROM q_fact_item",
+    "replaced_daily_sales": _DAILY.format("q_fact_item"),
+    "mart_daily_sales_stated": _DAILY.format("q_fact_item"),
+    "mart_category_sales_stated": _CATEGORY,
+    "order_events_ordered": "SELECT row_number() OVER (ORDER BY event_time, CASE event_type WHEN 'ORDER_CREATED' THEN 1 WHEN 'ORDER_APPROVED' THEN 2 ELSE 3 END, event_id) AS position, * FROM q_order_events",
+    "routed_topics": """SELECT 'order-events' AS topic, order_id AS key, event_id FROM q_order_events UNION ALL SELECT 'delivery-events', order_id, event_id FROM q_delivery_events
+        UNION ALL SELECT 'review-events', order_id, event_id FROM q_review_events""",
+    "late_events": """SELECT DISTINCT event_id::VARCHAR AS event_id, event_type, kind FROM (
+        SELECT *, CASE WHEN ts < (SELECT max(f.ts) - INTERVAL '1 hour' FROM q_days f WHERE f.batch < e.batch) THEN 'late' ELSE 'events' END AS kind FROM q_days e)""",
+    "topic_totals": "SELECT event_type, count(*) AS total_count FROM events GROUP BY 1",
+    "topic_series": "SELECT * FROM q_minutes WHERE window_start >= (SELECT max(window_start) - INTERVAL '24 hours' FROM q_minutes)",
     "orders_head": "SELECT * FROM b_orders ORDER BY order_purchase_timestamp, order_id LIMIT 100",
     "orders_from_csv": "SELECT * FROM b_orders",
     "events_from_jsonl": "SELECT * FROM q_order_events",

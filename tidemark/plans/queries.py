@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import dims, events, facts, incremental, indexing, marts, quality, sampling
+from tidemark.operators import dims, events, facts, incremental, indexing, marts, quality, sampling, states
 from tidemark.session import scratch
 from tidemark.sources import bindings as b
 from tidemark.sources import readers, sinks
-from tidemark.streaming import jobs
+from tidemark.streaming import jobs, topics
 
 #: What the incremental queries take as loaded already: facts of months before this one.
 LOADED_BEFORE = "1998-01"
@@ -259,6 +259,104 @@ def persona_normalized(s: SparkSession, d: str) -> DataFrame:
     return sampling.normalize_persona(rows, "professional_persona").select("persona_id", "sex", "age", "age_group", "customer_name", "persona")
 
 
+def loaded_order_item(s: SparkSession, d: str) -> DataFrame:
+    """The item fact after two loads, the second of which brings all rows again, read back by month."""
+    path, fact = f"{scratch(s, 'loaded')}/fact", fact_order_item(s, d)
+    for rows in (fact.where(F.col("order_month") < LOADED_BEFORE), fact):
+        incremental.load_fact(s, rows, path, facts.ITEM_KEY, "order_month")
+    return readers.read_table(s, path)
+
+
+def replaced_daily_sales(s: SparkSession, d: str) -> DataFrame:
+    """The daily mart, written over the one net of cancellations and read back."""
+    path = f"{scratch(s, 'replaced')}/mart"
+    for mart in (mart_daily_sales_net(s, d), mart_daily_sales(s, d)):
+        sinks.overwrite(mart, path, "order_month")
+    return readers.read_table(s, path)
+
+
+def _stated(s: SparkSession, d: str, groups: list[str], with_groups: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Groups from the states of two increments of the item fact."""
+    root, fact = scratch(s, "states"), fact_order_item(s, d)
+    first = F.col("order_month") < LOADED_BEFORE
+    for load, rows in enumerate((fact.where(first), fact.where(~first))):
+        kept = f"{root}/increment-{load}"
+        rows.write.parquet(kept)
+        rows = s.read.parquet(kept)
+        ids = {c: states.dense_ids(rows.select(c), f"{root}/ids-{c}") for c in states.COUNTED.values()}
+        states.add_states(with_groups(rows), groups, f"{root}/states", load, ids)
+    return marts.from_states(states.merged(s, f"{root}/states", groups))
+
+
+def mart_daily_sales_stated(s: SparkSession, d: str) -> DataFrame:
+    return marts.daily_columns(_stated(s, d, ["order_event_date"], lambda rows: rows))
+
+
+def mart_category_sales_stated(s: SparkSession, d: str) -> DataFrame:
+    products = dim_product(s, d).select("product_id", "product_category_name_english")
+    return marts.category_columns(_stated(s, d, ["product_category_name_english"], lambda rows: rows.join(products, "product_id", "left")))
+
+
+def order_events_ordered(s: SparkSession, d: str) -> DataFrame:
+    """Order events with their place by time and, where times tie, by the priority of their type."""
+    priority = F.create_map(*[F.lit(x) for pair in (("ORDER_CREATED", 1), ("ORDER_APPROVED", 2), ("ORDER_CANCELED", 3)) for x in pair])
+    rows = order_events(s, d).withColumn("priority", priority[F.col("event_type")])
+    return indexing.with_row_index(rows, "event_time", "priority", "event_id", name="position").drop("priority")
+
+
+def routed_topics(s: SparkSession, d: str) -> DataFrame:
+    """Three topics of messages routed to JSON lines by a stream, read back."""
+    root = scratch(s, "routed")
+    made = [events.to_envelope(f(s, d), topic) for f, topic in ((order_events, "order-events"), (delivery_events, "delivery-events"), (review_events, "review-events"))]
+    for i, messages in enumerate(made):
+        messages.write.parquet(f"{root}/in/part={i}")
+    stream = jobs.file_source(s, f"{root}/in/*", "topic string, key string, value string", "parquet")
+    jobs.run(s, lambda: [jobs.route_topics_json(stream, f"{root}/out", f"{root}/checkpoint", availableNow=True)])
+    back = s.read.schema("topic string, key string, value string").json(f"{root}/out")
+    return back.select("topic", "key", F.get_json_object("value", "$.event_id").alias("event_id"))
+
+
+def _days(s: SparkSession, d: str, root: str) -> DataFrame:
+    """The events as a stream of a batch for every day, each of which also brings the first minutes of the day before again."""
+    rows = b.raw(s, d, "events").select(F.col("event_id").cast("string").alias("event_id"), "event_type", F.col("ts").cast("timestamp").alias("event_time"), F.col("user_id").cast("string").alias("customer_id"))
+    day, minute = F.dayofyear("event_time"), F.hour("event_time") * 60 + F.minute("event_time")
+    again = rows.where(minute < 120).withColumn("nth", day + 1)
+    dealt = rows.withColumn("nth", day).unionByName(again)
+    for i in range(0, 33, 8):  # a batch holds eight days and what they repeat
+        dealt.where(F.col("nth").between(i, i + 7)).drop("nth").coalesce(1).write.parquet(f"{root}/in/batch={i // 8}")
+    return jobs.file_source(s, f"{root}/in/*", _DAYS, "parquet", files_per_batch=1)
+
+
+_DAYS = "event_id string, event_type string, event_time timestamp, customer_id string"
+
+
+def _topic(s: SparkSession, d: str, delay: str | None) -> str:
+    """One query over the stream, with a fold every second batch, started again when it has ended."""
+    root = scratch(s, "topic")
+    stream = _days(s, d, root)
+    for _ in range(2):  # the second start finds nothing new and must change nothing
+        jobs.run(s, lambda: [topics.start_events(stream, _DAYS, f"{root}/topic", delay, 2, availableNow=True)])
+    return f"{root}/topic"
+
+
+def late_events(s: SparkSession, d: str) -> DataFrame:
+    """Events in time and late ones, each kind once: late are those an hour behind the latest time of the batches before."""
+    root = _topic(s, d, "1 hour")
+    parts = [topics.batches.read(s, f"{root}/{name}", _DAYS).select("event_id", "event_type", F.lit(name).alias("kind")) for name in ("events", "late")]
+    return parts[0].unionByName(parts[1]).distinct()
+
+
+def topic_totals(s: SparkSession, d: str) -> DataFrame:
+    """Totals of a topic without a delay, whose repeats are dropped and whose old windows are carried."""
+    return topics.read_totals(s, _topic(s, d, None))
+
+
+def topic_series(s: SparkSession, d: str) -> DataFrame:
+    """The windows that the same topic keeps, of the last 24 hours."""
+    ntz = {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
+    return jobs.retained_series(topics.read_counts(s, _topic(s, d, None))).withColumns(ntz)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -267,6 +365,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         incr_delivery, incr_review, mart_daily_sales, mart_daily_sales_net, mart_category_sales, mart_customer_segment_sales,
         mart_delivery_kpi, mart_review_kpi, minute_counts, stream_minute_counts, stream_dedup, stream_totals, latest_window,
         series_retention, persona_age_group, persona_name, persona_by_sex, persona_age_share, persona_quota_sample, persona_shuffle, silver_profile,
-        mart_daily_sales_ordered, mart_category_sales_ordered, mart_segment_sales_ordered, metric_keys, orders_head, orders_from_csv, events_from_jsonl, persona_normalized,
+        mart_daily_sales_ordered, mart_category_sales_ordered, mart_segment_sales_ordered, metric_keys, loaded_order_item, replaced_daily_sales, mart_daily_sales_stated,
+        mart_category_sales_stated, order_events_ordered, routed_topics, late_events, topic_totals, topic_series, orders_head, orders_from_csv, events_from_jsonl, persona_normalized,
     )
 }
