@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.sinks import remove
 
+_scopes: list[list[str]] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,9 +41,43 @@ def pin(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     made = df.sparkSession.read.schema(df.schema).parquet(path)
     made.pinned_at = path
+    if _scopes:
+        _scopes[-1].append(path)
     return made
 
 
+class Scope:
+    """What was pinned since :func:`temporary` began."""
+
+    def __init__(self, paths: list[str]):
+        self.paths = paths
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """A pinned table that stays; an enclosing scope may still let go of it."""
+        self.paths.remove(df.pinned_at)
+        if len(_scopes) > 1:
+            _scopes[-2].append(df.pinned_at)
+        return df
+
+    def keep_all(self) -> None:
+        if len(_scopes) > 1:
+            _scopes[-2].extend(self.paths)
+        self.paths.clear()
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Scope]:
+    """Tables pinned inside are deleted at the end but for those that are kept: whatever is still to run may read only these.
+    After an error all stay as they are."""
+    _scopes.append([])
+    scope = Scope(_scopes[-1])
+    try:
+        yield scope
+        remove(spark, *scope.paths)
+    finally:
+        _scopes.pop()
+
+
 def unpin(*tables: DataFrame) -> None:
     """Delete tables that :func:`pin` made, once nothing that is still to run reads them; other tables are left alone."""
     for df in tables:

@@ -271,12 +271,14 @@ def components(edges: DataFrame) -> DataFrame:
     edges = common.pin(ordered(edges), "components")
     seen = state(edges)
     while seen[0]:
+        before = edges
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = common.pin(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "components-low")
         large = common.pin(ordered(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))), "components-large")
         least = common.pin(large.groupBy("a").agg(F.min("b").alias("m")), "components-least")
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
         edges = common.pin(ordered(small), "components")
+        common.unpin(before, low, large, least)
         now = state(edges)
         if now == seen:
             break
@@ -316,10 +318,11 @@ def join_ngrams(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, r
 
 def drop_near_copies(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The documents without near copies: of each class the one with the least id stays, with all its columns."""
-    kept = join_ngrams(docs, n, threshold, recall).select("kept").distinct().select("kept.*")
     columns, key = docs.columns, [common.free_name(docs, x) for x in ("id", "text_hash", "row_hash")]
     keyed = docs.withColumns(dict(zip(key, (F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), F.xxhash64(common.text_or_empty("text")), common.row_hash(docs)), strict=True)))
-    kept = common.pin(kept.select(*[F.col(c).alias(k) for c, k in zip(("doc_id", "text_hash", "row_hash"), key, strict=True)]), "join-kept")
+    with common.temporary(docs.sparkSession) as scope:
+        kept = join_ngrams(docs, n, threshold, recall).select("kept").distinct().select("kept.*")
+        kept = scope.keep(common.pin(kept.select(*[F.col(c).alias(k) for c, k in zip(("doc_id", "text_hash", "row_hash"), key, strict=True)]), "join-kept"))
     # rows alike in all columns have the same key, and one of them is enough
     return keyed.join(kept, key, "left_semi").dropDuplicates(key).select(*columns)
 
