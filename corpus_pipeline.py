@@ -97,5 +97,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.pin(stage(spark, docs, sf_dir), f"stage-{name}")
+        with common.temporary(spark) as scope:  # what a stage pinned goes, and then its input, once its result is written
+            made = scope.keep(common.pin(stage(spark, docs, sf_dir), f"stage-{name}"))
+        common.unpin(docs)
+        docs = made
     return STAGES[-1][1](spark, docs, sf_dir)
