@@ -49,7 +49,7 @@ TOKENIZER_B = public_tokenizers.path("piece_bpe_32k.model")
 TABLE_ROWS = 1 << 22
 #: Text in a slice, and pieces that a worker keeps.
 SLICE_BYTES = 1 << 22
-CACHE_PIECES = 1 << 18
+CACHE_PIECES = 3 << 17
 #: Characters whose encodings are held at once.
 BATCH_CHARS = 1 << 15
 _SPACE = "▁"
@@ -69,13 +69,13 @@ class Pieces(NamedTuple):
 
 
 def _none() -> Pieces:
-    return Pieces(np.zeros(0, bool), np.zeros((0, 4), np.int64), [], np.zeros(1, np.int64), np.zeros(0, np.int64))
+    return Pieces(np.zeros(0, bool), np.zeros((0, 4), np.int32), [], np.zeros(1, np.int64), np.zeros(0, np.int32))
 
 
 def _chained(parts: list[Pieces]) -> Pieces:
     links = np.concatenate([p.links for p in parts])
     sizes = np.concatenate([p.sizes for p in parts])
-    return Pieces(np.concatenate([p.right for p in parts]), sizes, [g for p in parts for g in p.groups], np.concatenate([[0], np.cumsum(sizes[:, 3])]), links)
+    return Pieces(np.concatenate([p.right for p in parts]), sizes, [g for p in parts for g in p.groups], np.concatenate([[0], np.cumsum(sizes[:, 3], dtype=np.int64)]), links)
 
 
 class _Bytes:
@@ -155,7 +155,7 @@ class Aligner:
         protos = self.b.encode(texts, return_type="proto", num_threads=1)
         ids_, ends_, count_ = [], [], []
         for p in protos:
-            pieces = p.pieces
+            pieces = list(p.pieces)  # each is made anew when it is asked for
             count_.append(len(pieces))
             ids_ += [x.id for x in pieces]
             ends_ += [x.end for x in pieces]
@@ -221,7 +221,8 @@ class Aligner:
         written = [self.signs[i] for i in sign.tolist()]
         ends = np.cumsum(sizes[:, 0] + sizes[:, 1]).tolist()
         groups = ["".join(written[a:b])[:-1] for a, b in zip([0, *ends], ends)]
-        return Pieces(right, sizes, groups, np.concatenate([[0], np.cumsum(sizes[:, 3])]), links)
+        kept = links.astype(np.int32) if self.n_b * len(self.bytes_a.words) < 1 << 31 else links  # a cache holds them
+        return Pieces(right, sizes.astype(np.int32), groups, np.concatenate([[0], np.cumsum(sizes[:, 3])]), kept)
 
     def pieces(self, texts: list[str]) -> np.ndarray:
         """The places in :attr:`store` of distinct texts; those not seen of late are encoded. One that begins with a line feed
@@ -244,8 +245,8 @@ class Aligner:
             keep[:] = False
         names = [t for t, k in zip(self.seen, keep.tolist(), strict=True) if k]
         s = self.store
-        links = s.links[_ranges(s.first[:-1][keep], s.sizes[keep, 3])]
-        self.store = Pieces(s.right[keep], s.sizes[keep], [s.groups[i] for i in np.flatnonzero(keep).tolist()], np.concatenate([[0], np.cumsum(s.sizes[keep, 3])]), links)
+        links = s.links[_ranges(s.first[:-1][keep], s.sizes[keep, 3].astype(np.int64))]
+        self.store = Pieces(s.right[keep], s.sizes[keep], [s.groups[i] for i in np.flatnonzero(keep).tolist()], np.concatenate([[0], np.cumsum(s.sizes[keep, 3], dtype=np.int64)]), links)
         self.seen, self.used = {t: i for i, t in enumerate(names)}, np.ones(len(names), np.int64)
 
 
@@ -279,7 +280,7 @@ def align_slice(aligner: Aligner, texts: pa.Array) -> Aligned:
     names = place.tolist()
     for i in np.flatnonzero(plain).tolist():
         digests[i] = hashlib.sha256(";".join([store.groups[c] for c in names[ends[i] : ends[i + 1]]]).encode()).hexdigest()
-    each = store.sizes[place, 3]
+    each = store.sizes[place, 3].astype(np.int64)
     rows, links = [np.repeat(row, each)], [store.links[_ranges(store.first[place], each)]]
     for i in np.flatnonzero(again).tolist():
         p = aligner.align([texts[i].as_py()], np.zeros(1, bool))
