@@ -1,6 +1,6 @@
 """A topic as one query: deduplicated events, late events, per-minute counts and totals from a single pass over each batch.
 
-The reference shape is two queries a topic, each with a state of its own; here a batch is deduplicated once and written to all
+Where two queries a topic have a state each, here a batch is deduplicated once and written to all
 sinks, each idempotent by the batch's number (:mod:`tidemark.streaming.batches`): a batch that runs again after a failure
 writes the same rows to the same folders.
 
