@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -138,3 +139,13 @@ def test_hot_ids_fill_several_ranges(spark):
         seen.add(at)
         at = after[at]
     assert len(seen) == 1200
+
+
+def test_many_ranges_take_a_short_plan(spark):
+    """Bounds of 16,000 ranges are one text each; the plan is built and analysed at once."""
+    cuts = [(k, (1 << 63) - 1) for k in range(16_000, 0, -1)]
+    began = time.perf_counter()
+    placed = spark.range(0, 20_000, 7).select(F.col("id").alias("_key"), F.xxhash64("id").alias("_tie")).withColumn("r", om._place(cuts))
+    placed._jdf.queryExecution().executedPlan()
+    assert time.perf_counter() - began < 5
+    assert all(r["r"] == max(0, 16_000 - r["_key"]) for r in placed.collect())

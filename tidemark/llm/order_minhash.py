@@ -23,6 +23,7 @@ id and the text are read, whatever other columns are called; :func:`with_fingerp
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -104,10 +105,11 @@ def with_next(docs: DataFrame, ranges: int) -> DataFrame:
     tops = {r["r"]: (r["top"][0], ~r["top"][1]) for r in places.groupBy(place.alias("r")).agg(first.alias("top")).collect()}
     full = sorted(tops)
     above = {r: full[i - 1] for i, r in enumerate(full)}  # the first range's top visits the last range
-    at = lambda value: F.get(F.array(*[value(r) for r in range(full[-1] + 1)]), F.col("_range")) if full else F.lit(None)
-    top = at(lambda r: F.struct(*[F.lit(x).cast("long") for x in tops.get(r, (0, 0))], F.lit(above.get(r, 0)).cast("int").alias("above")))
+    every = range(full[-1] + 1 if full else 0)
+    of_range = lambda values: F.get(_longs(values), F.col("_range"))
+    top = F.struct(*[of_range([tops.get(r, (0, 0))[i] for r in every]).alias(name) for i, name in enumerate(("key", "tie"))], of_range([above.get(r, 0) for r in every]).cast("int").alias("above"))
     here = F.struct(F.col("_range"), F.lit(False).alias("_visitor"))
-    is_top = (F.col("_top.col1") == F.col("_key")) & (F.col("_top.col2") == F.col("_tie"))
+    is_top = (F.col("_top.key") == F.col("_key")) & (F.col("_top.tie") == F.col("_tie"))
     there = F.when(is_top, F.struct(F.col("_top.above").alias("_range"), F.lit(True).alias("_visitor"))) if full else F.lit(None).cast("struct<_range:int,_visitor:boolean>")
     rows = docs.withColumn("_range", place).withColumn("_top", top)
     rows = rows.select("doc_id", "text", "_key", "_tie", F.explode(F.array_compact(F.array(here, there))).alias("_at")).select("doc_id", "text", "_key", "_tie", "_at.*")
@@ -125,15 +127,22 @@ def _cuts(quantiles: list[float]) -> list[tuple[int, int]]:
     return [(key, high if i == n else low + (2**64 * i) // (n + 1)) for key, n in sorted(counts.items(), reverse=True) for i in range(1, n + 1)]
 
 
+def _longs(values: Iterable[int]) -> Column:
+    """An array of longs that the optimizer makes from one literal text: building it takes no call for each number."""
+    text = ",".join(map(str, values))
+    return F.split(F.lit(text), ",").cast("array<bigint>") if text else F.array().cast("array<bigint>")
+
+
 def _place(cuts: list[tuple[int, int]]) -> Column:
     """How many cuts lie before the row, by a coarse and then a fine look."""
-    step = max(1, int(len(cuts) ** 0.5))
-    array = lambda some: F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(t).cast("long").alias("t")) for k, t in some])
-    before = lambda c: (c["k"] > F.col("_key")) | ((c["k"] == F.col("_key")) & (c["t"] < F.col("_tie")))
     if not cuts:
         return F.lit(0)
-    passed = F.size(F.filter(array(cuts[step - 1 :: step]), before)) * step
-    return (passed + F.size(F.filter(F.slice(array(cuts), passed + 1, F.lit(step)), before))).cast("int")
+    step = max(1, int(len(cuts) ** 0.5))
+    keys, ties = (_longs(c[i] for c in cuts) for i in (0, 1))
+    before = lambda i: (F.get(keys, i) > F.col("_key")) | ((F.get(keys, i) == F.col("_key")) & (F.get(ties, i) < F.col("_tie")))
+    passed = F.size(F.filter(_longs(range(step - 1, len(cuts), step)).cast("array<int>"), before)) * step
+    fine = lambda p: p + F.size(F.filter(F.sequence(p, F.least(p + step, F.lit(len(cuts))) - 1), before))
+    return F.get(F.transform(F.array(passed), lambda p: F.when(p < len(cuts), fine(p)).otherwise(p)), 0).cast("int")
 
 
 def as_text(sketch: str) -> Column:
