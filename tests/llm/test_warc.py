@@ -6,6 +6,7 @@ import base64
 import gzip
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
@@ -90,3 +91,29 @@ def test_one_digest_on_a_third_of_the_rows(spark, folder):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_revisits_are_not_shuffled(spark, folder, monkeypatch):
+    """Beyond the bound of the broadcast the archives are the same."""
+    rows = [(i, None, "same " * 50 if i % 3 else f"own {i}") for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seen = []
+    write = warc.write_warc
+    monkeypatch.setattr(warc, "write_warc", lambda chunks, *rest: seen.append(chunks.count()) or write(chunks, *rest))
+    read = lambda m: sorted(tuple(r) for r in warc.read_warc(m).where("last").select("page_id", "record_type", "declared_digest", "digest").collect())
+    few = read(warc.archive_pages(pages, f"{folder}/a"))
+    monkeypatch.setattr(warc, "REVISIT_KEYS", 3)
+    assert read(warc.archive_pages(pages, f"{folder}/b")) == few and len(few) == 30
+    assert seen == [11, 30]
+
+
+def test_a_payload_that_changed_is_refused(spark, folder):
+    """The writer holds the digest that the chunks carry against the head's."""
+    records = spark.createDataFrame([("k", b"before"), ("l", b"")], "record_key string, payload binary")
+    heads = warc.payload_digests(records, ["record_key"]).selectExpr("record_key", "1L page_id", "'u' url", "payload_bytes", "sha1", "cast(null as long) refers_to", "cast(null as string) response_key")
+    assert warc.write_warc(warc.chunk_records(records, chunk_bytes=2), heads, f"{folder}/a").agg(F.sum("n_records")).first()[0] == 2
+    changed = records.withColumn("payload", F.when(F.col("record_key") == "k", F.lit(b"after!")).otherwise(F.col("payload")))
+    with pytest.raises(Exception, match="not the one its digest was taken of"):
+        warc.write_warc(warc.chunk_records(changed), heads, f"{folder}/b")
+    with pytest.raises(Exception, match="not the one its digest was taken of"):
+        warc.write_warc(warc.chunk_records(records.limit(0)), heads, f"{folder}/c")

@@ -1,14 +1,17 @@
 """WARC archives through a chunked record table.
 
 A payload becomes rows of a record key and a chunk number (:func:`chunk_records`), each with the SHA-1 and the number of
-bytes of the payload so far; the last one of a record carries the digest of the whole. Archives are written from these
-rows and read back as such rows, so neither side ever builds a record in memory: the writer appends a chunk at a time to
-a gzip member, the reader inflates a block at a time.
+bytes of the payload so far; the last one of a record carries the digest of the whole. Which record is the response is
+decided by digests that the same walk over chunks gives. Archives are written from these rows and read back as such rows, so
+neither side ever builds a record in memory: the writer appends a chunk at a time to a gzip member, the reader inflates a
+block at a time. The writer holds the digest that a record's last chunk carries against the one its head declares and raises
+where they differ, as they do if the input changed between its two readings.
 
 Equal payloads of at least ``min_bytes`` bytes: the one with the largest page id is the response, the others revisit it.
 The largest id of each digest comes from a map-side aggregate, pinned, so that digests and ids meet in a join of their own,
-which adaptive execution splits where one digest holds many rows. Payloads are shuffled once, by a row key of their own; those
-of revisits are left out when they meet their heads.
+which adaptive execution splits where one digest holds many rows. Payloads are shuffled once, by a row key of their own. Those
+of revisits are left out before that, by a broadcast of their keys, where these are at most ``REVISIT_KEYS``; with more
+revisits they are left out when they meet their heads. The archives are the same.
 
 A null payload is an empty one. Rows with a null page id are written too; they are responses only if no equal payload has
 an id. Repeated ids keep all their rows. An empty table gives an empty manifest. Columns other than page_id, url and html
@@ -30,12 +33,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import common
 
 CHUNK_BYTES = 1 << 20
 #: Rows of chunks are handed on when they hold about so much.
 BATCH_BYTES = 1 << 22
+#: Keys of revisits that are broadcast (about 30 bytes each), so that their payloads are not shuffled.
+REVISIT_KEYS = 1 << 19
 #: An archive is closed at the first record end after this many compressed bytes.
 ARCHIVE_BYTES = 1 << 28
 NO_URL = "urn:none"
@@ -47,6 +53,18 @@ def base32_sha1(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
+def _walk(data: pa.Scalar, chunk_bytes: int) -> Iterator[tuple[int, bool, memoryview, int, bytes]]:
+    """chunk number, whether it is the last, its bytes, and the length and SHA-1 of the payload up to its end."""
+    view = memoryview(data.as_buffer() or b"")
+    running, at, no = hashlib.sha1(), 0, 0
+    while no == 0 or at < len(view):
+        piece = view[at : at + chunk_bytes]
+        running.update(piece)
+        at += len(piece)
+        yield no, at >= len(view), piece, at, running.digest()
+        no += 1
+
+
 def chunk_records(records: DataFrame, key: str = "record_key", payload: str = "payload", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Rows of ``record_key, chunk_no, last, data, bytes_so_far, sha1_so_far``; an empty payload has one empty chunk."""
 
@@ -55,14 +73,9 @@ def chunk_records(records: DataFrame, key: str = "record_key", payload: str = "p
         held = 0
         for batch in batches:
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                view = memoryview(data.as_buffer() or b"")
-                running, at, no = hashlib.sha1(), 0, 0
-                while no == 0 or at < len(view):
-                    piece = view[at : at + chunk_bytes]
-                    running.update(piece)
-                    at += len(piece)
-                    rows.append((k, no, at >= len(view), bytes(piece), at, running.digest()))
-                    no, held = no + 1, held + len(piece)
+                for no, last, piece, at, digest in _walk(data, chunk_bytes):
+                    rows.append((k, no, last, bytes(piece), at, digest))
+                    held += len(piece)
                     if held >= BATCH_BYTES or len(rows) >= 10_000:
                         yield _rows(rows, ARROW_CHUNK)
                         rows, held = [], 0
@@ -79,10 +92,21 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def payload_digests(records: DataFrame, keep: list[str], payload: str = "payload") -> DataFrame:
-    """``keep`` columns with the length and the digest of each whole payload, hashed where the row is."""
-    data = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
-    return records.select(*keep, F.octet_length(data).cast("long").alias("payload_bytes"), F.unhex(F.sha1(data)).alias("sha1"))
+def payload_digests(records: DataFrame, keep: list[str], payload: str = "payload", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``keep`` columns with the length and the SHA-1 that the last chunk of each payload carries; no payload leaves its task."""
+    rows = records.select(*keep, F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias(common.free_name(records, "payload")))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = []
+            for data in batch.column(batch.num_columns - 1):
+                *_, end = _walk(data, chunk_bytes)
+                ends.append(end[3:])
+            made = [pa.array([e[i] for e in ends], t) for i, t in enumerate((pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*keep, "payload_bytes", "sha1"])
+
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("payload_bytes", T.LongType()), T.StructField("sha1", T.BinaryType())])
+    return rows.mapInArrow(digest, schema)
 
 
 def decide(digests: DataFrame, min_bytes: int = 0, key: str | None = None) -> DataFrame:
@@ -156,36 +180,46 @@ def write_warc(chunks: DataFrame, records: DataFrame, folder: str, archive_bytes
     """Write archives; returns their paths and record counts.
 
     ``records`` has a row for each record: record_key, page_id, url, payload_bytes, sha1, refers_to, response_key. ``chunks`` is
-    a chunk table. The two meet by record key, in chunk order, each task streaming its rows.
+    a chunk table; it may lack the chunks of revisits, which are not stored. The two meet by record key, in chunk order, each
+    task streaming its rows. Raises where a record's chunks do not end with the length and the digest it declares.
     """
     fs, at = common.file_system(folder)
     fs.create_dir(at, recursive=True)
-    cols = ["record_key", "chunk_no", "last", "data", "page_id", "url", "payload_bytes", "sha1", "refers_to", "response_key"]
-    # heads come first (chunk -1); chunks of revisits are not stored
-    heads = records.select("record_key", F.lit(-1).alias("chunk_no"), F.lit(False).alias("last"), F.lit(b"").alias("data"), *cols[4:])
-    body = chunks.select("record_key", "chunk_no", "last", "data", *[F.lit(None).cast(heads.schema[c].dataType).alias(c) for c in cols[4:]])
+    cols = ["page_id", "url", "payload_bytes", "sha1", "refers_to", "response_key"]
+    # heads come first (chunk -1) and have their own length and digest; a chunk has those of the payload so far
+    heads = records.select("record_key", F.lit(-1).alias("chunk_no"), F.lit(b"").alias("data"), *cols)
+    carried = {"payload_bytes": F.col("bytes_so_far"), "sha1": F.col("sha1_so_far")}
+    body = chunks.select("record_key", "chunk_no", "data", *[carried.get(c, F.lit(None)).cast(heads.schema[c].dataType).alias(c) for c in cols])
     rows = heads.unionByName(body).repartition("record_key").sortWithinPartitions("record_key", "chunk_no")
 
+    names = ("record_key", *cols)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, done, key, store = None, [], None, False
+        out, done, row, upto = None, [], None, None
+        read = lambda batch, i, *names: tuple(batch.column(c)[i].as_py() for c in names)
+
+        def end() -> None:
+            if row["refers_to"] is None and upto != (row["payload_bytes"], row["sha1"]):
+                raise ValueError(f"the payload of {row['record_key']} is not the one its digest was taken of")
+            out.end()
+
         for batch in batches:
             for i in range(batch.num_rows):
-                no = batch.column("chunk_no")[i].as_py()
-                if no == -1:
-                    if key is not None:
-                        out.end()
+                if batch.column("chunk_no")[i].as_py() == -1:
+                    if row is not None:
+                        end()
                         if out.size >= archive_bytes:
                             out.out.close()
                             done.append(out)
                             out = None
                     out = out or ArchiveWriter(folder)
-                    row = {c: batch.column(c)[i].as_py() for c in ("record_key", *cols[4:])}
-                    key, store = row["record_key"], row["refers_to"] is None
+                    row, upto = dict(zip(names, read(batch, i, *names), strict=True)), None
                     out.begin(row)
-                elif store:
+                elif row["refers_to"] is None:
                     out.chunk(batch.column("data")[i].as_py())
+                    upto = read(batch, i, "payload_bytes", "sha1")
         if out:
-            out.end()
+            end()
             out.out.close()
             done.append(out)
         yield pa.RecordBatch.from_arrays([pa.array([d.path for d in done], pa.string()), pa.array([d.records for d in done], pa.int64())], ["path", "n_records"])
@@ -288,8 +322,10 @@ def archive_pages(pages: DataFrame, folder: str, min_bytes: int = 0, chunk_bytes
     """
     html: Column = F.coalesce(F.encode(F.col("html"), "UTF-8"), F.lit(b""))
     keyed = pages.select(F.concat_ws("-", F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.monotonically_increasing_id()).alias("record_key"), F.col("page_id").cast("long"), "url", html.alias("payload"))
-    records = common.pin(decide(payload_digests(keyed, ["record_key", "page_id", "url"]), min_bytes, "record_key"), "warc-records")
-    return write_warc(chunk_records(keyed, chunk_bytes=chunk_bytes), records, folder)
+    records = common.pin(decide(payload_digests(keyed, ["record_key", "page_id", "url"], chunk_bytes=chunk_bytes), min_bytes, "record_key"), "warc-records")
+    revisits = records.where("refers_to is not null").select("record_key")
+    stored = keyed.join(F.broadcast(revisits), "record_key", "left_anti") if revisits.count() <= REVISIT_KEYS else keyed
+    return write_warc(chunk_records(stored, chunk_bytes=chunk_bytes), records, folder)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
