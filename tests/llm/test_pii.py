@@ -5,12 +5,15 @@ from __future__ import annotations
 import hashlib
 import re
 import time
+from collections import Counter
 
+import numpy as np
+import pytest
 from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tests.conftest import MEDIUM
+from tests.conftest import MEDIUM, SMALL
 from tidemark.llm import common, pii
 
 
@@ -141,3 +144,69 @@ def test_reliabilities(spark):
     assert model.reliabilities["email"]["context"][0] > 0.8
     counts = docs.select(F.explode("candidates").alias("s")).where("s.base").count()
     assert counts >= 60
+
+
+def plain_model(rows, rounds=50):
+    """Expectation-maximisation over single candidates (votes of one kind), each a row of its own, in arrays."""
+    votes = np.array(rows)
+    start = {(x, y): np.array([0.1 if y else 0.6, 0.3, 0.6 if y else 0.1]) for x in range(votes.shape[1]) for y in (0, 1)}  # against, none, for
+    given, share = dict(start), 0.5
+    for _ in range(rounds):
+        p = plain_posteriors(votes, share, given)
+        share = (p.sum() + 2) / (len(p) + 4)
+        for (x, y), prior in start.items():
+            weight = p if y else 1 - p
+            seen = 8 * prior + np.array([weight[votes[:, x] == v].sum() for v in (-1, 0, 1)])
+            given[x, y] = seen / seen.sum()
+    return share, given
+
+
+def plain_posteriors(votes, share, given):
+    yes, no = (np.full(len(votes), s) for s in (share, 1 - share))
+    for x in range(votes.shape[1]):
+        yes, no = yes * given[x, 1][votes[:, x] + 1], no * given[x, 0][votes[:, x] + 1]
+    return yes / (yes + no)
+
+
+def gradient(weights, on, target, weight, ridge=0.01):
+    """That of the mean log-likelihood with soft targets, less the ridge, over one-hot rows."""
+    return on.T @ (weight * (target - 1 / (1 + np.exp(-on @ weights)))) - ridge * weights
+
+
+def test_model_against_plain_expectation_maximisation(spark):
+    """Posteriors and reliabilities of the counted form are those over single candidates; the classifier is near the
+    optimum of its loss, and Spark scores with its weights."""
+    texts = [r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect()]
+    texts += [f"please mail anna{i} [at] example [dot] org, or phone: (0{30 + i}) 555-12{10 + i}; release 20{10 + i}.11.12 at noon dot and {i}" for i in range(40)]
+    docs = common.pin(pii.with_candidates(spark.createDataFrame([(t,) for t in texts], "text string")), "test-candidates")
+    model = pii.fit(docs)
+    spans = [r["s"] for r in docs.select(F.explode("candidates").alias("s")).collect()]
+    assert len({s["rank"] for s in spans}) == len(pii.KINDS)
+    for rank, kind in enumerate(pii.KINDS):
+        mine = [s for s in spans if s["rank"] == rank]
+        votes = np.array([[s[x] for x in pii.LABELERS] for s in mine])
+        share, given = plain_model(votes)
+        for x, name in enumerate(pii.LABELERS):
+            assert model.reliabilities[kind][name] == pytest.approx((given[x, 1][2], given[x, 0][0]), abs=1e-9)
+        as_dict = {(x, bool(y), v): given[x, y][v + 1] for x, y in given for v in (-1, 0, 1)}
+        plain = plain_posteriors(votes, share, given)
+        assert [pii._posterior(tuple(v), share, as_dict) for v in votes.tolist()] == pytest.approx(np.clip(plain, 1e-13, 1), abs=1e-9)
+        # the rows the classifier is fitted to: distinct patterns by the logarithm of their count, and the anchors
+        seen = Counter((tuple(v), s["size"], s["shape"]) for v, s in zip(votes.tolist(), mine))
+        anchors = [((*[v if i == x else 0 for i in range(5)],), s, s % pii.SHAPES, 1) for x in range(5) for v in (-1, 0, 1) for s in range(pii.SIZES)]
+        rows = [(*k, n) for k, n in seen.items()] + anchors
+        on = np.zeros((len(rows), 11 + pii.SIZES + pii.SHAPES))
+        for i, (v, size, shape, _) in enumerate(rows):
+            on[i, [0, 11 + size, 11 + pii.SIZES + shape, *[1 + 2 * x + (y == -1) for x, y in enumerate(v) if y]]] = 1
+        weight = np.log1p([r[3] for r in rows])
+        target = plain_posteriors(np.array([r[0] for r in rows]), share, given)
+        weights = np.zeros(on.shape[1])
+        for _ in range(300):
+            weights = weights + 2 * gradient(weights, on, target, weight / weight.sum())
+        assert model.weights[rank] == pytest.approx(weights.tolist(), abs=1e-9)
+        assert np.abs(gradient(weights, on, target, weight / weight.sum())).max() < 2e-3
+    scored = docs.select(F.explode("candidates").alias("s")).select("s", model.probability(F.col("s")).alias("p")).collect()
+    for r in scored:
+        w, s = model.weights[r["s"]["rank"]], r["s"]
+        on = [0, 11 + s["size"], 11 + pii.SIZES + s["shape"], *[1 + 2 * x + (s[n] == -1) for x, n in enumerate(pii.LABELERS) if s[n]]]
+        assert r["p"] == pytest.approx(1 / (1 + np.exp(-sum(w[i] for i in on))), abs=1e-9)

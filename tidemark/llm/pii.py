@@ -15,6 +15,10 @@ in two levels; loose spans meet base spans by their ranks in one sorted array, a
 so a text with many spans costs little more than linear time. Patterns start at the first character of a run and use
 possessive repeats: long runs of letters or digits cost linear time and constant stack.
 
+What labelers propose has bounds that its kind has anyway: the part before a spelled-out *at* has at most 64 characters, a
+label of a host 63, a host four *dot* groups, and what follows a word that announces a phone at most 22 signs; longer ones are not proposed. They never
+touch base spans. The words around a span are the ``AROUND`` characters next to it, and end at the next match of its kind.
+
 A null text is an empty one. Repeated rows and null ids are handled row by row; an empty table gives no rows. Only the text
 is read; the result replaces a column of its name, all others stay as they are.
 """
@@ -200,7 +204,6 @@ class SpanModel:
         return F.filter(candidates, lambda s: s["base"] | (self.probability(s) >= 0.5))
 
 
-
 def vote_counts(df: DataFrame, candidates: str = "candidates") -> list:
     """How often each kind, vote pattern and surface occurs: at most 4 x 3^5 x 20 rows, whatever the corpus."""
     return df.where(F.size(candidates) > 0).select(F.explode(candidates).alias("s")).groupBy("s.rank", *[f"s.{x}" for x in LABELERS], "s.size", "s.shape").count().collect()
