@@ -190,6 +190,10 @@ def test_compaction_over_a_restart(spark, folder, tmp_path):
             assert held.count() == 2 * (i + 1)
             assert topics.read_totals(spark, root).first()["total_count"] == 2 * (i + 1)
     assert len(list((tmp_path / "topic/events").glob("batch_id=*"))) <= 4
+    # events get a segment for each fold, so none is written again; what is bounded is folded into one
+    sizes = {f: spark.read.parquet(f"{root}/events/_folded/upto={f}").count() for f in (1, 3, 5, 7, 9)}
+    assert sizes == dict.fromkeys((1, 3, 5, 7, 9), 4) and batches.folds(spark, f"{root}/events") == {1: -1, 3: 1, 5: 3, 7: 5, 9: 7}
+    assert sorted(p.name for p in (tmp_path / "topic/counts/_folded").glob("upto=*")) == ["upto=7", "upto=9"]
     (tmp_path / "topic/events/_folded/upto=99").mkdir(parents=True)
     (tmp_path / "topic/events/_folded/upto=99/part-0.parquet").write_text("half a file")
     assert len(_topic_rows(spark, root)) == 20
