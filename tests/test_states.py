@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 
-from tidemark.operators import marts, states
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.operators import incremental, marts, states
 
 DDL = "order_event_date date, order_id string, customer_id string, product_id string, item_total_amount double, item_price double, item_freight_value double"
 
@@ -30,6 +33,27 @@ def test_states_over_loads(spark, folder):
     assert sorted(r["id"] for r in ids) == list(range(1, len(ids) + 1)) and len({r["key"] for r in ids}) == len(ids)
 
 
+def test_dictionary_is_not_shuffled(spark, folder):
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        keys = lambda a, b: spark.range(a, b).select(F.col("id").cast("string").alias("k"))
+        path = f"{folder}/ids"
+        states.dense_ids(keys(0, 100), path, 8)
+        ids = states.dense_ids(keys(50, 160), path, 8)
+        assert sorted(r["id"] for r in ids.collect()) == list(range(1, 161)) and ids.select("key").distinct().count() == 160
+        member = keys(0, 20).withColumnRenamed("k", "key").join(ids, "key")
+        plan = member._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+        # a load that stopped between dictionary and index
+        incremental.KeyIndex(spark, path, T.StructType([T.StructField("key", T.StringType())]), 8).begin()
+        spark.createDataFrame([("x", 161)], "key string, id long").write.mode("append").parquet(path)
+        again = states.dense_ids(keys(0, 5).union(spark.createDataFrame([("x",), ("y",)], "k string")), path, 8)
+        assert {r["key"]: r["id"] for r in again.where("key in ('x', 'y')").collect()} == {"x": 161, "y": 162}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+
+
 def test_dense_ids_of_nothing(spark, folder):
     none = spark.createDataFrame([(None,)], "k string")
     assert states.dense_ids(none, f"{folder}/ids").count() == 0

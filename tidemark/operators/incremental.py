@@ -9,6 +9,7 @@ finds one, or a fact without an index, makes the index anew from the fact.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark import StorageLevel
@@ -33,6 +34,8 @@ class KeyIndex(NamedTuple):
     path: str
     schema: T.StructType
     buckets: int
+    #: Columns of the fact that the index has besides the keys.
+    extra: T.StructType = T.StructType([])
 
     @property
     def keys(self) -> list[str]:
@@ -51,7 +54,7 @@ class KeyIndex(NamedTuple):
     def table(self) -> DataFrame:
         """The keys, bucketed; an external table of this session over the files."""
         name = f"keys_{hashlib.md5(self._files().encode()).hexdigest()}"
-        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema)
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (*self.schema, *self.extra))
         by = ", ".join(f"`{k}`" for k in self.keys)
         self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{self._files()}'")
         self.spark.catalog.refreshTable(name)
@@ -60,7 +63,7 @@ class KeyIndex(NamedTuple):
     def _write(self, rows: DataFrame, mode: str) -> None:
         name = f"keys_{hashlib.md5(self._files().encode()).hexdigest()}"
         self.table()
-        dealt = rows.select(*self.keys).repartition(self.buckets, *self.keys)  # a file for each bucket
+        dealt = rows.select(*self.keys, *self.extra.names).repartition(self.buckets, *self.keys)  # a file for each bucket
         if mode == "overwrite":
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             sinks.remove(self.spark, self._files())
@@ -84,6 +87,12 @@ class KeyIndex(NamedTuple):
     def done(self) -> None:
         sinks.remove(self.spark, self._at("_loading"))
 
+    def merge_if_many(self, fact: Callable[[], DataFrame]) -> None:
+        """Write the index anew after many appends."""
+        if self.appends() > MERGE_EVERY:
+            self.begin()
+            self.ready(fact())
+
     def appends(self) -> int:
         """How many files the fullest bucket has, as far as their count tells."""
         fs, at = sinks._file_system(self.spark, self._files())
@@ -95,10 +104,13 @@ def new_rows(rows: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame
     return rows.dropna(subset=keys).join(existing.select(*keys), keys, "left_anti")
 
 
+def buckets_of(spark: SparkSession) -> int:
+    return max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def load_fact(spark: SparkSession, rows: DataFrame, path: str, keys: list[str], month: str, time: str = "event_time", buckets: int | None = None) -> int:
     """Append the new rows to the fact at ``path``, by month; returns how many. A second run with the same rows adds none."""
-    n_buckets = buckets or max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    index = KeyIndex(spark, path, T.StructType([T.StructField(k, rows.schema[k].dataType) for k in keys]), n_buckets)
+    index = KeyIndex(spark, path, T.StructType([T.StructField(k, rows.schema[k].dataType) for k in keys]), buckets or buckets_of(spark))
     existing = read_or_empty(spark, path, rows.schema)
     index.ready(existing)
     fresh = new_rows(rows.where(F.col(time).isNotNull()), index.table(), keys).persist(StorageLevel.DISK_ONLY)
@@ -109,9 +121,7 @@ def load_fact(spark: SparkSession, rows: DataFrame, path: str, keys: list[str],
             append(fresh, path, month)
             index.add(fresh)
             index.done()
-            if index.appends() > MERGE_EVERY:
-                index.begin()
-                index.ready(read_or_empty(spark, path, rows.schema))
+            index.merge_if_many(lambda: read_or_empty(spark, path, rows.schema))
         return n
     finally:
         fresh.unpersist()

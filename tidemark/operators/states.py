@@ -5,7 +5,8 @@ dense ids: bit positions in buckets of 32,768, so states merge by OR and a count
 aggregates; a row holds 4 KB at most, and a group with many members is many rows, never one.
 
 Dense ids come from a dictionary beside the states: new keys are numbered on from the last one, in the order of a row
-index, so keys that arrive together share buckets. A load writes its states below its own number, which a mark names when
+index, so keys that arrive together share buckets. The dictionary has a bucketed index, like a fact, by which a load joins: the
+keys of earlier loads are read but not shuffled. A load writes its states below its own number, which a mark names when
 they are complete; a load that runs again replaces what it left.
 
 Groups that hang on a dimension (category, segment) are those of the dimension when the increment was loaded. Null orders
@@ -16,8 +17,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.scalars import amount
+from tidemark.operators.incremental import KeyIndex, buckets_of
 from tidemark.operators.indexing import with_row_index
 from tidemark.operators.marts import AMOUNTS
 from tidemark.sources.readers import read_or_empty
@@ -26,15 +29,23 @@ from tidemark.sources.sinks import remove
 COUNTED = {"order_count": "order_id", "customer_count": "customer_id"}
 
 
-def dense_ids(keys: DataFrame, path: str) -> DataFrame:
-    """(key, id) for every distinct key of a one-column table that is not null; those not in the dictionary at ``path`` are added."""
-    spark, name = keys.sparkSession, keys.columns[0]
-    known = read_or_empty(spark, path, "key string, id long")
-    fresh = keys.select(F.col(name).cast("string").alias("key")).dropna().distinct().join(known, "key", "left_anti")
+def dense_ids(keys: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
+    """(key, id), bucketed by key, for every distinct key of a one-column table that is not null; those not in the dictionary at
+    ``path`` are added. One writer at a time."""
+    spark, name, schema = keys.sparkSession, keys.columns[0], "key string, id long"
+    key, number = T.StructField("key", T.StringType()), T.StructField("id", T.LongType())
+    index = KeyIndex(spark, path, T.StructType([key]), buckets or buckets_of(spark), T.StructType([number]))
+    known = read_or_empty(spark, path, schema)
+    index.ready(known)
     last = known.agg(F.max("id")).first()[0]
+    fresh = keys.select(F.col(name).cast("string").alias("key")).dropna().distinct().join(index.table(), "key", "left_anti")
     made = with_row_index(fresh, "key", name="nth").select("key", (F.col("nth") + (last or 0)).alias("id"))  # pinned, so it outlives the append
+    index.begin()
     made.write.mode("append").parquet(path)
-    return read_or_empty(spark, path, "key string, id long")
+    index.add(made)
+    index.done()
+    index.merge_if_many(lambda: read_or_empty(spark, path, schema))
+    return index.table()
 
 
 def sales_states(rows: DataFrame, groups: list[str], ids: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
