@@ -99,6 +99,14 @@ def test_persona_columns(spark):
         sampling.normalize_persona(rows.drop("text"))
 
 
+def test_helper_columns_take_free_names(spark):
+    """Columns of a caller that are named like helpers stay as they are."""
+    rows = spark.range(6).selectExpr("id k", "id * 2 _range", "id * 3 _nth", "id * 5 _before", "id * 7 _event", "id % 2 g")
+    got = sorted(map(tuple, indexing.with_row_index(rows, "k", name="_nth_").collect()))
+    assert got == [(i, 2 * i, 3 * i, 5 * i, 7 * i, i % 2, i + 1) for i in range(6)]
+    assert sorted(map(tuple, events.first_per_key(rows, ["g"], "k").collect())) == [(i, 2 * i, 3 * i, 5 * i, 7 * i, i) for i in range(2)]
+
+
 def test_row_index_is_a_permutation(spark):
     rows = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5000).alias("k"))
     got = indexing.with_row_index(rows, "k").collect()

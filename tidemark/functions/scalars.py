@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -69,3 +69,12 @@ def timestamp_or_null(c: str | Column, ntz: bool = False) -> Column:
     """Text or timestamp to timestamp; what cannot be read is null. Columns that are timestamps pass through by a cast."""
     col = F.col(c) if isinstance(c, str) else c
     return col.try_cast("timestamp_ntz" if ntz else "timestamp")
+
+
+def free_name(df: DataFrame, stem: str, *taken: str) -> str:
+    """A name for a helper column that neither ``df`` nor ``taken`` has."""
+    names = {c.lower() for c in (*df.columns, *taken)}
+    name = f"_{stem}"
+    while name.lower() in names:
+        name += "_"
+    return name

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.scalars import event_time_text, first_filled, key_hash
+from tidemark.functions.scalars import event_time_text, first_filled, free_name, key_hash
 
 _text = lambda *names: T.StructType([T.StructField(n, T.StringType()) for n in names])
 ORDER_SCHEMA = _text("event_id", "event_type", "event_time", "order_id", "customer_id", "order_status")
@@ -23,10 +23,11 @@ def _events(df: DataFrame, kinds: list[tuple[str, Column, Column]], key: str, *f
         F.when(condition & time.isNotNull(), F.struct(F.lit(kind).alias("event_type"), time.alias("at"), F.lit(i).alias("priority")))
         for i, (kind, condition, time) in enumerate(kinds, 1)
     ]))
-    rows = df.withColumn("_event", F.explode(found))
+    event = free_name(df, "event")
+    rows = df.withColumn(event, F.explode(found))
     return rows.select(
-        F.concat("_event.event_type", F.lit("_"), key).alias("event_id"), "_event.event_type",
-        event_time_text("_event.at").alias("event_time"), *fields, F.col("_event.priority").alias("priority"),
+        F.concat(f"{event}.event_type", F.lit("_"), key).alias("event_id"), f"{event}.event_type",
+        event_time_text(f"{event}.at").alias("event_time"), *fields, F.col(f"{event}.priority").alias("priority"),
     )
 
 
@@ -95,5 +96,6 @@ def require_fields(df: DataFrame, *names: str) -> DataFrame:
 
 def first_per_key(df: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
     """One row for each key: the first in the given order, which should leave no ties."""
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    nth = free_name(df, "nth")
+    numbered = df.withColumn(nth, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return numbered.where(F.col(nth) == 1).drop(nth)

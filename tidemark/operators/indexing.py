@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import free_name
 from tidemark.session import scratch
 
 
@@ -18,9 +19,10 @@ def with_row_index(df: DataFrame, *order: str, name: str = "row_idx", partitions
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch(spark, "row-index")
-    df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    range_, nth, before = (free_name(df, stem, name) for stem in ("range", "nth", "before"))
+    df.repartitionByRange(parts, *order).withColumn(range_, F.spark_partition_id()).write.parquet(path)
     ranged = spark.read.parquet(path)
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    nth = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return ranged.withColumn("_nth", nth).join(F.broadcast(starts), "_range").withColumn(name, (F.col("_before") + F.col("_nth")).cast("long")).select(*df.columns, name)
+    earlier = Window.orderBy(range_).rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(range_).agg(F.count("*").alias("n")).select(range_, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before))
+    numbered = ranged.withColumn(nth, F.row_number().over(Window.partitionBy(range_).orderBy(*order))).join(F.broadcast(starts), range_)
+    return numbered.withColumn(name, (F.col(before) + F.col(nth)).cast("long")).select(*df.columns, name)

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import age_group, first_word
+from tidemark.functions.scalars import age_group, first_word, free_name
 from tidemark.operators.indexing import with_row_index
 from tidemark.operators.quality import require_columns
 
@@ -47,7 +47,7 @@ def quota_sample(df: DataFrame, stratum: str, key: str, wanted: Mapping[str, int
     other, give or take one. Strata of the quota that have no rows raise ValueError.
     """
     asked = {k: n for k, n in wanted.items() if n > 0}
-    shuffle, place, digits = (_free(df, n, "slot") for n in ("shuffle", "place", "digits"))
+    shuffle, place, digits = (free_name(df, n, "slot") for n in ("shuffle", "place", "digits"))
     keyed = df.where(F.col(stratum).isin(*asked)).withColumn(shuffle, shuffle_key(key, seed)).withColumn(digits, F.substring(shuffle, 1, HISTOGRAM_DIGITS))
     histogram = keyed.groupBy(stratum, digits).count()
     upto = F.sum("count").over(Window.partitionBy(stratum).orderBy(digits).rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -69,18 +69,9 @@ def quota_sample(df: DataFrame, stratum: str, key: str, wanted: Mapping[str, int
     return ranked.withColumn("slot", F.explode(F.sequence(F.col(place).cast("long"), number(asked).cast("long") - 1, number(sizes).cast("long")))).drop(place)
 
 
-def _free(df: DataFrame, stem: str, *taken: str) -> str:
-    """A name for a helper column that no column has."""
-    names = {c.lower() for c in (*df.columns, *taken)}
-    name = f"_{stem}"
-    while name.lower() in names:
-        name += "_"
-    return name
-
-
 def shuffled(df: DataFrame, key: str, seed: int = 42, name: str = "position") -> DataFrame:
     """Adds each row's place, from 1, in a full shuffle; ties go by ``key``."""
-    shuffle = _free(df, "shuffle", name)
+    shuffle = free_name(df, "shuffle", name)
     return with_row_index(df.withColumn(shuffle, shuffle_key(key, seed)), shuffle, key, name=name).drop(shuffle)
 
 
