@@ -299,6 +299,37 @@ def test_history_is_not_shuffled(spark, folder):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
 
 
+def test_a_load_computes_its_rows_once(spark, folder):
+    """Rows are not computed again for their count or for the index, nor after the index has changed."""
+    made = spark.sparkContext.accumulator(0)
+
+    once = F.udf(lambda x: made.add(1) or x, "long").asNondeterministic()
+    rows = lambda n: spark.range(0, n, 1, 3).select(F.col("id").cast("string").alias("order_id"), F.lit("X").alias("event_type"), F.lit(T("2018-01-01 00:00:00")).alias("event_time"), F.when(F.col("id") % 2 == 0, "2018-01").alias("month"), once("id").alias("v"))
+    for within in (None, "order_id"):
+        path, before = f"{folder}/fact-{within}", made.value
+        assert [incremental.load_fact(spark, rows(n), path, ["order_id", "event_type"], "month", within=within) for n in (100, 150, 150)] == [100, 50, 0]
+        assert made.value - before == 400
+        assert readers.read_table(spark, path).select("order_id").distinct().count() == readers.read_table(spark, path).count() == 150
+
+
+def test_new_rows_within_an_order(spark):
+    """Tables that lie by the order are joined as they lie, on the whole key; nulls in a key match nothing."""
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        keys = ["order_id", "n", "kind"]
+        table = lambda rows: spark.createDataFrame(rows, "v long, order_id string, n long, kind string").repartition("order_id")
+        rows = table([(1, "a", 1, "X"), (2, "a", 2, "X"), (3, "a", 1, "Y"), (4, "b", 1, "X"), (5, "b", None, "X"), (6, None, 1, "X"), (7, "c", 1, None), (8, "d", 1, "X")])
+        held = table([(0, "a", 1, "X"), (0, "a", 2, "Y"), (0, "b", 2, "X"), (0, "b", None, "X"), (0, "d", 1, "X"), (0, "d", 1, "X")])
+        for known in (held, rows.where("v in (1, 8)")):  # another table, and part of the same
+            new = incremental.new_rows(rows, known, keys, "order_id")
+            assert new._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+            assert sorted(map(tuple, new.collect())) == [(2, "a", 2, "X"), (3, "a", 1, "Y"), (4, "b", 1, "X")]
+            assert sorted(map(tuple, new.collect())) == sorted(map(tuple, incremental.new_rows(rows, known, keys).select(*rows.columns).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+
+
 def test_an_index_of_many_appends_is_merged(spark, folder, monkeypatch):
     monkeypatch.setattr(incremental, "MERGE_EVERY", 2)
     rows = lambda n: spark.range(n).select(F.col("id").alias("k"), F.lit(T("2018-01-01 00:00:00")).alias("event_time"), F.lit("2018-01").alias("month"))
