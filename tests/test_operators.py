@@ -225,6 +225,27 @@ def test_ordered_marts_and_events(spark):
     assert [t for t, _ in got] == sorted(t for t, _ in got) and len(got) > 1000
 
 
+def test_marts_join_items_added_up_by_order(spark):
+    """What is dealt by product or customer is a row for each order, and each order is counted once wherever its rows lie."""
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        day = dt.date(2018, 1, 1)
+        rows = [(day, o, c, p, 2.0, 1.5, 0.5) for o, c, p in (("o1", "c1", "p1"), ("o1", "c1", "p2"), ("o1", "c2", "p1"), ("o2", None, "p3"), (None, "c1", "p1"), ("o3", "c3", None))] * 3
+        fact = spark.createDataFrame(rows, "order_event_date date, order_id string, customer_id string, product_id string, item_total_amount double, item_price double, item_freight_value double").repartition("order_id")
+        products = spark.createDataFrame([("p1", "a"), ("p2", "a"), ("p3", "b")], "product_id string, product_category_name_english string")
+        people = spark.createDataFrame([("c1", "20s", "F", "x"), ("c2", "20s", "F", "x")], "customer_id string, age_group string, sex string, occupation string")
+        category, segment = marts.category_sales(fact, products), marts.customer_segment_sales(fact, people)
+        for mart, key in ((category, "product_id"), (segment, "customer_id")):
+            plan = mart._jdf.queryExecution().executedPlan().toString().splitlines()
+            dealt = next(i for i, line in enumerate(plan) if f"Exchange hashpartitioning({key}#" in line)
+            assert "HashAggregate" in "".join(plan[dealt + 1 : dealt + 3])
+        assert {r[0]: (r["order_count"], r["item_count"], r["total_sales_amount"], r["avg_item_price"]) for r in category.collect()} == {"a": (1, 12, 24.0, 1.5), "b": (1, 3, 6.0, 1.5), None: (1, 3, 6.0, 1.5)}
+        assert {r[0]: (r["order_count"], r["customer_count"], r["item_count"], r["total_sales_amount"]) for r in segment.collect()} == {"20s": (1, 2, 12, 24.0), None: (2, 1, 6, 12.0)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+
+
 def test_raw_csv_to_bronze(spark, folder, tmp_path):
     (tmp_path / "raw").mkdir()
     (tmp_path / "raw/orders.csv").write_text('order_id,at,note\n1,2018-01-02 03:04:05,"two\nlines"\n2,never,"a ""quote"""\n')
