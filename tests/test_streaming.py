@@ -7,6 +7,8 @@ import os
 
 from pyspark.sql import functions as F
 
+from tests.conftest import SMALL
+from tidemark.plans import queries
 from tidemark.streaming import batches, jobs, topics
 
 ENVELOPE = "topic string, key string, value string"
@@ -214,3 +216,11 @@ def test_retention_keeps_totals(spark, folder):
     assert topics.read_counts(spark, root).count() == 25 and topics.read_totals(spark, root).first()["total_count"] == 72
     folded = spark.read.parquet(f"{root}/counts/_folded/upto=71")
     assert folded.count() == 26 and folded.where("window_start is null").first()["event_count"] == 47
+
+
+def test_a_batch_of_days_is_written_by_several_tasks(spark, folder, tmp_path, monkeypatch):
+    """The files of a batch are as many as its tasks, and still one batch each."""
+    monkeypatch.setattr(queries, "scratch", lambda s, name: f"{folder}/{name}")
+    queries._topic(spark, SMALL, None)
+    assert all(len(list((tmp_path / f"topic/in/batch={i}").glob("part-*"))) > 1 for i in range(4))
+    assert len(list((tmp_path / "topic/topic/checkpoint/commits").glob("[0-9]*"))) == 5
