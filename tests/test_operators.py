@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import age_group
 from tidemark.operators import dims, events, facts, incremental, indexing, marts, quality, sampling
-from tidemark.plans import lake
+from tidemark.plans import lake, queries
 from tidemark.sources import bindings, readers, sinks
 
 T = lambda s: dt.datetime.fromisoformat(s)
@@ -246,6 +246,21 @@ def test_marts_join_items_added_up_by_order(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
 
 
+def test_replaced_mart_computes_the_fact_once(spark, monkeypatch):
+    """Both marts come from one pass, equal to each alone, with unknown types, states, orders and customers among the rows."""
+    made, day = spark.sparkContext.accumulator(0), lambda n: dt.date(2018, n, 1)
+    rows = [(day(1 + i % 2), o, c, e, st, 2.5, 2.0, 0.5) for i, (o, c, e, st) in enumerate((o, c, e, st) for o, c in (("o1", "c1"), ("o1", "c2"), ("o2", "c1"), ("o3", None), (None, "c3")) for e in ("ORDER_CREATED", "ORDER_APPROVED", None) for st in ("canceled", "shipped", None))]
+    fact = spark.createDataFrame([*rows, (None, "o4", "c4", "ORDER_CREATED", None, 1.0, 1.0, None)], "order_event_date date, order_id string, customer_id string, event_type string, order_status string, item_total_amount double, item_price double, item_freight_value double").coalesce(2)
+    both = marts.daily_sales_both(fact)
+    for net, alone in ((False, fact), (True, marts.net_of_cancellations(fact))):
+        assert sorted(both.where(F.col("net") == net).drop("net").collect(), key=str) == sorted(marts.daily_sales(alone).collect(), key=str)
+    once = F.udf(lambda x: made.add(1) or x, "double").asNondeterministic()
+    counted = fact.withColumn("item_price", once("item_price"))
+    monkeypatch.setattr(queries, "fact_order_item", lambda s, d: counted)
+    got = queries.replaced_daily_sales(spark, "").select(*marts.daily_sales(fact).columns).collect()
+    assert made.value == fact.count() and sorted(got, key=str) == sorted(marts.daily_sales(fact).collect(), key=str)
+
+
 def test_raw_csv_to_bronze(spark, folder, tmp_path):
     (tmp_path / "raw").mkdir()
     (tmp_path / "raw/orders.csv").write_text('order_id,at,note\n1,2018-01-02 03:04:05,"two\nlines"\n2,never,"a ""quote"""\n')
