@@ -8,6 +8,7 @@ import os
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
+from tidemark.operators import events
 from tidemark.plans import queries
 from tidemark.streaming import batches, jobs, topics
 
@@ -224,3 +225,15 @@ def test_a_batch_of_days_is_written_by_several_tasks(spark, folder, tmp_path, mo
     queries._topic(spark, SMALL, None)
     assert all(len(list((tmp_path / f"topic/in/batch={i}").glob("part-*"))) > 1 for i in range(4))
     assert len(list((tmp_path / "topic/topic/checkpoint/commits").glob("[0-9]*"))) == 5
+
+
+def test_topics_are_made_by_one_write(spark, folder, tmp_path, monkeypatch):
+    """No topic waits for another, and events are made by compiled code; unknown states and times make no event."""
+    monkeypatch.setattr(queries, "scratch", lambda s, name: f"{folder}/{name}")
+    routed = queries.routed_topics(spark, SMALL)
+    assert list((tmp_path / "routed/in").glob("part-*")) and len(list((tmp_path / "routed/checkpoint/commits").glob("[0-9]*"))) == 1
+    assert {r["topic"] for r in routed.select("topic").distinct().collect()} == {"order-events", "delivery-events", "review-events"}
+    plan = queries.order_events(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert any(line.lstrip(" +-:").startswith("*(") for line in plan.splitlines() if "Generate explode" in line)
+    rows = spark.sql("select * from values ('a', 'x', null, timestamp_ntz'2018-01-01 00:00:00', null), ('b', 'x', 'canceled', null, timestamp_ntz'2018-01-02 00:00:00'), ('c', null, 'canceled', null, null) as t(order_id, customer_id, order_status, order_purchase_timestamp, order_approved_at)")
+    assert sorted(r["event_id"] for r in events.order_events(rows).collect()) == ["ORDER_APPROVED_b", "ORDER_CREATED_a"]
